@@ -100,10 +100,17 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, r: Reputation
     return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))).drop("_bad", "domain", "suffix")
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, good): the label of the document a page shows, whose number is the second part of the url's path."""
+    shown = url_parts(pages).select("page_id", F.expr("try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS bigint)").alias("doc_id"))
+    good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)
+    return shown.where("doc_id IS NOT NULL").join(labels.select("doc_id", good.alias("good")), "doc_id").select("page_id", "good")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes are the labelled rows whose doc_id is the page's number: good quality and not toxic."""
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0).alias("good"))
+    """Outcomes are the labels of the documents on the pages: good quality and not toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = page_outcomes(pages, table(spark, sf_dir, "labels"))
     return url_filter(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -127,7 +134,7 @@ ORACLES = {
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 q AS (SELECT *, string_split(host, '.') AS l, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p),
-hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END)::DOUBLE AS good FROM q JOIN labels ON doc_id = page_id GROUP BY ALL),
+hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END)::DOUBLE AS good FROM q JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) GROUP BY ALL),
 w AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS m0 FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m0) AS m0 FROM hosts, w GROUP BY suffix),
 s1 AS (SELECT suffix, (good + k * m0) / (n + k) AS m1 FROM s0, (SELECT {_moments("m0")} AS k FROM s0)),
