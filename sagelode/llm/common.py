@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,21 +99,20 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type) for k, c in columns.items()], schema=schema)
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Slices the batches where `key` changes; a long run comes in several slices, in order."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(k)], strict=True):
-            yield b.slice(lo, hi - lo)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A side of at most so many rows of a few numbers is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 300_000
+
+
+def shared_size_join(big: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Joins `side`, a materialised table of small rows, to `big`: by broadcast if its count is within the bound,
+    else by Spark's shuffled join."""
+    return big.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Rows (node, component) for the undirected `edges` (a long, b long); component is the least node reachable.
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashMemo, connected_components, lower_words, materialize, mix64, odd_multipliers, record_batch, runs, shuffle_width, signed, table, window_hashes
+from .common import U64, HashMemo, connected_components, lower_words, materialize, mix64, odd_multipliers, record_batch, signed, table, window_hashes
+from .links import candidate_pairs, grid_links
 
 
 @dataclass(frozen=True)
@@ -105,46 +106,6 @@ def signatures(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> D
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key long, sig array<long>, bands array<long>")
 
 
-def candidate_pairs(members: DataFrame, small: int, label: str) -> DataFrame:
-    """From (bucket long, id long): rows (a, b, wide). wide = 0: two ids share a bucket of at most `small` ids;
-    wide = 1: b is in a larger bucket whose least id is a. Each bucket's ids stream past in order, so that a bucket of
-    any size needs the memory of `small` ids and gives one row for each id instead of all pairs."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("wide", pa.int32())])
-
-    def run(batches):
-        bucket, first, held, wide = None, None, [], False
-        a, b, w = [], [], []
-
-        def close():
-            if not wide:
-                for i in range(len(held)):
-                    for j in range(i):
-                        a.append(held[j]), b.append(held[i]), w.append(0)
-
-        for part in runs(batches, "bucket"):
-            k, ids = part.column("bucket")[0].as_py(), part.column("id").to_pylist()
-            if k != bucket:
-                close()
-                bucket, first, held, wide = k, ids[0], [], False
-            if not wide:
-                held += ids
-                if len(held) > small:
-                    wide, ids, held = True, held, []
-            if wide:
-                for i in ids:
-                    if i != first:
-                        a.append(first), b.append(i), w.append(1)
-            if len(a) >= 20_000:
-                yield record_batch({"a": a, "b": b, "wide": w}, schema)
-                a, b, w = [], [], []
-        close()
-        yield record_batch({"a": a, "b": b, "wide": w}, schema)
-
-    n = shuffle_width(members.sparkSession)
-    found = members.repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "a long, b long, wide int")
-    return materialize(found.distinct(), label)
-
-
 def estimate(x: str, y: str, m: MinHash) -> Column:
     """Collision-corrected similarity of the signatures in columns x and y, by bit counts."""
     differ = [F.get(x, F.lit(p * m.words + w)).bitwiseXOR(F.get(y, F.lit(p * m.words + w))) for w in range(m.words) for p in range(m.bits)]
@@ -220,27 +181,6 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     return out
 
 
-def grid_links(groups: DataFrame, payload: DataFrame, block: int, link, label: str) -> DataFrame:
-    """Links (a, b) inside each group of `groups` (id, grp): members are dealt to blocks of about `block`, and each
-    pair of blocks is one small task, so no task holds a group. `payload` has (id, data); `link(data list, left, right)`
-    gives a spanning set of links of a block pair."""
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb"))
-    dealt = groups.join(sizes, "grp").withColumn("x", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select("id", "grp", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def one(t: pa.Table) -> pa.Table:
-        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
-        same = t.column("i")[0] == t.column("j")[0]
-        left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        found = link(t.column("data").to_pylist(), left, right) if len(left) and len(right) else []
-        return pa.table({"a": [int(ids[x]) for x, _ in found], "b": [int(ids[y]) for _, y in found]}, schema=schema)
-
-    return materialize(dealt.join(payload, "id").groupBy("grp", "i", "j").applyInArrow(one, "a long, b long"), label)
-
-
 def near_duplicates(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of `docs`.
 
