@@ -1,7 +1,7 @@
 """Queries of the training-data operators and their equivalents in SQL."""
 
-from . import line_dedup, minhash_dedup, quality_rules, url_filters
+from . import decontaminate, line_dedup, minhash_dedup, quality_rules, url_filters
 
-_MODULES = (line_dedup, minhash_dedup, quality_rules, url_filters)
+_MODULES = (decontaminate, line_dedup, minhash_dedup, quality_rules, url_filters)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
