@@ -91,6 +91,7 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_stop": F.size(F.filter(F.split(lower, SPACE), lambda w: w.isin(*STOP_WORDS))).cast("long"),
             "n_ellipsis": F.size(F.filter("_lines", lambda x: F.rtrim(x).endswith("..."))).cast("long"),
             "n_bullets": F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long"),
+            "_seq": F.monotonically_increasing_id(),  # where it is used, a filter isn't pushed below, to compute all this again
         }
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -117,6 +118,13 @@ def failed(rule: Rule) -> Column:
     return out & (F.col("n_words") >= rule.min_words)
 
 
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
+    m = quality_metrics(docs, text)
+    m = m.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    m = m.withColumn("failed_rules", F.array_compact(F.array(*[F.when(failed(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>"))
+    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """`docs` with the metrics, `base_failed` (under 20 words, or over 30 % of the words in repeated 8-word windows),
     `failed_rules` (names, in table order) and `kept`.
@@ -124,10 +132,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     A null or empty text has no words and so fails. Repeated rows are judged each on its own; an empty table gives
     no rows; nulls in other columns play no part.
     """
-    m = quality_metrics(docs, text)
-    m = m.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    m = m.withColumn("failed_rules", F.array_compact(F.array(*[F.when(failed(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>"))
-    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return _judged(docs, rules, text).drop("_seq")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +142,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows of `docs` that pass, unchanged."""
-    return quality_rules(docs.withColumn("_row", F.struct(*docs.columns))).where("kept").select("_row.*")
+    judged = _judged(docs.withColumn("_row", F.struct(*docs.columns)), RULES, "text")
+    return judged.where(F.col("kept") & (F.col("_seq") >= 0)).select("_row.*")
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}
