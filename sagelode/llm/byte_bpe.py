@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import record_batch, table
-from .pretokens import per_word, unpack, word_blocks
+from .pretokens import BY_BLOCK_DDL, ByBlock, per_word, unpack, word_blocks
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,7 +31,7 @@ def _matcher(pattern: str):
     return build
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", block_chars: int = 8_000_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", block_chars: int = 32_000_000) -> DataFrame:
     """Rows (doc_id, ids array<int>), one for each row of `docs`: every match of `pattern` in the whole text encoded by
     the ranks in the file `vocabulary`, without special tokens.
 
@@ -39,40 +39,48 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", b
     a row for each block. Null and empty texts give empty arrays; null and repeated doc_ids pass through; an empty
     table gives no rows. The file must be at the same path on every executor.
     """
-    blocks = word_blocks(docs.select("doc_id", F.col(text).alias("text")), _matcher(pattern), block_chars, "bpe-blocks")
-    word_schema = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("ids", pa.binary())])
+    blocks = word_blocks(docs.select("doc_id", F.col(text).alias("text")), _matcher(pattern), block_chars, "bpe_blocks")
 
     def encode_words(batches):
         import tiktoken
 
         one = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(vocabulary), special_tokens={}).encode_ordinary
         last, ids = None, b""
+        held = ByBlock()
         for b in batches:
             out = []
             for w in b.column("word").to_pylist():
                 if w != last:
                     last, ids = w, np.array(one(w), "<u4").tobytes()
                 out.append(ids)
-            yield record_batch({"block": b.column("block"), "slot": b.column("slot"), "ids": out}, word_schema)
+            if held.add(b.column("block").to_numpy(), b.column("slot").to_numpy().astype(np.int64), out):
+                yield held.take()
+        yield held.take()
 
-    words = per_word(blocks, encode_words, "block long, slot int, ids binary")
+    words = per_word(blocks, encode_words, BY_BLOCK_DDL)
     doc_schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def put_together(key, block: pa.Table, own: pa.Table):
         if not block.num_rows:
             return doc_schema.empty_table()
-        at = np.argsort(own.column("slot").to_numpy())
-        cells = own.column("ids").to_pylist()
-        flat = np.frombuffer(b"".join(cells[i] for i in at), "<u4").astype(np.int32)
-        width = np.array([len(cells[i]) // 4 for i in at], np.int64)
-        begin = np.cumsum(width) - width
-        stream = unpack(block.column("stream")[0].as_py()).astype(np.int64)
-        n = width[stream] if len(stream) else np.empty(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(begin[stream] - ends[:-1], n) + np.arange(ends[-1])] if len(stream) else flat[:0]
+        slots, width, data = ByBlock.read(own)
+        width = width // 4
+        flat = np.frombuffer(data, "<u4").astype(np.int32)
+        begin = np.empty(len(slots), np.int64)
+        wide = np.empty(len(slots), np.int64)
+        begin[slots], wide[slots] = np.cumsum(width) - width, width
+        stream = unpack(block.column("stream")[0].as_py())
+        ids, ends = [flat[:0]], [np.zeros(1, np.int64)]
+        for lo in range(0, len(stream), 500_000):
+            part = stream[lo : lo + 500_000]
+            n = wide[part]
+            stop = np.cumsum(n)
+            ids.append(flat[np.repeat(begin[part] - stop + n, n) + np.arange(stop[-1])])
+            ends.append(stop + ends[-1][-1])
+        ends = np.concatenate(ends)
         offsets = ends[np.concatenate(([0], np.cumsum(block.column("counts")[0].as_py(), dtype=np.int64)))]
         docs = pa.array(block.column("doc_ids")[0].as_py(), pa.int64())
-        return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}, schema=doc_schema)
+        return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))}, schema=doc_schema)
 
     streams = blocks.select("block", "doc_ids", "counts", "stream")
     return streams.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, "doc_id long, ids array<int>")

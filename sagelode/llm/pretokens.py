@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, record_batch, shuffle_width
+from .common import record_batch, shuffle_width
 
 #: White_Space other than blank and line feed (fixed values).
 _RARE_SPACE = "\t\x0b\x0c\r\x85\xa0  -     　"
@@ -42,13 +44,15 @@ class BlockWriter:
     """Gathers documents until their text reaches `chars`, then gives one block row. Slots number a block's distinct
     words; the stream has one slot for each position, document after document."""
 
+    MEMO = 200_000
+
     def __init__(self, words_of, chars: int):
         self.words_of, self.chars = words_of, chars
         self.seq = 0
         self.reset()
 
     def reset(self):
-        self.ids, self.counts, self.stream, self.slots, self.pieces, self.size = [], [], [], {}, {}, 0
+        self.ids, self.counts, self.stream, self.slots, self.pieces, self.size = [], [], array("I"), {}, {}, 0
 
     def add(self, doc_id, text: str) -> None:
         slots, pieces, stream = self.slots, self.pieces, self.stream
@@ -56,14 +60,16 @@ class BlockWriter:
         for s in segments(text):
             own = pieces.get(s)
             if own is None:
-                own = pieces[s] = [slots.setdefault(w, len(slots)) for w in self.words_of(s)]
+                if len(pieces) >= self.MEMO:
+                    pieces.clear()
+                own = pieces[s] = array("I", [slots.setdefault(w, len(slots)) for w in self.words_of(s)])
             stream += own
         self.ids.append(doc_id)
         self.counts.append(len(stream) - before)
         self.size += len(text)
 
     def row(self) -> dict:
-        stream = np.array(self.stream, np.int64)
+        stream = np.frombuffer(self.stream, np.uint32) if len(self.stream) else np.empty(0, np.uint32)
         words = list(self.slots)
         order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")  # small numbers for frequent words
         rank = np.empty(len(words), np.int64)
@@ -73,7 +79,7 @@ class BlockWriter:
             "doc_ids": self.ids,
             "counts": self.counts,
             "words": [words[i] for i in order],
-            "stream": pack(rank[stream] if len(words) else stream),
+            "stream": pack(rank.astype(np.uint32)[stream] if len(words) else stream),
         }
         self.seq += 1
         self.reset()
@@ -81,8 +87,9 @@ class BlockWriter:
 
 
 def word_blocks(docs: DataFrame, words_of, chars: int, label: str) -> DataFrame:
-    """Rows (block, doc_ids, counts, words, stream) of `docs` (doc_id, text), written once: block numbers stay as they
-    are when executors are lost. A text longer than `chars` is a block of its own. Null texts count as empty."""
+    """Rows (block, doc_ids, counts, words, stream) of `docs` (doc_id, text), written once, as a table in the warehouse:
+    block numbers stay as they are when executors are lost. The table is bucketed by block, so that what is joined back
+    by block moves, and the streams don't. A text longer than `chars` is a block of its own. Null texts count as empty."""
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("stream", pa.binary())])
 
     def run(batches):
@@ -96,7 +103,54 @@ def word_blocks(docs: DataFrame, words_of, chars: int, label: str) -> DataFrame:
             yield record_batch({k: [v] for k, v in w.row().items()}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, counts array<long>, words array<string>, stream binary")
-    return materialize(rows, label)
+    spark = docs.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").bucketBy(shuffle_width(spark), "block").saveAsTable(name)
+    return spark.table(name)
+
+
+class ByBlock:
+    """Gathers answers for words by block, to send them as a few packed rows instead of one row a word."""
+
+    def __init__(self, rows: int = 400_000):
+        self.limit = rows
+        self.rows, self.blocks, self.slots, self.values = 0, [], [], []
+
+    def add(self, block: np.ndarray, slot: np.ndarray, values: list[bytes]) -> bool:
+        self.blocks.append(block), self.slots.append(slot)
+        self.values += values
+        self.rows += len(values)
+        return self.rows >= self.limit
+
+    def take(self) -> pa.RecordBatch:
+        """Rows (block, slots, widths, values): for each block its slots in order, the bytes of each value, and the values."""
+        block = np.concatenate(self.blocks or [np.empty(0, np.int64)])
+        slot = np.concatenate(self.slots or [np.empty(0, np.int64)])
+        order = np.lexsort((slot, block))
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        out = {"block": [], "slots": [], "widths": [], "data": []}
+        press = zstandard.ZstdCompressor(level=3).compress
+        for own in np.split(order, cuts) if len(order) else []:
+            cells = [self.values[i] for i in own.tolist()]
+            out["block"].append(int(block[own[0]]))
+            out["slots"].append(pack(np.diff(slot[own], prepend=0)))
+            out["widths"].append(pack(np.array([len(c) for c in cells])))
+            out["data"].append(press(b"".join(cells)))
+        self.rows, self.blocks, self.slots, self.values = 0, [], [], []
+        return record_batch(out, BY_BLOCK)
+
+    @staticmethod
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """(slots, widths, values end to end) of a block's rows."""
+        slots = [np.cumsum(unpack(x)) for x in table.column("slots").to_pylist()]
+        widths = [unpack(x).astype(np.int64) for x in table.column("widths").to_pylist()]
+        press = zstandard.ZstdDecompressor().decompress
+        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return join(slots), join(widths), b"".join(press(x) for x in table.column("data").to_pylist())
+
+
+BY_BLOCK = pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("widths", pa.binary()), ("data", pa.binary())])
+BY_BLOCK_DDL = "block long, slots binary, widths binary, data binary"
 
 
 def per_word(blocks: DataFrame, run, result: str) -> DataFrame:
