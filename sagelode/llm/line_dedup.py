@@ -19,7 +19,7 @@ _LANES = (((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.ui
 
 @dataclass(frozen=True)
 class LineDedup:
-    """Lines link when their 64-bit SimHashes differ in at most `distance` bits and the edit similarity of their
+    """Lines link when their 64-bit SimHashes (over pairs of adjacent words) differ in at most `distance` bits and the edit similarity of their
     normalised texts, 1 - edits / longer length, reaches `similarity`. The word is cut into `blocks` pieces; two lines
     within the distance agree on blocks - distance of them, and each such choice is a join key of
     64 * (blocks - distance) / blocks bits (26 here; more blocks give wider keys for more lines). Lines of fewer than
@@ -29,7 +29,7 @@ class LineDedup:
     distance: int = 3
     blocks: int = 5
     similarity: float = 0.85
-    min_words: int = 3
+    min_words: int = 3  # 2 at least
     small: int = 16
     block: int = 256
 
@@ -42,6 +42,9 @@ class LineDedup:
 
 def normal_word(word: str) -> str:
     """Lower case, digits as 0, other signs dropped."""
+    core = word.lower().rstrip(".,")
+    if core.isalpha():
+        return core
     return "".join("0" if c.isdigit() else c for c in word.lower() if c.isalnum())
 
 
@@ -49,21 +52,23 @@ def normal_line(line: str) -> str:
     return " ".join(filter(None, map(normal_word, line.split())))
 
 
-def simhash(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each line over its words and adjacent pairs; `words` are the lines' word hashes, end to end."""
+def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each line over its pairs of adjacent words; `words` are the lines' word hashes, end to end, and
+    each line has two words at least. Single words would let the frequent ones decide the bits of long lines."""
+    line = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     with np.errstate(over="ignore"):
-        pairs = mix64(words[:-1] * U64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else words[:0]
-    line = np.repeat(np.arange(len(lengths)), lengths)
-    inside = line[:-1] == line[1:]
-    feats, owner = np.concatenate((words, pairs[inside])), np.concatenate((line, line[:-1][inside]))
-    order = np.argsort(owner, kind="stable")
-    feats, n = feats[order], 2 * lengths - 1
+        feats = mix64(words[:-1] * U64(0x9E3779B97F4A7C15) + words[1:])[line[:-1] == line[1:]]
+    n = lengths - 1
     begin = np.cumsum(n) - n
-    pieces = -(-n // 255)
-    cuts = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    lanes = np.stack([np.add.reduceat(_LANES[feats >> U64(8 * b) & U64(255)], cuts) for b in range(8)], axis=1)
-    ones = np.add.reduceat(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(cuts), 64).astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
-    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    pieces = -(-n // 255)  # sums of up to 255 features
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    eight = feats.view(np.uint8).reshape(-1, 8)
+    lanes = np.stack([np.add.reduceat(_LANES[eight[:, b]], cuts) for b in range(8)], axis=1)
+    ones = lanes.view(np.uint8).reshape(len(cuts), 64)
+    if len(cuts) > len(n):
+        ones = np.add.reduceat(ones.astype(np.int64), first, axis=0)
+    return np.packbits(2 * ones.astype(np.int64) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
@@ -71,35 +76,41 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
     the normalised words, row_key one of doc_id and text."""
     schema = pa.schema([("key", pa.int64()), ("sim", pa.int64()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
 
-    def piece(rows, hashes):
-        words, lengths = np.concatenate(hashes), np.array([len(h) for h in hashes])
+    def piece(memo, empty, rows, words, lengths):
+        h, lengths = memo.array(words), np.array(lengths, np.int64)
+        real = h != empty
+        line = np.repeat(np.arange(len(lengths)), lengths)[real]
+        h, lengths = h[real], np.bincount(line, minlength=len(lengths))
+        keep = lengths >= p.min_words
+        h, lengths = h[keep[line]], lengths[keep]
         starts = np.cumsum(lengths) - lengths
-        place = np.arange(len(words), dtype=np.uint64) - np.repeat(starts, lengths).astype(np.uint64)
+        if not len(lengths):
+            return
+        place = (np.arange(len(h)) - np.repeat(starts, lengths)).astype(U64)
         with np.errstate(over="ignore"):
-            key = mix64(np.add.reduceat(mix64(words + place * U64(0xD1B54A32D192ED03)), starts) + lengths.astype(np.uint64))
-        r, d, k = zip(*rows, strict=True)
-        return record_batch({"key": signed(key), "sim": signed(simhash(words, starts, lengths)), "row_key": r, "doc_id": d, "line_no": k}, schema)
+            key = mix64(np.add.reduceat(mix64(h + place * U64(0xD1B54A32D192ED03)), starts) + lengths.astype(U64))
+        r, d, n = zip(*rows, strict=True)
+        n = np.array(n)
+        row, no = np.repeat(np.arange(len(n)), n)[keep], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[keep]
+        yield record_batch({"key": signed(key), "sim": signed(simhash(h, lengths)), "row_key": np.array(r)[row], "doc_id": pa.array(d, pa.int64()).take(pa.array(row)), "line_no": no}, schema)
 
     def run(batches):
         memo = HashMemo(lambda w: normal_word(w).encode())
-        empty = HashMemo().array([b""])[0]
+        empty = HashMemo()[b""]
+        rows, words, lengths = [], [], []
         for batch in batches:
-            rows, hashes, size = [], [], 0
             for r, d, t in zip(batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for no, line in enumerate((t.as_py() or "").split("\n")):
-                    words = line.split()
-                    if len(words) < p.min_words:
-                        continue
-                    h = memo.array(words)
-                    h = h[h != empty]
-                    if len(h) >= p.min_words:
-                        rows.append((r, d, no)), hashes.append(h)
-                        size += len(h)
-                if size > 500_000:
-                    yield piece(rows, hashes)
-                    rows, hashes, size = [], [], 0
-            if rows:
-                yield piece(rows, hashes)
+                lines = (t.as_py() or "").split("\n")
+                for line in lines:
+                    own = line.split()
+                    words += own
+                    lengths.append(len(own))
+                rows.append((r, d, len(lines)))
+                if len(words) > 200_000:
+                    yield from piece(memo, empty, rows, words, lengths)
+                    rows, words, lengths = [], [], []
+        if rows:
+            yield from piece(memo, empty, rows, words, lengths)
 
     return docs.mapInArrow(run, "key long, sim long, row_key long, doc_id long, line_no long")
 
