@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import record_batch, table
-from .pretokens import BY_BLOCK_DDL, ByBlock, per_word, unpack, word_blocks
+from .pretokens import BY_BLOCK_DDL, ByBlock, per_word, segments, unpack, word_blocks
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -21,12 +21,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _matcher(pattern: str):
-    """A function that builds the match function of a pattern; white space is Unicode's, as in the tokenizer's library."""
+    """A function that gives the segments and the match function of a pattern; white space is Unicode's, as in the tokenizer's library."""
 
     def build():
         import regex
 
-        return regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
+        return segments, regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
 
     return build
 

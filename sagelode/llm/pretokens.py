@@ -42,12 +42,13 @@ def unpack(data: bytes) -> np.ndarray:
 
 class BlockWriter:
     """Gathers documents until their text reaches `chars`, then gives one block row. Slots number a block's distinct
-    words; the stream has one slot for each position, document after document."""
+    words; the stream has one slot for each position, document after document. `pieces_of` cuts a text, `words_of` gives
+    a piece's words; `counted` tells of a doc_id whether its words count in `weights`, one number for each slot."""
 
     MEMO = 200_000
 
-    def __init__(self, words_of, chars: int):
-        self.words_of, self.chars = words_of, chars
+    def __init__(self, pieces_of, words_of, chars: int, counted=None):
+        self.pieces_of, self.words_of, self.chars, self.counted = pieces_of, words_of, chars, counted
         self.seq = 0
         self.reset()
 
@@ -57,7 +58,7 @@ class BlockWriter:
     def add(self, doc_id, text: str) -> None:
         slots, pieces, stream = self.slots, self.pieces, self.stream
         before = len(stream)
-        for s in segments(text):
+        for s in self.pieces_of(text):
             own = pieces.get(s)
             if own is None:
                 if len(pieces) >= self.MEMO:
@@ -71,6 +72,10 @@ class BlockWriter:
     def row(self) -> dict:
         stream = np.frombuffer(self.stream, np.uint32) if len(self.stream) else np.empty(0, np.uint32)
         words = list(self.slots)
+        weights = np.zeros(len(words), np.int64)
+        if self.counted and len(words):
+            chosen = np.repeat([self.counted(d) for d in self.ids], self.counts)
+            weights = np.bincount(stream[chosen], minlength=len(words))
         order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")  # small numbers for frequent words
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
@@ -79,6 +84,7 @@ class BlockWriter:
             "doc_ids": self.ids,
             "counts": self.counts,
             "words": [words[i] for i in order],
+            "weights": weights[order],
             "stream": pack(rank.astype(np.uint32)[stream] if len(words) else stream),
         }
         self.seq += 1
@@ -86,14 +92,16 @@ class BlockWriter:
         return out
 
 
-def word_blocks(docs: DataFrame, words_of, chars: int, label: str) -> DataFrame:
-    """Rows (block, doc_ids, counts, words, stream) of `docs` (doc_id, text), written once, as a table in the warehouse:
+def word_blocks(docs: DataFrame, cutters, chars: int, label: str, counted=None) -> DataFrame:
+    """Rows (block, doc_ids, counts, words, weights, stream) of `docs` (doc_id, text), written once, as a table in the warehouse:
     block numbers stay as they are when executors are lost. The table is bucketed by block, so that what is joined back
-    by block moves, and the streams don't. A text longer than `chars` is a block of its own. Null texts count as empty."""
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("stream", pa.binary())])
+    by block moves, and the streams don't. A text longer than `chars` is a block of its own. Null texts count as empty.
+    cutters() gives (pieces_of, words_of)."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", longs), ("counts", longs), ("words", pa.list_(pa.string())), ("weights", longs), ("stream", pa.binary())])
 
     def run(batches):
-        w = BlockWriter(words_of(), chars)
+        w = BlockWriter(*cutters(), chars, counted)
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 w.add(d, t.as_py() or "")
@@ -102,7 +110,7 @@ def word_blocks(docs: DataFrame, words_of, chars: int, label: str) -> DataFrame:
         if w.ids:
             yield record_batch({k: [v] for k, v in w.row().items()}, schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, counts array<long>, words array<string>, stream binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, counts array<long>, words array<string>, weights array<long>, stream binary")
     spark = docs.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").bucketBy(shuffle_width(spark), "block").saveAsTable(name)
@@ -155,6 +163,6 @@ BY_BLOCK_DDL = "block long, slots binary, widths binary, data binary"
 
 def per_word(blocks: DataFrame, run, result: str) -> DataFrame:
     """Deals the words of all blocks by word and sorts them, so that equal words stand together, once for each block at
-    most; `run` maps Arrow batches (word, block, slot) and gives rows (block, slot, ...)."""
-    words = blocks.select("block", F.posexplode("words").alias("slot", "word"))
+    most; `run` maps Arrow batches (block, slot, word, weight) and gives rows (block, slots, ...)."""
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "weights")).alias("slot", "w")).select("block", "slot", F.col("w.words").alias("word"), F.col("w.weights").alias("weight"))
     return words.repartition(shuffle_width(blocks.sparkSession), "word").sortWithinPartitions("word").mapInArrow(run, result)
