@@ -29,6 +29,11 @@ def segments(text: str) -> list[str]:
     return (_ANY_SEGMENT if _RARE.search(text) else _COMMON_SEGMENT).findall(text)
 
 
+def has_space_beside_blank(text: str) -> bool:
+    """Whether white space stands next to a blank, or there is any besides blanks and line feeds."""
+    return "  " in text or " \n" in text or "\n " in text or _RARE.search(text) is not None
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by byte planes under zstandard."""
     planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T

@@ -13,6 +13,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, record_batch, shared_dir, shuffle_width, table
-from .pretokens import segments
+from .pretokens import has_space_beside_blank, segments
 
 MAGIC = b"TOKZ0001"
 FOOTER = "<32sIQQ8s"
@@ -35,13 +36,13 @@ RECORD = np.dtype([("doc_id", "<i8"), ("has_id", "<u8"), ("start", "<i8"), ("n",
 class Format:
     """The dictionary of `dict_bytes` is trained on the ids of about `samples` documents of at most `sample_chars`
     characters, picked by a hash of doc_id: a bounded sample that has no say in what is stored. `memo` bounds the
-    segments whose ids a worker remembers."""
+    words whose ids a worker remembers, and twice the segments."""
 
     dict_bytes: int = 65_536
     samples: int = 1000
     sample_chars: int = 20_000
     level: int = 3
-    memo: int = 250_000
+    memo: int = 600_000
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -50,48 +51,105 @@ def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri else (pyarrow.fs.LocalFileSystem(), uri)
 
 
+#: The pattern of the library's byte-level pre-tokenizer (fixed value), with its white space by name.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the others
+    follow from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Remembered(dict):
+    """Answers of `make`, of which `limit` at most are kept."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
 class SegmentEncoder:
-    """Ids of texts by a tokenizers file, remembered by segment where that is the same as encoding the whole text: a
-    byte-level pre-tokenizer with its own pattern, no prefix space and no normaliser."""
+    """Ids of texts by a tokenizers file. Where the file's pre-tokenizer is byte-level with its own pattern, no prefix
+    space and no normaliser, the library's model is asked for each distinct word once, and words and segments are
+    remembered, `memo` of them at most; other files, and texts with an added token in them, go to the library whole."""
 
     def __init__(self, path: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_segment = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.by_segment &= not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
+        self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo, self.limit = {}, memo
+        self.kind = f"<u{self.width}"
+        self.find, self.letters, self.model = regex.compile(BYTE_LEVEL).findall, byte_letters(), self.tokenizer.model
+        self.words = _Remembered(self._word, memo)
+        self.pieces = _Remembered(self._segment, memo // 4)
+        self.after_blank = _Remembered(lambda s: self._segment(" " + s), memo // 2)
+
+    def _cut(self, segment: str) -> list[str]:
+        core = segment[1:]
+        if segment[0] == " " and core.isalpha():
+            return [segment]
+        if segment[0] == " " and core[:-1].isalpha() and core[-1] in ".,;:!?":
+            return [segment[:-1], core[-1]]
+        return self.find(segment)
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return array("H" if self.width == 2 else "I", [t.id for t in tokens]).tobytes()
+
+    def _segment(self, segment: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self._cut(segment)))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of `width` bytes."""
-        kind = f"<u{self.width}"
-        if not self.by_segment:
-            return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out = []
         for text in texts:
-            cut = segments(text)
-            new = list({s for s in cut if s not in self.memo})
-            if new:
-                if len(self.memo) + len(new) > self.limit:
-                    self.memo.clear()
-                    new = list(set(cut))
-                self.memo.update(zip(new, (np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            out.append(b"".join(map(self.memo.__getitem__, cut)))
+            if not self.by_word or any(t in text for t in self.added):
+                out.append(self._whole(text))
+                continue
+            if text[:1] not in ("", " ") and text[-1] != " " and not has_space_beside_blank(text):
+                first, *rest = text.split(" ")  # each blank stands alone between words, and starts a segment
+                out.append(self.pieces[first] + b"".join(map(self.after_blank.__getitem__, rest)))
+            else:
+                out.append(b"".join(map(self.pieces.__getitem__, segments(text))))
         return out
 
 
+_ENCODERS: dict[tuple[str, int], SegmentEncoder] = {}
+
+
+def encoder(path: str, memo: int) -> SegmentEncoder:
+    """The worker's encoder of a file: what it remembers serves the tasks that follow."""
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = SegmentEncoder(path, memo)
+    return _ENCODERS[path, memo]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, fmt: Format, text: str = "text") -> bytes:
     """Dictionary bytes from a bounded sample; empty when there is nothing to train on."""
     every = max(1, docs.count() // fmt.samples)
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).where(F.length(text).between(1, fmt.sample_chars))
     rows = [r[0] for r in picked.select(text).limit(2 * fmt.samples).collect()]
-    samples = SegmentEncoder(tokenizer, fmt.memo).encode(rows)
+    samples = encoder(tokenizer, fmt.memo).encode(rows)
     try:
         return zstandard.train_dictionary(fmt.dict_bytes, samples, level=fmt.level).as_bytes()
     except zstandard.ZstdError:  # too few samples: their bytes serve as they are
@@ -123,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        enc = SegmentEncoder(tokenizer, fmt.memo)
+        enc = encoder(tokenizer, fmt.memo)
         zd = _dictionary(shared.value)
         if zd:
             zd.precompute_compress(level=fmt.level)
