@@ -115,8 +115,24 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
     return docs.mapInArrow(run, "key long, sim long, row_key long, doc_id long, line_no long")
 
 
+def _shared(x: str, y: str) -> int:
+    """Length of the common prefix, by halving."""
+    lo, hi = 0, min(len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if x[lo:mid] == y[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def edit_distance(x: str, y: str) -> int:
-    """Levenshtein distance by bit vectors over Python's long integers."""
+    """Levenshtein distance by bit vectors over Python's long integers, between what two strings don't share at their ends."""
+    n = _shared(x, y)
+    x, y = x[n:], y[n:]
+    n = _shared(x[::-1], y[::-1])
+    x, y = sorted((x[: len(x) - n], y[: len(y) - n]), key=len)
     if not x or not y:
         return len(x) + len(y)
     at: dict[str, int] = {}
@@ -134,6 +150,11 @@ def edit_distance(x: str, y: str) -> int:
     return score
 
 
+def _similar(x: str, y: str, similarity: float) -> bool:
+    most = int((1 - similarity) * max(len(x), len(y)))
+    return abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most
+
+
 def _block_links(p: LineDedup):
     def link(data: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         sims = np.array([np.frombuffer(d[:8], U64)[0] for d in data])
@@ -152,9 +173,7 @@ def _block_links(p: LineDedup):
             x, y = root(i), root(j)
             if x == y:
                 continue
-            s, t = data[i][8:].decode(), data[j][8:].decode()
-            longer = max(len(s), len(t))
-            if abs(len(s) - len(t)) <= (1 - p.similarity) * longer and edit_distance(s, t) <= (1 - p.similarity) * longer:
+            if _similar(data[i][8:].decode(), data[j][8:].decode(), p.similarity):
                 top[max(x, y)] = min(x, y)
                 out.append((int(i), int(j)))
         return out
@@ -193,17 +212,25 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     payload = shared_size_join(docs.select("row_key", "text"), wanted, "row_key").mapInArrow(texts, "id long, data binary")
     payload = materialize(payload.dropDuplicates(["id"]), "line-texts")
-    body = F.expr("cast(substring(data, 9) AS string)")
-    both = pairs.join(payload.select(F.col("id").alias("a"), body.alias("x")), "a").join(payload.select(F.col("id").alias("b"), body.alias("y")), "b")
-    both = both.withColumn("most", F.floor(F.lit(1 - p.similarity) * F.greatest(F.length("x"), F.length("y"))).cast("int"))
-    small = both.where("abs(length(x) - length(y)) <= most AND levenshtein(x, y, most) >= 0").select("a", "b")
+    both = pairs.join(payload.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(payload.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def similar(batches):
+        for t in batches:
+            keep = []
+            for x, y in zip(t.column("x"), t.column("y"), strict=True):
+                keep.append(_similar(x.as_py()[8:].decode(), y.as_py()[8:].decode(), p.similarity))
+            keep = pa.array(keep, pa.bool_())
+            yield record_batch({"a": t.column("a").filter(keep), "b": t.column("b").filter(keep)}, link_schema)
+
+    small = both.mapInArrow(similar, "a long, b long")
     large = grid_links(wide, payload, p.block, _block_links(p), "line-wide-links")
-    groups = connected_components(small.unionByName(large), "line-links")
+    groups = connected_components(small.unionByName(large), "line-links").withColumnRenamed("node", "id")
 
-    named = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
+    named = shared_size_join(nodes, groups, "id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     firsts = named.groupBy("component").agg(F.min(F.struct("first.d", "first.line_no", "first.row_key")).alias("f"))
     named = materialize(named.select("id", "component").join(firsts, "component").select(F.col("id").alias("key"), "f"), "line-firsts")
-    gone = lines.join(named, "key").where("NOT (row_key = f.row_key AND line_no = f.line_no)")
+    gone = shared_size_join(lines, named, "key").where("NOT (row_key = f.row_key AND line_no = f.line_no)")
     return materialize(gone.groupBy("row_key").agg(F.collect_set("line_no").alias("lines")), "line-gone")
 
 
