@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ..streaming import stream_queries
+from . import analytics_queries, retrieval_queries, text_queries
+
+_MODULES = (text_queries, retrieval_queries, analytics_queries, stream_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Hybrid search: BM25, TF-IDF and dense lists fused, weighted and cut to ten a query."""
+    return retrieval_queries.hybrid_search(spark, sf_dir)

@@ -77,25 +77,23 @@ def list_files(spark: SparkSession, path: str, extensions: list[str]) -> DataFra
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: the paragraphs that aren't blank, joined by line feeds. The archive's XML is read as it is."""
-    import pandas as pd
+    import io
+    import xml.etree.ElementTree as ET
+    import zipfile
 
-    @F.pandas_udf("string")
-    def paragraphs(content: pd.Series) -> pd.Series:
-        import io
-        import xml.etree.ElementTree as ET
-        import zipfile
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
-        space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    def one(raw: bytes) -> str | None:
+        try:
+            root = ET.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ET.ParseError):
+            return None
+        texts = ("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
+        return "\n".join(t for t in texts if t.strip())
 
-        def one(raw):
-            try:
-                root = ET.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
-            except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                return None
-            texts = ("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
-            return "\n".join(t for t in texts if t.strip())
-
-        return content.map(one)
+    def paragraphs(frames):
+        for f in frames:
+            yield f.assign(text=f.content.map(one))[["rel_path", "text"]]
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
-    return files.select(F.col("path").alias("rel_path"), paragraphs("content").alias("text")).where("text IS NOT NULL")
+    return files.select(F.col("path").alias("rel_path"), "content").mapInPandas(paragraphs, "rel_path string, text string").where("text IS NOT NULL")
