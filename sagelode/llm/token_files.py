@@ -64,16 +64,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """Answers of `make`, of which `limit` at most are kept."""
+    """Answers of `make`, in two generations of `limit` / 2: when the young one is full it takes the place of the old
+    one, so that what is asked for often stays."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit // 2, {}
 
     def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
