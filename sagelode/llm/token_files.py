@@ -42,7 +42,7 @@ class Format:
     samples: int = 1000
     sample_chars: int = 20_000
     level: int = 3
-    memo: int = 600_000
+    memo: int = 1_200_000
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
