@@ -1,5 +1,8 @@
 """Every query of the engine against its SQL on the smallest tables; those without SQL against what must hold."""
 
+import hashlib
+import re
+
 import pytest
 
 from oracle import same
@@ -46,3 +49,20 @@ def test_anchored_windows_and_budgets(spark):
     for (u, _), e in want.items():
         allowed[u] = allowed.get(u, 0) + min(20, len(e))
     assert {r.user_id: r.allowed for r in catalogue.QUERIES["stream_budgets"](spark, SF).collect()} == allowed
+
+
+def test_packed_chunks(spark):
+    def pack(text, most):
+        out, held, n = [], "", 0
+        for p in text.split("\n"):
+            k = len([w for w in re.split(r"\s+", p) if w])
+            if not k:
+                continue
+            if n and n + k > most:
+                out, held, n = [*out, held], "", 0
+            held, n = (p if not n else f"{held}\n{p}"), n + k
+        return [*out, held] if n else out
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = {(d.doc_id, i, hashlib.md5(t.encode()).hexdigest()) for d in docs for i, t in enumerate(pack(d.text, 120))}
+    assert {(r.chunk_id, r.n, r.text_md5) for r in catalogue.QUERIES["packed_chunks"](spark, SF).collect()} == want
