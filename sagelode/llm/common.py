@@ -46,16 +46,20 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 class HashMemo(dict):
-    """word -> 64-bit hash of `key(word)`; forgets all once `limit` words are held, so memory is bounded."""
+    """word -> 64-bit hash of `key(word)`, in two generations of `limit` / 2 words: when the young one is full it takes the
+    place of the old one, so memory is bounded and frequent words stay."""
 
-    def __init__(self, key=None, seed: int = 0, limit: int = 400_000):
+    def __init__(self, key=None, seed: int = 0, limit: int = 600_000):
         super().__init__()
-        self.key, self.seed, self.limit = key, seed, limit
+        self.key, self.seed, self.limit, self.old = key, seed, limit // 2, {}
 
     def __missing__(self, word):
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh64_intdigest(self.key(word) if self.key else word, self.seed)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        h = xxhash.xxh64_intdigest(self.key(word) if self.key else word, self.seed)
         self[word] = h
         return h
 
