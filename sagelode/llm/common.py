@@ -107,14 +107,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A side of at most so many rows of a few numbers is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 300_000
+#: A side of at most so many rows, and so many numbers in their lists, is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 300_000, 2_000_000
 
 
-def shared_size_join(big: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Joins `side`, a materialised table of small rows, to `big`: by broadcast if its count is within the bound,
-    else by Spark's shuffled join."""
-    return big.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+def shared_size_join(big: DataFrame, side: DataFrame, on: str, how: str = "inner", listed: str | None = None, each: int = 1) -> DataFrame:
+    """Joins `side`, a materialised table of small rows, to `big`: by broadcast if it is within the bounds, else by
+    Spark's shuffled join. `listed` names a column of lists, of `each` numbers an item, which counts besides the rows."""
+    numbers = F.sum(F.size(listed)) * each if listed else F.lit(0)
+    found = side.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(numbers, F.lit(0)).alias("numbers")).first()
+    small = found.rows <= BROADCAST_ROWS and found.numbers <= BROADCAST_NUMBERS
+    return big.join(F.broadcast(side) if small else side, on, how)
 
 
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:

@@ -210,7 +210,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
                     data.append(np.int64(x["sim"]).tobytes() + normal_line(own[x["line_no"]]).encode("utf-8", "surrogatepass"))
             yield record_batch({"id": ids, "data": data}, schema)
 
-    payload = shared_size_join(docs.select("row_key", "text"), wanted, "row_key").mapInArrow(texts, "id long, data binary")
+    payload = shared_size_join(docs.select("row_key", "text"), wanted, "row_key", listed="w", each=3).mapInArrow(texts, "id long, data binary")
     payload = materialize(payload.dropDuplicates(["id"]), "line-texts")
     both = pairs.join(payload.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(payload.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -244,7 +244,7 @@ def line_dedup(docs: DataFrame, p: LineDedup = LineDedup(), text: str = "text")
     """
     keyed = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.xxhash64("doc_id", text).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     gone = duplicate_lines(keyed.select("row_key", "doc_id", "text"), p)
-    out = shared_size_join(keyed, gone, "row_key", "left")
+    out = shared_size_join(keyed, gone, "row_key", "left", listed="lines")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("lines", F.array().cast("array<long>")), i.cast("long"))), "\n")
     kept = F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from fixtures import documents, empty, frame
+from sagelode.llm import common
 from sagelode.llm import line_dedup as ld
 from sagelode.llm import links
 from sagelode.llm import minhash_dedup as mh
@@ -35,6 +36,22 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_shared_size_join_counts_what_lists_hold(spark, monkeypatch):
+    big = spark.createDataFrame([(1, "x"), (2, "y")], "k long, t string")
+    side = spark.createDataFrame([(1, [1, 2, 3]), (2, [4])], "k long, v array<long>")
+    want = sorted(big.join(side, "k").collect())
+    for numbers, broadcast in ((4, True), (3, False)):
+        monkeypatch.setattr(common, "BROADCAST_NUMBERS", numbers)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = common.shared_size_join(big, side, "k", listed="v")
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert ("BroadcastHashJoin" in plan) is broadcast
+        assert sorted(got.collect()) == want
+    empty_side = spark.createDataFrame([], side.schema)
+    assert common.shared_size_join(big, empty_side, "k", "left", listed="v").count() == 2
+
+
 def test_candidate_pairs_of_small_and_large_buckets(spark):
     rng = np.random.default_rng(0)
     rows = [(int(k), i) for i, k in enumerate(rng.choice([1, 1, 1, 1, 2, 3, 4, 5], 200))]
