@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, record_batch, shared_dir, shuffle_width, table
@@ -165,6 +165,16 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def with_starts(files: DataFrame) -> DataFrame:
+    """(file_no, path, docs, tokens) and start, the tokens of the files before: a running sum inside each hundred files,
+    and the sums of the hundreds before."""
+    files = files.withColumn("hundred", F.floor(F.col("file_no") / 100))
+    inside = F.sum("tokens").over(Window.partitionBy("hundred").orderBy("file_no")) - F.col("tokens")
+    base = files.groupBy("hundred").agg(F.sum("tokens").alias("t"))
+    base = base.withColumn("base", F.sum("t").over(Window.orderBy("hundred")) - F.col("t"))  # a row for each hundred files
+    return files.withColumn("inside", inside).join(base, "hundred").select("file_no", "path", "docs", "tokens", (F.col("inside") + F.col("base")).alias("start"))
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = None, fmt: Format = Format(), text: str = "text") -> DataFrame:
     """Encodes every row of `docs` and writes files under `root` (a folder all executors share) in ascending doc_id
     order over the files; returns the manifest (file_no, path, docs, tokens, start), start counting the tokens in the files before.
@@ -222,10 +232,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     files = materialize(rows.mapInArrow(run, "file_no int, path string, docs long, tokens long"), "token-files")
-    # a row for each file, not for each document
-    before = files.select(F.col("file_no").alias("earlier"), F.col("tokens").alias("t"))
-    sums = files.join(F.broadcast(before), F.col("earlier") < F.col("file_no"), "left").groupBy("file_no", "path", "docs", "tokens").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("start"))
-    return sums
+    return with_starts(files)
 
 
 class TokenFile:

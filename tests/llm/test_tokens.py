@@ -56,6 +56,12 @@ def test_ranks_file(tmp_path):
     assert byte_bpe.load_ranks(str(tmp_path / "x")) == {b"a": 0, b"bc": 1}
 
 
+def test_starts_of_many_files(spark):
+    files = [(n, f"p{n}", 1, (n * 7919) % 13) for n in range(350) if n % 3]
+    got = {r.file_no: r.start for r in token_files.with_starts(spark.createDataFrame(files, "file_no int, path string, docs long, tokens long")).collect()}
+    assert got == {n: sum(t for m, _, _, t in files if m < n) for n, *_ in files}
+
+
 def test_token_files(spark):
     root = f"{shared_dir(spark)}/token-test"
     manifest = token_files.write_token_files(frame(spark), JSON, root, end_id=2)
