@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..operators import reports, segments
 from ..sources.readers import CHUNKS_SQL, chunks, table
 from .assembly_queries import ORACLES as _ASSEMBLY, citation_verify
 from .text_queries import _SENTENCES_SQL, _sentences
@@ -15,6 +15,27 @@ MANDATORY = ("CGST_SEC_16", "CGST_SEC_17", "CGST_RUL_42", "CGST_RUL_89", "CIRCUL
 LIMITS = {"documents": 100_000, "queries": 50_000, "text_bytes": 1 << 30}
 
 
+#: Texts with headers and entries, for what invented prose doesn't hold.
+JUDGMENT = "Heard both sides at length on the appeal that is before this authority.\nBrief facts of the case: the applicant sells goods of many kinds in three states.\nQuestions presented\nshort\n  Analysis \nthe goods fall under the heading that the applicant names, as was found before. HELD so.\nOrder\nallowed"
+SCHEDULE = "\n".join(f"{n}. goods of heading {n:04d} and what is sold with them at {n} per cent of their value\n  note {n}" for n in range(1, 9)) + "\nChapter 12 and all that follows it\n9) x\n" + "\n".join(["a line without a number that goes on for a while"] * 30)
+
+
+def _texts(spark, sf):
+    given = spark.createDataFrame([(-1, JUDGMENT), (-2, SCHEDULE)], "chunk_id long, text string")
+    return chunks(spark, sf).select("chunk_id", "text").unionByName(given)
+
+
+def structural_split(spark, sf):
+    s = _texts(spark, sf).select("chunk_id", F.posexplode(segments.structural_segments(F.col("text"))).alias("segment", "s"))
+    s = s.select("chunk_id", "segment", "s.structure", F.posexplode(segments.pack_sentences(F.col("s.text"))).alias("n", "t"))
+    return s.select("chunk_id", "segment", "structure", "n", F.length("t").alias("chars"), F.md5("t").alias("text_md5"))
+
+
+def rate_schedule(spark, sf):
+    s = _texts(spark, sf).select("chunk_id", F.posexplode(segments.schedule_entries(F.col("text"))).alias("n", "t"))
+    return s.select("chunk_id", "n", F.length("t").alias("chars"), F.md5("t").alias("text_md5"))
+
+
 def truth_rules(spark, sf):
     both = chunks(spark, sf).select(F.col("chunk_id").alias("id"), "text").unionByName(_sentences(spark).select((-F.col("id")).cast("long").alias("id"), F.col("q").alias("text")))
     return reports.missing_concepts(both, list(TRUTH_RULES))
@@ -68,7 +89,7 @@ def index_alignment(spark, sf):
     return n.join(F.broadcast(m)).withColumn("aligned", F.col("n_chunks") == F.col("n_vectors"))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (truth_rules, answer_coverage, mined_misses, enrichment_audit, retag_report, reference_registry, verification_score, quotas_used, index_alignment)}
+QUERIES = {f.__name__: f for f in (structural_split, rate_schedule, truth_rules, answer_coverage, mined_misses, enrichment_audit, retag_report, reference_registry, verification_score, quotas_used, index_alignment)}
 
 
 def _rule_sql(name, triggers, concepts):
