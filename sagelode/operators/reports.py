@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,32 @@ def quota_use(found: DataFrame, limits: dict[str, int]) -> DataFrame:
     """(name, used, allowed, pct) for each column of the one row of `found` that has a limit."""
     rows = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("long").alias("used"), F.lit(v).cast("long").alias("allowed")) for k, v in limits.items()])
     return found.select(F.explode(rows).alias("q")).select("q.*").withColumn("pct", F.round(100.0 * F.col("used") / F.col("allowed"), 2))
+
+
+def keyword_pattern(keyword: str, synonyms: dict[str, list[str]]) -> str:
+    """A pattern for lower-cased text: the keyword, and the other ways to write it. A rate may be that of one half or stand
+    alone as a number; sub-sections, circular numbers, returns and amounts in crore have their usual forms."""
+    k = keyword.lower()
+    alone = lambda n: rf"(?:^|[^0-9]){re.escape(n)}(?:[^0-9]|$)"
+    ways = [re.escape(w) for w in [k, *synonyms.get(k, [])]]
+    if m := re.fullmatch(r"(\d+(?:\.\d+)?)%", k):
+        for n in (f"{float(m[1]):.12g}", f"{float(m[1]) / 2:.12g}"):
+            ways += [re.escape(n) + "(?: per cent|%)", alone(n)]
+    elif m := re.fullmatch(r"section\s+(\d+)\((\w+)\)", k):
+        ways += [rf"{m[1]}\({m[2]}\)", rf"section {m[1]} \({m[2]}\)", rf"(?:sub-section|clause) \({m[2]}\) of section {m[1]}"]
+    elif m := re.fullmatch(r"circular\s+(?:no\.?\s*)?(\d+)", k):
+        ways += [rf"\b{m[1]}/", rf"no\.?\s*{m[1]}\b"]
+    elif m := re.fullmatch(r"gstr-?(\w+)", k):
+        ways.append(rf"gstr[ -]?{m[1]}")
+    elif m := re.fullmatch(r"([\d.]+)\s+crore", k):
+        ways += [rf"{100 * float(m[1]):.12g} lakh", rf"\b{re.escape(str(float(m[1])))}\b"]
+    return "|".join(ways)
+
+
+def keyword_coverage(texts: DataFrame, keywords: list[str], synonyms: dict[str, list[str]]) -> DataFrame:
+    """(id, found, missing, pct): which keywords a text holds in some way of writing. A null text holds none."""
+    t = F.coalesce(F.lower("text"), F.lit(""))
+    judged = F.array(*[F.struct(F.lit(k).alias("k"), t.rlike(keyword_pattern(k, synonyms)).alias("hit")) for k in keywords])
+    pick = lambda hit: F.transform(F.filter("j", lambda x: x["hit"] == hit), lambda x: x["k"])
+    out = texts.select("id", judged.alias("j")).select("id", pick(True).alias("y"), pick(False).alias("n"))
+    return out.select("id", _joined(F.col("y")).alias("found"), _joined(F.col("n")).alias("missing"), F.round(100.0 * F.size("y") / len(keywords), 1).alias("pct"))

@@ -15,6 +15,8 @@ MANDATORY = ("CGST_SEC_16", "CGST_SEC_17", "CGST_RUL_42", "CGST_RUL_89", "CIRCUL
 LIMITS = {"documents": 100_000, "queries": 50_000, "text_bytes": 1 << 30}
 
 
+KEYWORDS = ("18%", "24%", "section 17(5)", "circular 183", "gstr-3b", "1.2 crore", "reverse charge", "blocked credit", "export")
+SYNONYMS = {"reverse charge": ["payable by the recipient", "demand"], "export": ["zero rated"]}
 #: Texts with headers and entries, for what invented prose doesn't hold.
 JUDGMENT = "Heard both sides at length on the appeal that is before this authority.\nBrief facts of the case: the applicant sells goods of many kinds in three states.\nQuestions presented\nshort\n  Analysis \nthe goods fall under the heading that the applicant names, as was found before. HELD so.\nOrder\nallowed"
 SCHEDULE = "\n".join(f"{n}. goods of heading {n:04d} and what is sold with them at {n} per cent of their value\n  note {n}" for n in range(1, 9)) + "\nChapter 12 and all that follows it\n9) x\n" + "\n".join(["a line without a number that goes on for a while"] * 30)
@@ -41,6 +43,11 @@ def truth_rules(spark, sf):
     return reports.missing_concepts(both, list(TRUTH_RULES))
 
 
+def keyword_coverage(spark, sf):
+    both = chunks(spark, sf).select(F.col("chunk_id").alias("id"), "text").unionByName(_sentences(spark).select((-F.col("id")).cast("long").alias("id"), F.col("q").alias("text")))
+    return reports.keyword_coverage(both, list(KEYWORDS), SYNONYMS)
+
+
 def answer_coverage(spark, sf):
     return reports.answer_coverage(_sentences(spark).select("id", F.col("q").alias("text")), list(MANDATORY))
 
@@ -89,7 +96,7 @@ def index_alignment(spark, sf):
     return n.join(F.broadcast(m)).withColumn("aligned", F.col("n_chunks") == F.col("n_vectors"))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (structural_split, rate_schedule, truth_rules, answer_coverage, mined_misses, enrichment_audit, retag_report, reference_registry, verification_score, quotas_used, index_alignment)}
+QUERIES = {f.__name__: f for f in (structural_split, rate_schedule, keyword_coverage, truth_rules, answer_coverage, mined_misses, enrichment_audit, retag_report, reference_registry, verification_score, quotas_used, index_alignment)}
 
 
 def _rule_sql(name, triggers, concepts):
@@ -98,11 +105,14 @@ def _rule_sql(name, triggers, concepts):
     return f"SELECT id, '{name}' AS rule, {trig} AS trigger, {miss} AS missing FROM t"
 
 
+_HITS = ", ".join(f"('{k}', '{reports.keyword_pattern(k, SYNONYMS)}')" for k in KEYWORDS)
 _KEYS = "k(key) AS (VALUES " + ", ".join(f"('{k}')" for k in MANDATORY) + ")"
 _NUM = "split_part(key, '_', -1)"
 
 ORACLES = {
     "truth_rules": f"WITH {CHUNKS_SQL}, {_SENTENCES_SQL}, t AS (SELECT chunk_id AS id, text FROM chunks UNION ALL SELECT -id, q FROM s) SELECT * FROM ({' UNION ALL '.join(_rule_sql(*r) for r in TRUTH_RULES)}) WHERE trigger IS NOT NULL AND missing <> ''",
+    "keyword_coverage": f"""WITH {CHUNKS_SQL}, {_SENTENCES_SQL}, t AS (SELECT chunk_id AS id, text FROM chunks UNION ALL SELECT -id, q FROM s), k(key, pattern) AS (VALUES {_HITS}), h AS (SELECT id, key, regexp_matches(lower(coalesce(text, '')), pattern) AS hit FROM t, k)
+        SELECT id, coalesce(string_agg(key, '|' ORDER BY key) FILTER (hit), '') AS found, coalesce(string_agg(key, '|' ORDER BY key) FILTER (NOT hit), '') AS missing, round(100.0::DOUBLE * count_if(hit) / count(*), 1) AS pct FROM h GROUP BY 1""",
     "answer_coverage": f"""WITH {_SENTENCES_SQL}, {_KEYS}, h AS (SELECT id, key, CASE WHEN key LIKE '%\\_SEC\\_%' ESCAPE '\\' THEN regexp_matches(lower(q), '(section |sec |sec\\. |sec\\.)' || {_NUM}) WHEN key LIKE '%\\_RUL\\_%' ESCAPE '\\' THEN contains(lower(q), 'rule ' || {_NUM}) ELSE regexp_matches(lower(q), '(circular |circular no\\. |circular no )' || {_NUM} || '|/' || {_NUM} || '/') END AS hit FROM s, k)
         SELECT id, coalesce(string_agg(key, '|' ORDER BY key) FILTER (hit), '') AS cited, coalesce(string_agg(key, '|' ORDER BY key) FILTER (NOT hit), '') AS missing, CASE WHEN count_if(NOT hit) = 0 THEN 'pass' WHEN count_if(NOT hit) <= count(*) // 2 THEN 'partial' ELSE 'fail' END AS verdict FROM h GROUP BY 1""",
     "mined_misses": """WITH f(flag) AS (VALUES ('A'), ('N'), ('R')), o AS (SELECT o_orderkey AS k, o_orderpriority AS topic FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), seen AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS flag FROM lineitem),
