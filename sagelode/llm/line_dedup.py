@@ -1,8 +1,7 @@
-"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per connected group."""
+"""Line dedup: bands of least weighted word hashes, SimHash, edit similarity, one occurrence per connected group."""
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashMemo, connected_components, materialize, mix64, record_batch, shared_size_join, signed, table
+from .common import U64, HashMemo, connected_components, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table
 from .links import candidate_pairs, grid_links
 
 #: byte -> eight byte lanes, lane j holding bit j: sums of up to 255 features stay inside the lanes.
@@ -19,26 +18,25 @@ _LANES = (((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.ui
 
 @dataclass(frozen=True)
 class LineDedup:
-    """Lines link when their 64-bit SimHashes (over pairs of adjacent words) differ in at most `distance` bits and the edit similarity of their
-    normalised texts, 1 - edits / longer length, reaches `similarity`. The word is cut into `blocks` pieces; two lines
-    within the distance agree on blocks - distance of them, and each such choice is a join key of
-    64 * (blocks - distance) / blocks bits (26 here; more blocks give wider keys for more lines). Lines of fewer than
-    `min_words` normalised words are never removed. Buckets over `small` lines are compared in tasks of `block` lines.
+    """Lines link when the edit similarity of their normalised texts, 1 - edits / longer length, reaches `similarity`
+    and their 64-bit SimHashes (over pairs of adjacent words) differ in at most `distance` bits, a bound so wide that
+    it only drops unrelated pairs. Candidates share one of `bands` join keys. A key is made of `minima` words, each
+    the least of the line by a hash of its own, drawn by weight: a word's weight is the square of its inverse line
+    frequency, as counted in about `samples` documents of at most `sample_chars` characters that a hash picks.
+    Lines of fewer than `min_words` normalised words are never removed. Buckets over `small` lines are compared in
+    tasks of `block` lines.
     """
 
-    distance: int = 3
-    blocks: int = 5
+    distance: int = 24
+    bands: int = 12
+    minima: int = 3
     similarity: float = 0.85
     min_words: int = 3  # 2 at least
+    samples: int = 1000
+    sample_chars: int = 20_000
     small: int = 16
     block: int = 256
 
-    def masks(self) -> list[int]:
-        cuts = [64 * i // self.blocks for i in range(self.blocks + 1)]
-        own = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-        picks = itertools.combinations(own, self.blocks - self.distance)
-        return [m - (1 << 64) if (m := sum(p)) >> 63 else m for p in picks]
-
 
 def normal_word(word: str) -> str:
     """Lower case, digits as 0, other signs dropped."""
@@ -71,10 +69,47 @@ def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones.astype(np.int64) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def word_scales(docs: DataFrame, p: LineDedup) -> tuple[np.ndarray, np.ndarray, np.float32]:
+    """Sorted hashes of the words that more than one sampled line has, 1 / weight of each, and 1 / weight of any other.
+    The weights decide which lines are compared, not which are alike."""
+    every = max(1, docs.count() // p.samples)
+    picked = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(every)) == 0).where(F.length("text") > 0)
+    rows = picked.select(F.substring("text", 1, p.sample_chars)).limit(2 * p.samples).collect()
+    memo = HashMemo(lambda w: normal_word(w).encode())
+    own = [np.unique(memo.array(line.split())) for (text,) in rows for line in text.split("\n")]
+    words, n = np.unique(np.concatenate([np.empty(0, U64), *own]), return_counts=True)
+    words, n = words[n > 1], n[n > 1]
+    scale = 1 / np.log((len(own) + 2) / n) ** 2
+    return words, scale.astype(np.float32), np.float32(1 / np.log(len(own) + 2) ** 2)
+
+
+def band_keys(words: np.ndarray, lengths: np.ndarray, scales: tuple, p: LineDedup) -> np.ndarray:
+    """The `p.bands` join keys of each line; `words` are the lines' word hashes, end to end, one at least for each line.
+    The least of -log(u) / weight falls on each word with a chance that is its share of the weight."""
+    known, scale, other = scales
+    inverse = np.full(len(words), other, np.float32)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        inverse = np.where(known[at] == words, scale[at], other)
+    starts = np.cumsum(lengths) - lengths
+    mult = odd_multipliers(p.bands * p.minima, 41)
+    out = np.empty((len(lengths), p.bands), U64)
+    with np.errstate(over="ignore"):
+        for band in range(p.bands):
+            h = np.full(len(lengths), band, U64)
+            for m in mult[band * p.minima : (band + 1) * p.minima]:
+                u = (((words * m) >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+                least = np.minimum.reduceat(-np.log(u) * inverse, starts)
+                h = mix64(h * U64(0x9E3779B97F4A7C15) + least.view(np.uint32))
+            out[:, band] = h
+    return out
+
+
 def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """Rows (key, sim, row_key, doc_id, line_no) for each line of `p.min_words` words or more; key is a 64-bit hash of
+    """Rows (key, sim, bands, row_key, doc_id, line_no) for each line of `p.min_words` words or more; key is a 64-bit hash of
     the normalised words, row_key one of doc_id and text."""
-    schema = pa.schema([("key", pa.int64()), ("sim", pa.int64()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
+    scales = word_scales(docs, p)
+    schema = pa.schema([("key", pa.int64()), ("sim", pa.int64()), ("bands", pa.list_(pa.int64())), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
 
     def piece(memo, empty, rows, words, lengths):
         h, lengths = memo.array(words), np.array(lengths, np.int64)
@@ -89,10 +124,11 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         place = (np.arange(len(h)) - np.repeat(starts, lengths)).astype(U64)
         with np.errstate(over="ignore"):
             key = mix64(np.add.reduceat(mix64(h + place * U64(0xD1B54A32D192ED03)), starts) + lengths.astype(U64))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1) * p.bands, pa.int32()), pa.array(signed(band_keys(h, lengths, scales, p)).ravel()))
         r, d, n = zip(*rows, strict=True)
         n = np.array(n)
         row, no = np.repeat(np.arange(len(n)), n)[keep], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[keep]
-        yield record_batch({"key": signed(key), "sim": signed(simhash(h, lengths)), "row_key": np.array(r)[row], "doc_id": pa.array(d, pa.int64()).take(pa.array(row)), "line_no": no}, schema)
+        yield record_batch({"key": signed(key), "sim": signed(simhash(h, lengths)), "bands": bands, "row_key": np.array(r)[row], "doc_id": pa.array(d, pa.int64()).take(pa.array(row)), "line_no": no}, schema)
 
     def run(batches):
         memo = HashMemo(lambda w: normal_word(w).encode())
@@ -112,7 +148,7 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         if rows:
             yield from piece(memo, empty, rows, words, lengths)
 
-    return docs.mapInArrow(run, "key long, sim long, row_key long, doc_id long, line_no long")
+    return docs.mapInArrow(run, "key long, sim long, bands array<long>, row_key long, doc_id long, line_no long")
 
 
 def _shared(x: str, y: str) -> int:
@@ -186,10 +222,10 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     `docs` has row_key, doc_id and text. Of each connected group of lines the first stays, by doc_id and line number."""
     lines = materialize(line_table(docs, p), "lines")
     last = F.lit(2**63 - 1)
-    nodes = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "line_no", "row_key", "sim")).alias("first"))
-    nodes = materialize(nodes.select(F.col("key").alias("id"), "n", "first"), "line-nodes")
-    masks = F.array(*[F.xxhash64(F.lit(i), F.col("first.sim").bitwiseAND(F.lit(m))) for i, m in enumerate(p.masks())])
-    members = nodes.select("id", F.col("first.sim").alias("sim"), F.explode(masks).alias("bucket"))
+    nodes = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "line_no", "row_key", "sim")).alias("first"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select(F.col("key").alias("id"), "n", "first", "bands"), "line-nodes")
+    members = nodes.select("id", F.col("first.sim").alias("sim"), F.explode("bands").alias("bucket"))
+    nodes = nodes.drop("bands")
     found = candidate_pairs(members, p.small, "line-candidates", p.distance)
 
     wide = connected_components(found.where("wide = 1").select("a", "b"), "line-wide").select(F.col("node").alias("id"), F.col("component").alias("grp"))
@@ -230,7 +266,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     named = shared_size_join(nodes, groups, "id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     firsts = named.groupBy("component").agg(F.min(F.struct("first.d", "first.line_no", "first.row_key")).alias("f"))
     named = materialize(named.select("id", "component").join(firsts, "component").select(F.col("id").alias("key"), "f"), "line-firsts")
-    gone = shared_size_join(lines, named, "key").where("NOT (row_key = f.row_key AND line_no = f.line_no)")
+    gone = shared_size_join(lines.drop("bands"), named, "key").where("NOT (row_key = f.row_key AND line_no = f.line_no)")
     return materialize(gone.groupBy("row_key").agg(F.collect_set("line_no").alias("lines")), "line-gone")
 
 

@@ -137,6 +137,28 @@ def test_line_dedup(spark, p):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_lines_of_edit_similarity_are_found_without_a_hamming_gate(spark):
+    import random
+
+    rng = random.Random(8)
+    common = ["the", "of", "and", "to", "in"]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    lines = []
+    for i in range(150):
+        own = [word() for _ in range(rng.randrange(8, 41))]
+        other = list(own)
+        for _ in range(max(1, len(own) // 14)):  # words put in place of others anywhere
+            other[rng.randrange(len(own))] = word()
+        lines += [" ".join(own), " ".join(other)]
+    lines = list(dict.fromkeys(lines))
+    linked = [(i, j) for i in range(len(lines)) for j in range(i) if ld._similar(lines[i], lines[j], 0.85)]
+    root = _groups(len(lines), linked)
+    assert len(linked) > 100
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_removed for r in ld.line_dedup(docs).collect()}
+    assert sum(got[i] != int(root[i] != i) for i in range(len(lines))) <= len(linked) // 100
+
+
 def test_simhash_is_the_majority_of_its_features():
     h = np.random.default_rng(3).integers(0, 2**63, 700, dtype=np.uint64)
     f = [int(x) for x in mix64(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:])]
