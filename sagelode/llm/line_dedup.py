@@ -23,15 +23,15 @@ class LineDedup:
     it only drops unrelated pairs. Candidates share one of `bands` join keys. A key is made of `minima` words, each
     the least of the line by a hash of its own, drawn by weight: a word's weight is the square of its inverse line
     frequency, as counted in about `samples` documents of at most `sample_chars` characters that a hash picks.
-    Lines of fewer than `min_words` normalised words are never removed. Buckets over `small` lines are compared in
-    tasks of `block` lines.
+    Lines of fewer than `min_words` normalised words link to equal ones only. Buckets over `small` lines are compared
+    in tasks of `block` lines.
     """
 
     distance: int = 24
     bands: int = 12
     minima: int = 3
     similarity: float = 0.85
-    min_words: int = 3  # 2 at least
+    min_words: int = 3
     samples: int = 1000
     sample_chars: int = 20_000
     small: int = 16
@@ -52,11 +52,15 @@ def normal_line(line: str) -> str:
 
 def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each line over its pairs of adjacent words; `words` are the lines' word hashes, end to end, and
-    each line has two words at least. Single words would let the frequent ones decide the bits of long lines."""
+    a line of one word has no pair and gives 0. Single words would let the frequent ones decide the bits of long lines."""
     line = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     with np.errstate(over="ignore"):
         feats = mix64(words[:-1] * U64(0x9E3779B97F4A7C15) + words[1:])[line[:-1] == line[1:]]
-    n = lengths - 1
+    some = lengths > 1
+    n = lengths[some] - 1
+    out = np.zeros(len(lengths), U64)
+    if not len(n):
+        return out
     begin = np.cumsum(n) - n
     pieces = -(-n // 255)  # sums of up to 255 features
     first = np.cumsum(pieces) - pieces
@@ -66,7 +70,8 @@ def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ones = lanes.view(np.uint8).reshape(len(cuts), 64)
     if len(cuts) > len(n):
         ones = np.add.reduceat(ones.astype(np.int64), first, axis=0)
-    return np.packbits(2 * ones.astype(np.int64) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    out[some] = np.packbits(2 * ones.astype(np.int64) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def word_scales(docs: DataFrame, p: LineDedup) -> tuple[np.ndarray, np.ndarray, np.float32]:
@@ -92,6 +97,8 @@ def band_keys(words: np.ndarray, lengths: np.ndarray, scales: tuple, p: LineDedu
         at = np.minimum(np.searchsorted(known, words), len(known) - 1)
         inverse = np.where(known[at] == words, scale[at], other)
     starts = np.cumsum(lengths) - lengths
+    if not len(starts):
+        return np.empty((0, p.bands), U64)
     mult = odd_multipliers(p.bands * p.minima, 41)
     out = np.empty((len(lengths), p.bands), U64)
     with np.errstate(over="ignore"):
@@ -106,8 +113,8 @@ def band_keys(words: np.ndarray, lengths: np.ndarray, scales: tuple, p: LineDedu
 
 
 def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """Rows (key, sim, bands, row_key, doc_id, line_no) for each line of `p.min_words` words or more; key is a 64-bit hash of
-    the normalised words, row_key one of doc_id and text."""
+    """Rows (key, sim, bands, row_key, doc_id, line_no) for each line of one word or more; key is a 64-bit hash of the
+    normalised words, row_key one of doc_id and text. Lines of fewer than `p.min_words` words have no bands."""
     scales = word_scales(docs, p)
     schema = pa.schema([("key", pa.int64()), ("sim", pa.int64()), ("bands", pa.list_(pa.int64())), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
 
@@ -116,7 +123,7 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         real = h != empty
         line = np.repeat(np.arange(len(lengths)), lengths)[real]
         h, lengths = h[real], np.bincount(line, minlength=len(lengths))
-        keep = lengths >= p.min_words
+        keep = lengths > 0
         h, lengths = h[keep[line]], lengths[keep]
         starts = np.cumsum(lengths) - lengths
         if not len(lengths):
@@ -124,7 +131,10 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         place = (np.arange(len(h)) - np.repeat(starts, lengths)).astype(U64)
         with np.errstate(over="ignore"):
             key = mix64(np.add.reduceat(mix64(h + place * U64(0xD1B54A32D192ED03)), starts) + lengths.astype(U64))
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1) * p.bands, pa.int32()), pa.array(signed(band_keys(h, lengths, scales, p)).ravel()))
+        fuzzy = lengths >= p.min_words
+        keys = band_keys(h[np.repeat(fuzzy, lengths)], lengths[fuzzy], scales, p)
+        ends = np.concatenate(([0], np.cumsum(fuzzy * p.bands)))
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(keys).ravel()))
         r, d, n = zip(*rows, strict=True)
         n = np.array(n)
         row, no = np.repeat(np.arange(len(n)), n)[keep], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[keep]
@@ -273,8 +283,8 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 def line_dedup(docs: DataFrame, p: LineDedup = LineDedup(), text: str = "text") -> DataFrame:
     """`docs` with its text without the removed lines, and n_lines and n_removed.
 
-    Of each connected group of fuzzy lines the occurrence of the least (doc_id, line number) stays. Blank lines and
-    lines of fewer than `min_words` words always stay. A null text stays null, with 0 lines; an empty one has one
+    Of each connected group of fuzzy lines the occurrence of the least (doc_id, line number) stays. Lines
+    without a letter or digit always stay; those of fewer than `min_words` words go where an equal one came first. A null text stays null, with 0 lines; an empty one has one
     blank line. Rows with a null doc_id come last in the order. Rows that repeat doc_id and text count as one document
     and keep the same lines; an empty table gives no rows; other columns pass through.
     """

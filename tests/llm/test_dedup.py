@@ -159,6 +159,12 @@ def test_lines_of_edit_similarity_are_found_without_a_hamming_gate(spark):
     assert sum(got[i] != int(root[i] != i) for i in range(len(lines))) <= len(linked) // 100
 
 
+def test_repeated_lines_of_one_or_two_words_go(spark):
+    rows = [(1, "Stteen Erachtz.\nab\n---\n\nab cd"), (2, "ab.\nstteen erachtz\n---\n\nab ce\nx y z"), (3, "ab cd\nAB"), (4, "abcdefghijklmnopqrst uvwxyz"), (5, "abcdefghijklmnopqrst uvwxyy")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("---\n\nab ce\nx y z", 2), 3: ("", 2), 4: (rows[3][1], 0), 5: (rows[4][1], 0)}
+
+
 def test_simhash_is_the_majority_of_its_features():
     h = np.random.default_rng(3).integers(0, 2**63, 700, dtype=np.uint64)
     f = [int(x) for x in mix64(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:])]
