@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legal, text
 from ..functions.text import simple_tokens
+from ..functions.vectors import inner
 from ..operators import analytics as an
 from ..operators import assembly, dense, graph
 from ..sources.readers import CHUNKS_SQL, chunks, table
@@ -28,7 +29,7 @@ def template_hybrid(spark, sf):
     """0.4 of the vector and 0.6 of the title for the first benchmark item; above 0.15, best fifteen."""
     item = table(spark, sf, "benchmark").where("item_id = 0").select(F.col("text").alias("q"), F.slice(F.array_distinct(simple_tokens(F.col("text"))), 1, 5).alias("qw"))
     vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    near = dense.dense_topk(vec, vec.where("id = 0").select(F.col("id").alias("query_id"), "vec"), 10_000).select(F.col("id").alias("chunk_id"), "sim")
+    near = vec.crossJoin(F.broadcast(vec.where("id = 0").select(F.col("vec").alias("qv")))).select(F.col("id").alias("chunk_id"), F.round(inner(F.col("vec"), F.col("qv")), 6).alias("sim"))
     t = chunks(spark, sf).withColumn("title", F.split_part("text", F.lit("."), F.lit(1))).crossJoin(F.broadcast(item)).join(near, "chunk_id", "left")
     score = F.round(0.4 * F.coalesce("sim", F.lit(0.0)) + 0.6 * assembly.lexical_match(F.col("title"), F.col("q"), F.col("qw")), 6)
     return t.select("chunk_id", score.alias("score")).where("score > 0.15").orderBy(F.desc("score"), "chunk_id").limit(15)
