@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -36,7 +36,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes what `materialize` wrote for tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of `df` as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -56,13 +70,16 @@ class HashMemo(dict):
     def __missing__(self, word):
         h = self.old.get(word)
         if h is None:
-            h = xxhash.xxh64_intdigest(self.key(word) if self.key else word, self.seed)
+            h = self.value(word)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[word] = h
         return h
 
+    def value(self, word) -> int:
+        return xxhash.xxh64_intdigest(self.key(word) if self.key else word, self.seed)
+
     def array(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
@@ -111,7 +128,7 @@ def shuffle_width(spark: SparkSession) -> int:
 BROADCAST_ROWS, BROADCAST_NUMBERS = 300_000, 2_000_000
 
 
-def shared_size_join(big: DataFrame, side: DataFrame, on: str, how: str = "inner", listed: str | None = None, each: int = 1) -> DataFrame:
+def shared_size_join(big: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner", listed: str | None = None, each: int = 1) -> DataFrame:
     """Joins `side`, a materialised table of small rows, to `big`: by broadcast if it is within the bounds, else by
     Spark's shuffled join. `listed` names a column of lists, of `each` numbers an item, which counts besides the rows."""
     numbers = F.sum(F.size(listed)) * each if listed else F.lit(0)
@@ -141,7 +158,11 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        cur = materialize(small.distinct(), label)
-    return cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
+        cur, old = materialize(small.distinct(), label), cur
+        drop_tables(old)
+    out = cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    out = materialize(out, f"{label}-components")
+    drop_tables(cur)
+    return out

@@ -1,16 +1,23 @@
-"""Line dedup: bands of least weighted word hashes, SimHash, edit similarity, one occurrence per connected group."""
+"""Line dedup: join keys of least weighted word hashes, SimHash, edit similarity, one occurrence per connected group.
+
+SimHash alone can't carry the candidate search: similar lines lie a median of 7 to 14 of 64 bits apart, and pigeonhole
+blocks for 14 bits would have 4 bits each. So the blocks joined on hold least word hashes, and the SimHash of a line is a
+check on the pairs.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashMemo, connected_components, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table
-from .links import candidate_pairs, grid_links
+from .common import U64, HashMemo, drop_tables, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, whole_row
+from .links import linked_components
 
 #: byte -> eight byte lanes, lane j holding bit j: sums of up to 255 features stay inside the lanes.
 _LANES = (((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & U64(1)) << (U64(8) * np.arange(8, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
@@ -23,8 +30,7 @@ class LineDedup:
     it only drops unrelated pairs. Candidates share one of `bands` join keys. A key is made of `minima` words, each
     the least of the line by a hash of its own, drawn by weight: a word's weight is the square of its inverse line
     frequency, as counted in about `samples` documents of at most `sample_chars` characters that a hash picks.
-    Lines of fewer than `min_words` normalised words link to equal ones only. Buckets over `small` lines are compared
-    in tasks of `block` lines.
+    Lines of fewer than `min_words` normalised words link to equal ones only.
     """
 
     distance: int = 24
@@ -34,8 +40,6 @@ class LineDedup:
     min_words: int = 3
     samples: int = 1000
     sample_chars: int = 20_000
-    small: int = 16
-    block: int = 256
 
 
 def normal_word(word: str) -> str:
@@ -50,6 +54,14 @@ def normal_line(line: str) -> str:
     return " ".join(filter(None, map(normal_word, line.split())))
 
 
+class LineWords(HashMemo):
+    """word -> hash of the normalised word; the low 6 bits are its characters, 63 for as many and more."""
+
+    def value(self, word: str) -> int:
+        core = normal_word(word)
+        return super().value(core.encode()) & ~63 | min(len(core), 63)
+
+
 def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each line over its pairs of adjacent words; `words` are the lines' word hashes, end to end, and
     a line of one word has no pair and gives 0. Single words would let the frequent ones decide the bits of long lines."""
@@ -80,7 +92,7 @@ def word_scales(docs: DataFrame, p: LineDedup) -> tuple[np.ndarray, np.ndarray,
     every = max(1, docs.count() // p.samples)
     picked = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(every)) == 0).where(F.length("text") > 0)
     rows = picked.select(F.substring("text", 1, p.sample_chars)).limit(2 * p.samples).collect()
-    memo = HashMemo(lambda w: normal_word(w).encode())
+    memo = LineWords()
     own = [np.unique(memo.array(line.split())) for (text,) in rows for line in text.split("\n")]
     words, n = np.unique(np.concatenate([np.empty(0, U64), *own]), return_counts=True)
     words, n = words[n > 1], n[n > 1]
@@ -91,32 +103,33 @@ def word_scales(docs: DataFrame, p: LineDedup) -> tuple[np.ndarray, np.ndarray,
 def band_keys(words: np.ndarray, lengths: np.ndarray, scales: tuple, p: LineDedup) -> np.ndarray:
     """The `p.bands` join keys of each line; `words` are the lines' word hashes, end to end, one at least for each line.
     The least of -log(u) / weight falls on each word with a chance that is its share of the weight."""
+    if not len(lengths):
+        return np.empty((0, p.bands), U64)
     known, scale, other = scales
-    inverse = np.full(len(words), other, np.float32)
+    place, distinct = pd.factorize(words)
+    inverse = np.full(len(distinct), other, np.float32)
     if len(known):
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        inverse = np.where(known[at] == words, scale[at], other)
+        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        inverse = np.where(known[at] == distinct, scale[at], other)
     starts = np.cumsum(lengths) - lengths
-    if not len(starts):
-        return np.empty((0, p.bands), U64)
     mult = odd_multipliers(p.bands * p.minima, 41)
     out = np.empty((len(lengths), p.bands), U64)
     with np.errstate(over="ignore"):
         for band in range(p.bands):
             h = np.full(len(lengths), band, U64)
             for m in mult[band * p.minima : (band + 1) * p.minima]:
-                u = (((words * m) >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-                least = np.minimum.reduceat(-np.log(u) * inverse, starts)
+                u = (((distinct * m) >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+                least = np.minimum.reduceat((-np.log(u) * inverse)[place], starts)
                 h = mix64(h * U64(0x9E3779B97F4A7C15) + least.view(np.uint32))
             out[:, band] = h
     return out
 
 
 def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """Rows (key, sim, bands, row_key, doc_id, line_no) for each line of one word or more; key is a 64-bit hash of the
-    normalised words, row_key one of doc_id and text. Lines of fewer than `p.min_words` words have no bands."""
+    """Rows (key, sim, size, bands, row_key, doc_id, line_no) for each line of one word or more; key is a 64-bit hash of the
+    normalised words, size the characters of the normalised line (null where a word has 63 or more), row_key a hash of doc_id and text. Lines of fewer than `p.min_words` words have no bands."""
     scales = word_scales(docs, p)
-    schema = pa.schema([("key", pa.int64()), ("sim", pa.int64()), ("bands", pa.list_(pa.int64())), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("sim", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
 
     def piece(memo, empty, rows, words, lengths):
         h, lengths = memo.array(words), np.array(lengths, np.int64)
@@ -131,6 +144,8 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         place = (np.arange(len(h)) - np.repeat(starts, lengths)).astype(U64)
         with np.errstate(over="ignore"):
             key = mix64(np.add.reduceat(mix64(h + place * U64(0xD1B54A32D192ED03)), starts) + lengths.astype(U64))
+        chars = (h & U64(63)).astype(np.int64)
+        size = pa.array(np.add.reduceat(chars, starts) + lengths - 1, mask=np.maximum.reduceat(chars, starts) == 63)
         fuzzy = lengths >= p.min_words
         keys = band_keys(h[np.repeat(fuzzy, lengths)], lengths[fuzzy], scales, p)
         ends = np.concatenate(([0], np.cumsum(fuzzy * p.bands)))
@@ -138,11 +153,11 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         r, d, n = zip(*rows, strict=True)
         n = np.array(n)
         row, no = np.repeat(np.arange(len(n)), n)[keep], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[keep]
-        yield record_batch({"key": signed(key), "sim": signed(simhash(h, lengths)), "bands": bands, "row_key": np.array(r)[row], "doc_id": pa.array(d, pa.int64()).take(pa.array(row)), "line_no": no}, schema)
+        yield record_batch({"key": signed(key), "sim": signed(simhash(h, lengths)), "size": size, "bands": bands, "row_key": np.array(r)[row], "doc_id": pa.array(d, pa.int64()).take(pa.array(row)), "line_no": no}, schema)
 
     def run(batches):
-        memo = HashMemo(lambda w: normal_word(w).encode())
-        empty = HashMemo()[b""]
+        memo = LineWords()
+        empty = U64(memo.value(""))
         rows, words, lengths = [], [], []
         for batch in batches:
             for r, d, t in zip(batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -158,7 +173,7 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         if rows:
             yield from piece(memo, empty, rows, words, lengths)
 
-    return docs.mapInArrow(run, "key long, sim long, bands array<long>, row_key long, doc_id long, line_no long")
+    return docs.mapInArrow(run, "key long, sim long, size long, bands array<long>, row_key long, doc_id long, line_no long")
 
 
 def _shared(x: str, y: str) -> int:
@@ -173,8 +188,9 @@ def _shared(x: str, y: str) -> int:
     return lo
 
 
-def edit_distance(x: str, y: str) -> int:
-    """Levenshtein distance by bit vectors over Python's long integers, between what two strings don't share at their ends."""
+def edit_distance(x: str, y: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit vectors over Python's long integers, between what two strings don't share at their ends;
+    with `most`, any number on the same side of it: a column changes the distance by one at most."""
     n = _shared(x, y)
     x, y = x[n:], y[n:]
     n = _shared(x[::-1], y[::-1])
@@ -186,7 +202,9 @@ def edit_distance(x: str, y: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     full, last = (1 << len(x)) - 1, 1 << len(x) - 1
     up, down, score = full, 0, len(x)
-    for c in y:
+    for left, c in zip(range(len(y), 0, -1), y, strict=True):
+        if most is not None and not score - left <= most < score + left:
+            break
         eq = at.get(c, 0)
         d = (((eq & up) + up) ^ up) | eq | down
         hp, hn = down | ~(d | up) & full, up & d
@@ -196,35 +214,16 @@ def edit_distance(x: str, y: str) -> int:
     return score
 
 
-def _similar(x: str, y: str, similarity: float) -> bool:
+def similar(x: str, y: str, similarity: float) -> bool:
+    """1 - edits / longer length reaches `similarity`. Where both have as many words, the words that differ in place bound
+    the edits from above."""
     most = int((1 - similarity) * max(len(x), len(y)))
-    return abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most
-
-
-def _block_links(p: LineDedup):
-    def link(data: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-        sims = np.array([np.frombuffer(d[:8], U64)[0] for d in data])
-        near = np.bitwise_count(sims[left][:, None] ^ sims[right][None, :]) <= p.distance
-        top = np.arange(len(data))
-
-        def root(i):
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
-
-        out = []
-        for i, j in zip(*np.nonzero(near), strict=True):
-            i, j = left[i], right[j]
-            x, y = root(i), root(j)
-            if x == y:
-                continue
-            if _similar(data[i][8:].decode(), data[j][8:].decode(), p.similarity):
-                top[max(x, y)] = min(x, y)
-                out.append((int(i), int(j)))
-        return out
-
-    return link
+    if abs(len(x) - len(y)) > most:
+        return False
+    v, w = x.split(" "), y.split(" ")
+    if len(v) == len(w) and sum(max(len(a), len(b)) for a, b in zip(v, w, strict=True) if a != b) <= most:
+        return True
+    return edit_distance(x, y, most) <= most
 
 
 def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -232,52 +231,55 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     `docs` has row_key, doc_id and text. Of each connected group of lines the first stays, by doc_id and line number."""
     lines = materialize(line_table(docs, p), "lines")
     last = F.lit(2**63 - 1)
-    nodes = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "line_no", "row_key", "sim")).alias("first"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select(F.col("key").alias("id"), "n", "first", "bands"), "line-nodes")
-    members = nodes.select("id", F.col("first.sim").alias("sim"), F.explode("bands").alias("bucket"))
-    nodes = nodes.drop("bands")
-    found = candidate_pairs(members, p.small, "line-candidates", p.distance)
-
-    wide = connected_components(found.where("wide = 1").select("a", "b"), "line-wide").select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    wide = materialize(wide, "line-groups")
-    pairs = found.where("wide = 0").select("a", "b").distinct()
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(wide.select("id")).distinct()
-    wanted = wanted.join(nodes, "id").select("first.row_key", F.struct("first.line_no", "id", "first.sim").alias("w"))
-    wanted = materialize(wanted.groupBy("row_key").agg(F.collect_list("w").alias("w")), "line-wanted")  # a row's own lines at most
+    first = F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "line_no", "row_key")).alias("first")
+    nodes = lines.groupBy(F.col("key").alias("id")).agg(F.count(F.lit(1)).alias("n"), first, F.first(F.struct("sim", "size")).alias("mark"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes, "line-nodes")
+    seen: list[DataFrame] = []
 
     def texts(batches):
-        schema = pa.schema([("id", pa.int64()), ("data", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("line", pa.string())])
         for b in batches:
             ids, data = [], []
             for t, w in zip(b.column("text"), b.column("w"), strict=True):
                 own = (t.as_py() or "").split("\n")
                 for x in w.as_py():
                     ids.append(x["id"])
-                    data.append(np.int64(x["sim"]).tobytes() + normal_line(own[x["line_no"]]).encode("utf-8", "surrogatepass"))
-            yield record_batch({"id": ids, "data": data}, schema)
+                    data.append(normal_line(own[x["line_no"]]))
+            yield record_batch({"id": ids, "line": data}, schema)
 
-    payload = shared_size_join(docs.select("row_key", "text"), wanted, "row_key", listed="w", each=3).mapInArrow(texts, "id long, data binary")
-    payload = materialize(payload.dropDuplicates(["id"]), "line-texts")
-    both = pairs.join(payload.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(payload.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
-    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def near(x: str, y: str) -> Column:
+        """SimHashes are near, and the lengths don't differ by more edits than are allowed."""
+        xs, ys = F.col(f"{x}.size"), F.col(f"{y}.size")
+        lengths = F.abs(xs - ys) <= (1 - p.similarity) * F.greatest(xs, ys)
+        return (F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= p.distance) & F.coalesce(lengths, F.lit(True))
 
-    def similar(batches):
+    def keep_similar(batches):
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("x"), t.column("y"), strict=True):
-                keep.append(_similar(x.as_py()[8:].decode(), y.as_py()[8:].decode(), p.similarity))
-            keep = pa.array(keep, pa.bool_())
-            yield record_batch({"a": t.column("a").filter(keep), "b": t.column("b").filter(keep)}, link_schema)
-
-    small = both.mapInArrow(similar, "a long, b long")
-    large = grid_links(wide, payload, p.block, _block_links(p), "line-wide-links")
-    groups = connected_components(small.unionByName(large), "line-links").withColumnRenamed("node", "id")
-
-    named = shared_size_join(nodes, groups, "id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
-    firsts = named.groupBy("component").agg(F.min(F.struct("first.d", "first.line_no", "first.row_key")).alias("f"))
-    named = materialize(named.select("id", "component").join(firsts, "component").select(F.col("id").alias("key"), "f"), "line-firsts")
+            keep = pa.array([similar(x.as_py(), y.as_py(), p.similarity) for x, y in zip(t.column("x"), t.column("y"), strict=True)], pa.bool_())
+            yield record_batch({c: t.column(c).filter(keep) for c in ("a", "b")}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The pairs whose normalised lines, cut out of the texts for this, are similar."""
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        for known in seen:
+            wanted = wanted.join(known.select("id"), "id", "left_anti")
+        wanted = wanted.join(nodes, "id").groupBy("first.row_key").agg(F.collect_list(F.struct("first.line_no", "id")).alias("w"))  # a row's own lines at most
+        wanted = materialize(wanted, "line-wanted")
+        found = shared_size_join(docs.select("row_key", "text"), wanted, "row_key", listed="w", each=2).mapInArrow(texts, "id long, line string")
+        seen.append(materialize(found.dropDuplicates(["id"]), "line-texts"))
+        drop_tables(wanted)
+        text = reduce(DataFrame.unionByName, seen)
+        both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        return both.mapInArrow(keep_similar, "a long, b long")
+
+    groups = linked_components(nodes.select(F.explode("bands").alias("bucket"), "id"), nodes.select("id", "mark"), near, confirm, "line")
+    named = shared_size_join(nodes.drop("bands", "mark"), groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
+    firsts = materialize(named.groupBy("component").agg(F.min("first").alias("f")), "line-firsts")
+    named = materialize(shared_size_join(named.select("id", "component"), firsts, "component").select(F.col("id").alias("key"), "f"), "line-named")
     gone = shared_size_join(lines.drop("bands"), named, "key").where("NOT (row_key = f.row_key AND line_no = f.line_no)")
-    return materialize(gone.groupBy("row_key").agg(F.collect_set("line_no").alias("lines")), "line-gone")
+    out = materialize(gone.groupBy("row_key").agg(F.collect_set("line_no").alias("lines")), "line-gone")
+    drop_tables(lines, nodes, groups, firsts, named, *seen)
+    return out
 
 
 def line_dedup(docs: DataFrame, p: LineDedup = LineDedup(), text: str = "text") -> DataFrame:
@@ -286,16 +288,19 @@ def line_dedup(docs: DataFrame, p: LineDedup = LineDedup(), text: str = "text")
     Of each connected group of fuzzy lines the occurrence of the least (doc_id, line number) stays. Lines
     without a letter or digit always stay; those of fewer than `min_words` words go where an equal one came first. A null text stays null, with 0 lines; an empty one has one
     blank line. Rows with a null doc_id come last in the order. Rows that repeat doc_id and text count as one document
-    and keep the same lines; an empty table gives no rows; other columns pass through.
+    and keep the same lines; an empty table gives no rows; other columns of any name pass through, but for n_lines and
+    n_removed, which are replaced. A line of any length counts whole.
     """
-    keyed = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.xxhash64("doc_id", text).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keyed = docs.select(whole_row(docs).alias("_row"), F.xxhash64("doc_id", text).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     gone = duplicate_lines(keyed.select("row_key", "doc_id", "text"), p)
     out = shared_size_join(keyed, gone, "row_key", "left", listed="lines")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("lines", F.array().cast("array<long>")), i.cast("long"))), "\n")
     kept = F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)
-    rest = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    return out.select(*[F.col(f"_row.`{c}`") for c in rest], kept.alias(text), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
+    n_lines, n_removed = F.coalesce(F.size(parts), F.lit(0)).cast("long"), F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+    out = out.select("_row", F.struct(kept.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed")).alias("_new"))
+    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    return out.select(*[F.col(f"_row.{c}") for c in names], F.col("_new.text").alias(text), "_new.n_lines", "_new.n_removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +314,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup(docs).where("n_removed = 0 OR length(regexp_replace(text, '[\\\\x20\\\\x09-\\\\x0D]+', '')) > 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup}

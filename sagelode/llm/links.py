@@ -1,86 +1,74 @@
-"""Candidate pairs from shared buckets, and links inside groups too large for pairs."""
+"""Connected groups of linked ids from shared buckets, without the pairs within a group."""
 
 from __future__ import annotations
 
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, record_batch, shuffle_width
+from .common import connected_components, drop_tables, materialize, record_batch, shuffle_width
 
 
-def candidate_pairs(members: DataFrame, small: int, label: str, max_distance: int | None = None) -> DataFrame:
-    """From (bucket long, id long[, sim long]): rows (a, b, wide). wide = 0: two ids share a bucket of at most `small`
-    ids (and their `sim` words differ in at most `max_distance` bits, where that is given); wide = 1: b is in a larger
-    bucket whose least id is a. Each bucket's ids stream past in order, so that a bucket of any size needs the memory
-    of `small` ids and gives one row for each id instead of all pairs."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("wide", pa.int32())])
+def bucket_rows(members: DataFrame) -> DataFrame:
+    """From distinct (bucket long, id long): rows (bucket, leader, id) of the buckets with two ids or more. The leader is the id
+    of the least hash of bucket and id, so that it differs between the buckets that a group of ids shares. Each bucket's
+    ids stream past in that order: a bucket of any size needs the memory of a batch."""
+    schema = pa.schema([("bucket", pa.int64()), ("leader", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
-        k = i = s = np.empty(0, np.int64)
-        grown = None  # (bucket, least id) of a large bucket that goes on
-        for batch in chain(batches_of(batches), [None]):
-            if batch is not None:
-                k, i, s = (np.concatenate((x, y)) for x, y in zip((k, i, s), batch, strict=True))
+        held = None  # the row before: bucket, id, its bucket's leader, whether it was sent
+        for batch in batches:
+            k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "id"))
             if not len(k):
                 continue
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            length = np.diff(np.concatenate((starts, [len(k)])))
-            done = len(k) if batch is None or length[-1] > small else starts[-1]
-            large = length > small
-            if grown and k[0] == grown[0]:
-                large[0] = True
-                done = len(k) if len(starts) == 1 else done
-            per_row = np.repeat(large, length)
-            first = np.repeat(i[starts], length)
-            if grown and k[0] == grown[0]:
-                first[: length[0]] = grown[1]
-            grown = (k[-1], first[-1]) if per_row[-1] else None
-            out = []
-            rest = ~per_row
-            rest[done:] = False
-            for d in range(1, min(small, int(length.max()))):
-                at = np.flatnonzero((k[:-d] == k[d:]) & rest[:-d] & rest[d:])
-                if max_distance is not None:
-                    at = at[np.bitwise_count((s[at] ^ s[at + d]).view(np.uint64)) <= max_distance]
-                out.append((i[at], i[at + d], np.zeros(len(at), np.int32)))
-            at = np.flatnonzero(per_row & (first != i))
-            at = at[at < done]
-            out.append((first[at], i[at], np.ones(len(at), np.int32)))
-            a, b, w = (np.concatenate(x) for x in zip(*out, strict=True))
-            k, i, s = k[done:], i[done:], s[done:]
-            if len(a):
-                yield record_batch({"a": a, "b": b, "wide": w}, schema)
+            if held is not None:
+                k, i = np.concatenate(([held[0]], k)), np.concatenate(([held[1]], i))
+            new = np.concatenate(([True], k[1:] != k[:-1]))
+            leader = i[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            if held is not None:
+                leader[k == held[0]] = held[2]
+            shared = ~new
+            shared[:-1] |= ~new[1:]
+            sent = held is not None and held[3]
+            send = shared.copy()
+            send[0] &= not sent
+            held = (k[-1], i[-1], leader[-1], bool(shared[-1] or (len(k) == 1 and sent)))
+            if send.any():
+                yield record_batch({"bucket": k[send], "leader": leader[send], "id": i[send]}, schema)
 
-    def batches_of(batches):
-        for b in batches:
-            sim = b.column("sim") if max_distance is not None else b.column("id")
-            yield b.column("bucket").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False), sim.to_numpy(zero_copy_only=False)
+    dealt = members.repartition(shuffle_width(members.sparkSession), "bucket").sortWithinPartitions("bucket", F.xxhash64("bucket", "id"))
+    return dealt.mapInArrow(run, "bucket long, leader long, id long")
 
-    n = shuffle_width(members.sparkSession)
-    found = members.repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "a long, b long, wide int")
-    return materialize(found.distinct(), label)
 
+def linked_components(
+    members: DataFrame, marks: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], label: str, block: int = 1024
+) -> DataFrame:
+    """Rows (node, component) of the ids that are linked: two ids link when they share a bucket, `near` holds for their
+    marks and `confirm` keeps their pair.
 
-def grid_links(groups: DataFrame, payload: DataFrame, block: int, link, label: str) -> DataFrame:
-    """Links (a, b) inside each group of `groups` (id, grp): members are dealt to blocks of about `block`, and each
-    pair of blocks is one small task, so no task holds a group. `payload` has (id, data); `link(data list, left, right)`
-    gives a spanning set of links of a block pair."""
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb"))
-    dealt = groups.join(sizes, "grp").withColumn("x", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select("id", "grp", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    `members` has distinct (bucket, id), `marks` (id, mark); near(x, y) is a condition on two mark columns, and
+    confirm(pairs of a < b) gives the pairs that link. First each id is held against the leaders of its buckets only.
+    What that doesn't connect is held against each other: pairs of one bucket in different components, by a join on
+    bucket and salt, where a bucket is dealt to one salt per `block` ids. So no link is lost, and a group of like ids
+    costs a pair for each id, not all its pairs.
+    """
+    shared = materialize(bucket_rows(members), f"{label}-buckets")
+    stars = shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    x, y = (marks.select(F.col("id").alias(i), F.col("mark").alias(m)) for i, m in (("a", "x"), ("b", "y")))
+    stars = materialize(stars.join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b"), f"{label}-stars")
+    first = connected_components(confirm(stars), f"{label}-near")
 
-    def one(t: pa.Table) -> pa.Table:
-        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
-        same = t.column("i")[0] == t.column("j")[0]
-        left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        found = link(t.column("data").to_pylist(), left, right) if len(left) and len(right) else []
-        return pa.table({"a": [int(ids[x]) for x, _ in found], "b": [int(ids[y]) for _, y in found]}, schema=schema)
-
-    return materialize(dealt.join(payload, "id").groupBy("grp", "i", "j").applyInArrow(one, "a long, b long"), label)
+    own = shared.select("bucket", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts")).where("lo <> hi")
+    own = materialize(own.join(apart.select("bucket", "salts"), "bucket").join(marks, "id"), f"{label}-apart")
+    left = own.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("mark").alias("x"))
+    right = own.select("bucket", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("mark").alias("y"))
+    cross = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("x", "y"))
+    cross = materialize(cross.select("a", "b").distinct(), f"{label}-cross")
+    edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(cross).select("a", "b"))
+    out = connected_components(edges, f"{label}-all")
+    drop_tables(shared, stars, first, own, cross)
+    return out

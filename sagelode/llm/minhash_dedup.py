@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashMemo, connected_components, lower_words, materialize, mix64, odd_multipliers, record_batch, signed, table, window_hashes
-from .links import candidate_pairs, grid_links
+from .common import U64, HashMemo, drop_tables, lower_words, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, whole_row, window_hashes
+from .links import linked_components
 
 
 @dataclass(frozen=True)
@@ -18,7 +19,7 @@ class MinHash:
     """`bands` x `rows` minima; `bits` low bits of each of the first 64 * `words` minima are packed.
 
     A pair at the threshold of 0.75 meets in no band with probability (1 - 0.75 ** rows) ** bands: 2.5e-7 here.
-    Buckets of more than `small` sets are compared in blocks of `block` sets, all pairs, without emitting them.
+    `block` is how many sets of a band one task holds against others.
     """
 
     width: int = 5
@@ -27,8 +28,7 @@ class MinHash:
     rows: int = 4
     bits: int = 4
     words: int = 2
-    small: int = 16
-    block: int = 256
+    block: int = 1024
     seed: int = 11
 
     def least_estimate(self) -> float:
@@ -66,15 +66,15 @@ def _planes(minima: np.ndarray, m: MinHash) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, set_key, sig array<long>, bands array<long>) for each row of `docs`.
+    """Rows (doc_id, text_key, n_shingles, set_key, sig array<long>, bands array<long>) for each row of `docs`.
 
-    set_key identifies the set (null for an empty one). Arrow batches are taken in pieces of about a million shingles.
+    text_key is a hash of the text; set_key identifies the set (null for an empty one). Arrow batches are taken in pieces of about a million shingles.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     mult = odd_multipliers(m.rows, m.seed + 1)
     salt = odd_multipliers(m.bands, m.seed + 2)
 
-    def piece(ids, sets):
+    def piece(ids, keys, sets):
         full = [s for s in sets if len(s)]
         key, sig, band = [None] * len(sets), [None] * len(sets), [None] * len(sets)
         if full:
@@ -87,23 +87,24 @@ def signatures(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> D
                 with np.errstate(over="ignore"):
                     key[i] = int(signed(mix64(np.array([mix64(full[j]).sum(dtype=U64) + U64(len(full[j]))], U64)))[0])
                 sig[i], band[i] = planes[j], b[j]
-        return record_batch({"doc_id": ids, "n_shingles": [len(s) for s in sets], "set_key": key, "sig": sig, "bands": band}, schema)
+        return record_batch({"doc_id": ids, "text_key": keys, "n_shingles": [len(s) for s in sets], "set_key": key, "sig": sig, "bands": band}, schema)
 
     def run(batches):
         memo = HashMemo()
         for batch in batches:
-            ids, sets, size = [], [], 0
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(i)
+            ids, keys, sets, size = [], [], [], 0
+            for i, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), strict=True):
+                ids.append(i), keys.append(k)
                 sets.append(shingles(t.as_py(), memo, m.width))
                 size += len(sets[-1])
                 if size > 1_000_000:
-                    yield piece(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield piece(ids, keys, sets)
+                    ids, keys, sets, size = [], [], [], 0
             if ids:
-                yield piece(ids, sets)
+                yield piece(ids, keys, sets)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key long, sig array<long>, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long, sig array<long>, bands array<long>")
 
 
 def estimate(x: str, y: str, m: MinHash) -> Column:
@@ -120,10 +121,6 @@ def estimate(x: str, y: str, m: MinHash) -> Column:
     return (match - c) / (1 - c)
 
 
-def _unpack(cells) -> list[np.ndarray]:
-    return [np.frombuffer(c.as_py(), U64) for c in cells]
-
-
 def _confirm(schema, percent):
     """Pairs with their full sets in, pairs that link out."""
 
@@ -139,77 +136,18 @@ def _confirm(schema, percent):
     return run
 
 
-def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets numbered in `left` and those in `right`, on full sets.
-
-    Sizes of intersections come from 0/1 matrix products over slices of the shingles that two sets share at least."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    new = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    at, owner = column[shared[column]], owner[order][shared[column]]
-    column = (np.cumsum(shared) - 1)[at]
-    both = np.zeros((len(left), len(right)), np.float32)
-    row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
-    row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
-        a, b = np.searchsorted(column, [lo, lo + 8192])
-        x, y = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
-        o, c = owner[a:b], column[a:b] - lo
-        x[row_l[o][row_l[o] >= 0], c[row_l[o] >= 0]] = 1
-        y[row_r[o][row_r[o] >= 0], c[row_r[o] >= 0]] = 1
-        both += x @ y.T
-    n = np.array([len(s) for s in sets])
-    both = both.astype(np.int64)
-    linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
-    top = np.arange(len(sets))
-
-    def root(i):
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        x, y = root(left[i]), root(right[j])
-        if x != y:
-            top[max(x, y)] = min(x, y)
-            out.append((int(left[i]), int(right[j])))
-    return out
-
-
-def near_duplicates(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of `docs`.
-
-    Equal sets collapse to one node before anything is compared. Nodes that share a band are candidates; pairs from
-    small buckets go through the b-bit estimate and are confirmed on the full sets; large buckets, joined where they
-    overlap, are compared in blocks on the full sets. component_id is the least doc_id of the connected group.
+def grouped(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> DataFrame:
+    """Rows (doc_id, text_key, n_shingles, set_key, component_id), one for each row of `docs`; component_id is null where
+    the set is empty or the doc_id null.
 
-    Null or empty texts have an empty set and are linked with nothing. Rows with a null doc_id are never linked and
-    kept, with a null component_id. Repeated rows share a component; of a repeated doc_id each row counts with its own
-    set. An empty table gives no rows. Other columns of `docs` play no part.
-    """
+    Equal sets collapse to one node before anything is compared. Nodes that share a band are candidates; their pairs
+    go through the b-bit estimate and are confirmed on the full sets."""
     sigs = materialize(signatures(docs, m, text), "signatures")
-    nodes = sigs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    node_rows = sigs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
-    node_rows = materialize(node_rows.select(F.col("set_key").alias("id"), "first_id", "r.sig", "r.bands"), "nodes")
-    members = node_rows.select("id", F.posexplode("bands").alias("p", "bucket")).select("bucket", "id")
-    found = candidate_pairs(members, m.small, "candidates")
-
-    sig = node_rows.select("id", "sig")
-    wide = connected_components(found.where("wide = 1").select("a", "b"), "wide").select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    wide = materialize(wide, "wide-groups")
-    pairs = found.where("wide = 0").select("a", "b").distinct()
-    pairs = pairs.join(wide.select(F.col("id").alias("a"), F.col("grp").alias("ga")), "a", "left").join(wide.select(F.col("id").alias("b"), F.col("grp").alias("gb")), "b", "left")
-    pairs = pairs.where("ga IS NULL OR gb IS NULL OR ga <> gb").select("a", "b")
-    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("xs")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("ys")), "b")
-    pairs = materialize(pairs.where(estimate("xs", "ys", m) >= m.least_estimate()).select("a", "b"), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(wide.select("id")).distinct()
-    wanted = wanted.join(node_rows.select("id", "first_id"), "id")
+    some = sigs.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = some.groupBy(F.col("set_key").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("sig").alias("mark"), "bands")).alias("r"))
+    nodes = materialize(nodes.select("id", "n", F.col("r.doc_id").alias("first_id"), "r.mark", "r.bands"), "nodes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col(text).alias("text")).where("first_id IS NOT NULL")
+    seen: list[DataFrame] = []
     width = m.width
 
     def set_bytes(batches):
@@ -221,22 +159,42 @@ def near_duplicates(docs: DataFrame, m: MinHash = MinHash(), text: str = "text")
                 keys = [int(signed(mix64(np.array([mix64(s).sum(dtype=U64) + U64(len(s))], U64)))[0]) for s in sets]
             yield record_batch({"id": b.column("id"), "key": keys, "data": [s.tobytes() for s in sets]}, schema)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col(text).alias("text")).where("first_id IS NOT NULL")
-    payload = texts.join(wanted, "first_id").select("id", "text").mapInArrow(set_bytes, "id long, key long, data binary")
-    payload = materialize(payload.where("id = key").select("id", "data").dropDuplicates(["id"]), "sets")
-
-    confirm = _confirm(pa.schema([("a", pa.int64()), ("b", pa.int64())]), m.percent)
-    joined = pairs.join(payload.select(F.col("id").alias("a"), F.col("data").alias("sx")), "a").join(payload.select(F.col("id").alias("b"), F.col("data").alias("sy")), "b")
-    small = joined.mapInArrow(confirm, "a long, b long")
-    percent = m.percent
-    large = grid_links(wide, payload, m.block, lambda data, left, right: block_links([np.frombuffer(d, U64) for d in data], left, right, percent), "wide-links")
-    groups = connected_components(small.unionByName(large), "groups")
-    named = nodes.join(groups.withColumnRenamed("node", "set_key"), "set_key")
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = groups.join(names, "component").select(F.col("node").alias("set_key"), "component_id")
-    own = node_rows.select(F.col("id").alias("set_key"), "first_id").join(linked, "set_key", "left").select("set_key", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(own, "set_key", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    linked = _confirm(pa.schema([("a", pa.int64()), ("b", pa.int64())]), m.percent)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The pairs that link by their full sets, which are built from the texts again for this."""
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        for known in seen:
+            wanted = wanted.join(known.select("id"), "id", "left_anti")
+        wanted = materialize(wanted.join(nodes.select("id", "first_id"), "id"), "sets-wanted")
+        found = shared_size_join(texts, wanted, "first_id").select("id", "text").mapInArrow(set_bytes, "id long, key long, data binary")
+        seen.append(materialize(found.where("id = key").select("id", "data").dropDuplicates(["id"]), "sets"))
+        drop_tables(wanted)
+        sets = reduce(DataFrame.unionByName, seen)
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("sx")), "a").join(sets.select(F.col("id").alias("b"), F.col("data").alias("sy")), "b")
+        return both.mapInArrow(linked, "a long, b long")
+
+    members = nodes.select(F.explode("bands").alias("bucket"), "id")
+    groups = linked_components(members, nodes.select("id", "mark"), lambda x, y: estimate(x, y, m) >= m.least_estimate(), confirm, "set", m.block)
+    named = shared_size_join(nodes.select("id", "n", "first_id"), groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
+    named = materialize(named.select("id", F.coalesce("component", "id").alias("component"), "first_id"), "set-named")
+    least = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "set-least")
+    named = materialize(shared_size_join(named, least, "component").select(F.col("id").alias("set_key"), "component_id"), "set-components")
+    out = shared_size_join(sigs.drop("sig", "bands"), named, "set_key", "left")
+    drop_tables(nodes, groups, least, *seen)
+    alone = F.when(F.col("set_key").isNotNull(), F.col("doc_id"))
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)))
+
+
+def near_duplicates(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of `docs`; component_id is the least doc_id of the
+    connected group.
+
+    Null or empty texts have an empty set and are linked with nothing. Rows with a null doc_id are never linked and
+    kept, with a null component_id. Repeated rows share a component; of a repeated doc_id each row counts with its own
+    set. A text of any length counts whole. An empty table gives no rows. Other columns of `docs`, whatever their names, play no part.
+    """
+    out = grouped(docs, m, text).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -245,9 +203,18 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each connected group stays: the one with the least doc_id. Rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each connected group stays: that of the least doc_id, and of its rows that of the least hash of the
+    text; rows that repeat doc_id and text count as one. Rows without a doc_id or without a word stay."""
+    rows = materialize(grouped(docs).where("component_id IS NOT NULL").select("doc_id", "text_key", "component_id"), "stage-rows")
+    firsts = rows.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key")).alias("first")).where("n > 1")
+    firsts = materialize(firsts.drop("n"), "stage-firsts")
+    known = shared_size_join(rows, firsts, "component_id").select("doc_id", "text_key", (F.struct("doc_id", "text_key") == F.col("first")).alias("stays")).distinct()
+    known = materialize(known, "stage-known")
+    drop_tables(rows, firsts)
+    keyed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    keyed = shared_size_join(keyed, known, ["doc_id", "text_key"], "left")
+    once = keyed.where("stays").dropDuplicates(["doc_id", "text_key"])
+    return keyed.where("stays IS NULL").unionByName(once).select("row.*")
 
 
 QUERIES = {"op6_minhash_dedup": op6_minhash_dedup}

@@ -1,10 +1,12 @@
 """Line dedup, suffix-array dedup and MinHash dedup against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import documents, empty, frame
 from sagelode.llm import common
@@ -52,19 +54,45 @@ def test_shared_size_join_counts_what_lists_hold(spark, monkeypatch):
     assert common.shared_size_join(big, empty_side, "k", "left", listed="v").count() == 2
 
 
-def test_candidate_pairs_of_small_and_large_buckets(spark):
+def test_bucket_rows(spark):
     rng = np.random.default_rng(0)
-    rows = [(int(k), i) for i, k in enumerate(rng.choice([1, 1, 1, 1, 2, 3, 4, 5], 200))]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    got = {tuple(r) for r in links.candidate_pairs(spark.createDataFrame(rows, "bucket long, id long"), 16, "t").collect()}
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    by = defaultdict(list)
+    rows = [(int(k), i) for i, k in enumerate(rng.choice([1, 1, 1, 1, 2, 3, 4, 5, *range(6, 60)], 200))]
+    by = defaultdict(set)
     for k, i in rows:
-        by[k].append(i)
-    want = set()
-    for v in by.values():
-        want |= {(v[0], x, 1) for x in v[1:]} if len(v) > 16 else {(v[i], v[j], 0) for j in range(len(v)) for i in range(j)}
-    assert got == want
+        by[k].add(i)
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = links.bucket_rows(spark.createDataFrame(rows, "bucket long, id long")).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r.bucket, r.id) for r in got) == sorted((k, i) for k, i in rows if len(by[k]) > 1)
+        leaders = {(r.bucket, r.leader) for r in got}
+        assert len(leaders) == len({k for k, _ in leaders}) and all(x in by[k] for k, x in leaders)
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_linked_components_lose_no_link_of_a_bucket(spark, block):
+    rng = np.random.default_rng(4)
+    value = rng.integers(0, 4000, 700)
+    buckets = [(int(b), i) for i in range(700) for b in {1000, *rng.integers(0, 30, 2).tolist()}]  # all share bucket 1000
+    linked = [(i, j) for i in range(700) for j in range(i) if abs(value[i] - value[j]) <= 3]
+    root = _groups(700, linked)
+    members = spark.createDataFrame(buckets, "bucket long, id long")
+    marks = spark.createDataFrame([(i, int(v)) for i, v in enumerate(value)], "id long, mark long")
+    confirm = lambda pairs: pairs.join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b").where("abs(x - y) <= 3").select("a", "b")
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 5
+    got = {r.node: r.component for r in links.linked_components(members, marks, near, confirm, "t", block).collect()}
+    alone = {i for i in range(700) if root.count(root[i]) == 1}
+    assert got == {i: root[i] for i in range(700) if i not in alone}
+
+
+def test_a_bucket_of_many_unlike_ids(spark):
+    n = 20_000
+    ids = spark.range(n)
+    members = ids.select(F.lit(7).cast("long").alias("bucket"), "id")
+    marks = ids.select("id", F.when(F.col("id") < 3, F.lit(0)).otherwise(F.xxhash64("id")).cast("long").alias("mark"))
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 5
+    got = links.linked_components(members, marks, near, lambda pairs: pairs, "t").collect()
+    assert sorted((r.node, r.component) for r in got) == [(0, 0), (1, 0), (2, 0)]
 
 
 def _sets(rows):
@@ -75,8 +103,8 @@ def _sets(rows):
     return out
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_minhash_components(spark, small):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_minhash_components(spark, block):
     rows = documents()
     sets = _sets(rows)
     ids = [r[0] for r in rows]
@@ -87,7 +115,7 @@ def test_minhash_components(spark, small):
     for i in ok:
         least[root[i]] = min(ids[i], least.get(root[i], 10**9))
     want = sorted((ids[i] if ids[i] is not None else -1, len(sets[i]), least[root[i]] if i in set(ok) else (ids[i] if ids[i] is not None else -1)) for i in range(len(rows)))
-    got = mh.near_duplicates(frame(spark), mh.MinHash(small=small, block=8)).collect()
+    got = mh.near_duplicates(frame(spark), mh.MinHash(block=block)).collect()
     num = lambda x: -1 if x is None else x
     assert sorted((num(r.doc_id), r.n_shingles, num(r.component_id)) for r in got) == want
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
@@ -104,59 +132,81 @@ def test_minhash_estimate_is_near_the_similarity():
     assert abs(((1 - bits / 512) - c) / (1 - c) - 0.8) < 0.08
 
 
-@pytest.mark.parametrize("p", [ld.LineDedup(), ld.LineDedup(small=2, block=3)])
-def test_line_dedup(spark, p):
-    rows = [r for r in documents()]
-    memo = HashMemo(lambda w: ld.normal_word(w).encode())
-    nothing = HashMemo()[b""]
-    occ = []
-    for d, t, *_ in rows:
-        for no, line in enumerate((t or "").split("\n")):
-            h = memo.array(line.split())
-            h = h[h != nothing]
-            if len(h) >= p.min_words:
-                occ.append((10**9 if d is None else d, no, t, ld.normal_line(line), h))
+def _edits(a: str, b: str) -> int:
+    """Levenshtein distance by the textbook table, a row at a time."""
+    row = np.arange(len(b) + 1)
+    other = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    for i, c in enumerate(a, 1):
+        least = np.minimum(row[1:] + 1, row[:-1] + (other != ord(c)))
+        least = np.concatenate(([i], least)) - np.arange(len(b) + 1)
+        row = np.minimum.accumulate(least) + np.arange(len(b) + 1)
+    return int(row[-1])
+
+
+def _alike(a: str, b: str) -> bool:
+    return _edits(a, b) <= int(0.15 * max(len(a), len(b)) + 1e-9)
+
+
+def _plain(line: str) -> str:
+    """Lower case, digits as 0, other signs dropped, by its own means."""
+    words = ("".join("0" if c.isdigit() else c for c in w.lower() if c.isalnum()) for w in line.split())
+    return " ".join(w for w in words if w)
+
+
+def _lines_left(rows):
+    """(doc_id, text without its repeated lines, lines removed) by comparing all lines with all."""
+    occ = [(10**9 if d is None else d, no, t, _plain(x)) for d, t, *_ in rows for no, x in enumerate((t or "").split("\n")) if _plain(x)]
     keys = list(dict.fromkeys(o[3] for o in occ))
-    sims = np.concatenate([ld.simhash(h, np.array([len(h)])) for h in ({o[3]: o[4] for o in occ}[k] for k in keys)])
-    linked = [(i, j) for i in range(len(keys)) for j in range(i) if int(sims[i] ^ sims[j]).bit_count() <= p.distance and ld._similar(keys[i], keys[j], p.similarity)]
-    root = dict(zip(keys, _groups(len(keys), linked), strict=True))
+    long = [i for i, k in enumerate(keys) if k.count(" ") > 1]
+    root = dict(zip(keys, _groups(len(keys), [(i, j) for i in long for j in long if j < i and _alike(keys[i], keys[j])]), strict=True))
     first = {}
-    for d, no, t, k, _ in occ:
+    for d, no, _, k in occ:
         first[root[k]] = min(first.get(root[k], (10**10, 0)), (d, no))
     gone = defaultdict(set)
-    for d, no, t, k, _ in occ:
+    for d, no, t, k in occ:
         if first[root[k]] != (d, no):
             gone[d, t].add(no)
-    want = []
+    out = []
     for d, t, *_ in rows:
         own = gone[10**9 if d is None else d, t]
-        want.append((-1 if d is None else d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in own), len(own)))
-    out = ld.line_dedup(frame(spark), p)
-    assert set(out.columns) == {"doc_id", "text", "lang", "n_words", "row_key", "n_lines", "n_removed"}
-    got = [(-1 if r.doc_id is None else r.doc_id, r.text, r.n_removed) for r in out.collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-
+        out.append((-1 if d is None else d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in own), len(own)))
+    return out
 
-def test_lines_of_edit_similarity_are_found_without_a_hamming_gate(spark):
-    import random
 
-    rng = random.Random(8)
-    common = ["the", "of", "and", "to", "in"]
-    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
-    lines = []
-    for i in range(150):
-        own = [word() for _ in range(rng.randrange(8, 41))]
+def test_line_dedup(spark):
+    rows = documents()
+    out = ld.line_dedup(frame(spark))
+    assert set(out.columns) == {"doc_id", "text", "lang", "n_words", "row_key", "n_lines", "n_removed"}
+    got = [(-1 if r.doc_id is None else r.doc_id, r.text, r.n_removed) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(_lines_left(rows), key=repr)
+
+
+def test_line_dedup_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d\nx", 8, 9, None)], "doc_id long, text string, `a.b` int, _row int, lines int")
+    got = ld.line_dedup(docs)
+    assert set(got.columns) == {"doc_id", "text", "a.b", "_row", "lines", "n_lines", "n_removed"}
+    assert {(r["doc_id"], r["text"], r["a.b"], r["_row"], r["lines"]) for r in got.collect()} == {(1, "a b c d", 5, 6, 7), (2, "x", 8, 9, None)}
+    assert {tuple(r) for r in ld.line_stage(spark, docs, "").collect()} == {(1, "a b c d", 5, 6, 7), (2, "x", 8, 9, None)}
+
+
+@pytest.mark.parametrize("n_words", [6, 10, 15, 25, 50])
+@pytest.mark.parametrize("kind", ["letter", "word"])
+def test_share_of_similar_lines_found(spark, n_words, kind):
+    """Of pairs with a letter or a word in twenty words changed, as far as the table of edits finds them alike, the share found."""
+    rng = random.Random(n_words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    rows, alike = [], 0
+    for i in range(200):
+        own = [word() for _ in range(n_words)]
         other = list(own)
-        for _ in range(max(1, len(own) // 14)):  # words put in place of others anywhere
-            other[rng.randrange(len(own))] = word()
-        lines += [" ".join(own), " ".join(other)]
-    lines = list(dict.fromkeys(lines))
-    linked = [(i, j) for i in range(len(lines)) for j in range(i) if ld._similar(lines[i], lines[j], 0.85)]
-    root = _groups(len(lines), linked)
-    assert len(linked) > 100
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.n_removed for r in ld.line_dedup(docs).collect()}
-    assert sum(got[i] != int(root[i] != i) for i in range(len(lines))) <= len(linked) // 100
+        for k in rng.sample(range(n_words), max(1, n_words // 20)):
+            at = rng.randrange(len(other[k]))
+            other[k] = other[k][:at] + rng.choice("0123456789") + other[k][at + 1 :] if kind == "letter" else word()
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+        alike += _alike(rows[-2][1], rows[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    removed = ld.line_dedup(docs).where("n_removed > 0").count()
+    assert alike > 50 and 0.9 * alike <= removed <= alike
 
 
 def test_repeated_lines_of_one_or_two_words_go(spark):
@@ -173,18 +223,14 @@ def test_simhash_is_the_majority_of_its_features():
 
 
 def test_edit_distance():
-    import random
-
     rng = random.Random(1)
     for _ in range(200):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(15))) for _ in range(2))
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
-            row = new
-        assert ld.edit_distance(a, b) == row[-1]
+        want = _edits(a, b)
+        assert ld.edit_distance(a, b) == want
+        for most in range(8):
+            assert (ld.edit_distance(a, b, most) <= most) == (want <= most)
+        assert ld.similar(a, b, 0.85) == _alike(a, b)
 
 
 @pytest.mark.parametrize("p", [sd.Repeats(), sd.Repeats(shard_bytes=2000), sd.Repeats(hot=2)])
@@ -207,6 +253,15 @@ def test_suffix_dedup(spark, p):
         assert r.n_removed == sum(b - a for a, b in r.spans) == r.n_bytes - len(r.kept)
 
 
+def test_minhash_stage_keeps_one_row_of_each_group(spark):
+    a, b, c = ("the quick brown fox jumps over it", "an other text of quite some words", "one more text that nobody else has")
+    rows = [(1, a, 1), (1, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (None, a, 5), (8, None, 6), (8, None, 6), (9, c, 7), (10, b.upper(), 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `x.text_key` int").repartition(2)
+    got = mh.minhash_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, a, 1), (5, b, 3), (None, a, 5), (8, None, 6), (8, None, 6), (9, c, 7)], key=repr)
+
+
 def test_empty_tables(spark):
     assert mh.near_duplicates(empty(spark)).count() == 0
     assert ld.line_dedup(empty(spark)).count() == 0
