@@ -1,5 +1,8 @@
 """Quality rules, URL filters, decontamination and the pipeline."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 
@@ -77,12 +80,71 @@ def test_decontamination(spark):
     frame_ = spark.createDataFrame([(d, " ".join(w)) for d, w in docs] + [(7, None), (8, ""), (0, " ".join(docs[0][1]))], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (10, "")], "item_id long, text string")
     want = {0: [0], 1: [1], 2: [], 3: [2], 4: [], 5: [], 6: [3], 7: [], 8: []}
-    for seeds in (dc.Seeds(), dc.Seeds(part_tokens=20)):
+    for seeds in (dc.Seeds(), dc.Seeds(chunk=1, most_bits=1 << 10)):
         assert {r.doc_id: r.item_ids for r in dc.contamination(frame_, bench, seeds).collect()} == want
     assert dc.contamination(frame_.limit(0), bench).count() == 0
     assert dc.contamination(frame_, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_masks_hit_every_overlap():
+    """Each way to place the differences that the verdict allows leaves all positions of some mask alone."""
+    seeds = dc.Seeds()
+    masks = [(len(m), sum(1 << i for i, c in enumerate(m) if c == "1")) for m in seeds.masks]
+    for n in range(seeds.span(), seeds.window + 1):
+        for gone in itertools.combinations(range(n), n * (100 - seeds.percent) // 100):
+            left = (1 << n) - 1 & ~sum(1 << i for i in gone)
+            assert any(left >> at & m == m for size, m in masks for at in range(n - size + 1))
+
+
+def _overlap(doc, item):
+    """Most agreeing tokens of an aligned window, without seeds: every diagonal, every window."""
+    if not item or not doc:
+        return 0
+    w, m = min(20, len(item)), len(item)
+    if m < 11:
+        return m if any(doc[i : i + m] == item for i in range(len(doc) - m + 1)) else 0
+    best = 0
+    for d in range(-m, len(doc)):
+        same = [0 <= d + j < len(doc) and doc[d + j] == item[j] for j in range(m)]
+        same = [False] * w + same + [False] * w
+        best = max(best, *(sum(same[i : i + w]) for i in range(len(same) - w)))
+    return best if 100 * best >= 75 * w else 0
+
+
+def test_decontamination_against_all_diagonals(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "a", "in"]) if rng.random() < 0.4 else "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (*range(11, 31), 4, 7, 10, 45, 60)] + [["the"] * 30]
+    docs = [[word() for _ in range(60)] for _ in range(20)] + [["the"] * 14, ["the"] * 400]
+    for i, item in enumerate(items * 3):
+        own = list(item)
+        for k in rng.sample(range(len(own)), min(len(own), rng.randrange(0, len(own) // 3 + 1))):
+            own[k] = word()
+        cut = rng.randrange(0, len(own) // 3 + 1) if i % 2 else 0  # parts of items too
+        docs.append([word() for _ in range(rng.randrange(9))] + own[cut:] + [word() for _ in range(rng.randrange(9))])
+    want = {(d, i): n for d, doc in enumerate(docs) for i, item in enumerate(items) if (n := _overlap(doc, item))}
+    assert 30 < len(want) < len(docs) * 3
+    frame_ = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_same for r in dc.benchmark_overlaps(frame_, bench).collect()}
+    assert got == want
+
+
+def test_decontamination_of_long_repetitive_texts(spark):
+    docs = spark.createDataFrame([(1, "the " * 200_000), (2, "x " * 300)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the " * 3000), (2, "the a " * 40)], "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in dc.contamination(docs, bench).collect()} == {1: [1], 2: []}
+
+
+def test_decontamination_stage_takes_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, "some words of a benchmark item that are long enough to count")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "clean", 77, 5), (2, "x some words of a benchmark item that are long enough to count", 78, 6), (None, None, 79, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, row_key int, `a.b` int")
+    got = dc.decontamination_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[2]], key=repr)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from sagelode.llm.minhash_dedup import near_duplicates
