@@ -53,6 +53,14 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, as UTF-8; null gives none.
     bytes.split() and bytes.lower() follow exactly these ASCII rules."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table, whole_row
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -46,15 +46,18 @@ RULES = (
 )
 
 
-def _repeated_words(words: str) -> Column:
+_HELPERS = ("_text", "_words", "_lines", "_windows", "_seq")
+
+
+def _repeated_words(words: str, windows: str) -> Column:
     """Words that lie in 8-word windows found twice or more. Windows are compared by 64-bit hash within one text;
     texts without a repeated hash stop after one pass through a hash set."""
     return F.expr(f"""
         CASE WHEN size({words}) < 9 THEN 0L
-             WHEN size(array_distinct(_windows)) = size(_windows) THEN 0L
+             WHEN size(array_distinct({windows})) = size({windows}) THEN 0L
              ELSE aggregate(
                transform(
-                 array(sort_array(transform(_windows, (h, i) -> struct(h AS h, i AS i)))),
+                 array(sort_array(transform({windows}, (h, i) -> struct(h AS h, i AS i)))),
                  s -> array_sort(transform(
                    filter(s, (x, j) -> coalesce(get(s, j - 1).h = x.h, false) OR coalesce(get(s, j + 1).h = x.h, false)),
                    x -> x.i))),
@@ -67,31 +70,33 @@ def _repeated_words(words: str) -> Column:
 def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the metric columns to `docs`. Null or blank texts have no words: counts are 0 and ratios 0.0.
 
-    Everything is a per-row expression: no shuffle, no Python. Columns of `docs` with these names are replaced.
+    Everything is a per-row expression: no shuffle, no Python. Columns of `docs` with the metrics' names are replaced,
+    all others pass through.
     """
+    raw, words, lines, windows, seq = (free_name(docs, n) for n in _HELPERS)
     body = F.coalesce(F.col(text), F.lit(""))
-    one = docs.withColumn("_text", body)
-    two = one.withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != "")).withColumn(
-        "_lines", F.filter(F.split("_text", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    one = docs.withColumn(raw, body)
+    two = one.withColumn(words, F.filter(F.split(raw, SPACE), lambda w: w != "")).withColumn(
+        lines, F.filter(F.split(raw, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
     )
-    three = two.withColumn("n_words", F.size("_words").cast("long")).withColumn(
-        "_windows", F.expr("CASE WHEN size(_words) >= 9 THEN transform(sequence(1, size(_words) - 7), i -> xxhash64(slice(_words, i, 8))) ELSE array() END")
+    three = two.withColumn("n_words", F.size(words).cast("long")).withColumn(
+        windows, F.expr(f"CASE WHEN size({words}) >= 9 THEN transform(sequence(1, size({words}) - 7), i -> xxhash64(slice({words}, i, 8))) ELSE array() END")
     )
-    lower = F.lower(F.regexp_replace("_text", "[.,;:!?]", ""))
+    lower = F.lower(F.regexp_replace(raw, "[.,;:!?]", ""))
     four = three.withColumns(
         {
-            "n_repeat_words": _repeated_words("_words"),
-            "word_chars": F.length(F.translate("_text", SPACE_CHARS, "")).cast("long"),
-            "n_chars_all": F.length("_text").cast("long"),
-            "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_upper": F.length(F.regexp_replace("_text", "\\P{Lu}+", "")).cast("long"),
-            "n_letters": F.length(F.regexp_replace("_text", "\\P{L}+", "")).cast("long"),
+            "n_repeat_words": _repeated_words(words, windows),
+            "word_chars": F.length(F.translate(raw, SPACE_CHARS, "")).cast("long"),
+            "n_chars_all": F.length(raw).cast("long"),
+            "n_symbols": (F.length(raw) - F.length(F.translate(raw, SYMBOLS, ""))).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_upper": F.length(F.regexp_replace(raw, "\\P{Lu}+", "")).cast("long"),
+            "n_letters": F.length(F.regexp_replace(raw, "\\P{L}+", "")).cast("long"),
             "n_stop": F.size(F.filter(F.split(lower, SPACE), lambda w: w.isin(*STOP_WORDS))).cast("long"),
-            "n_ellipsis": F.size(F.filter("_lines", lambda x: F.rtrim(x).endswith("..."))).cast("long"),
-            "n_bullets": F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long"),
-            "_seq": F.monotonically_increasing_id(),  # where it is used, a filter isn't pushed below, to compute all this again
+            "n_ellipsis": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("..."))).cast("long"),
+            "n_bullets": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long"),
+            seq: F.monotonically_increasing_id(),  # where it is used, a filter isn't pushed below, to compute all this again
         }
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -106,7 +111,7 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             "ellipsis_ratio": ratio("n_ellipsis", "n_lines"),
             "bullet_ratio": ratio("n_bullets", "n_lines"),
         }
-    ).drop("_text", "_words", "_lines", "_windows")
+    ).drop(raw, words, lines, windows)
 
 
 def failed(rule: Rule) -> Column:
@@ -130,9 +135,10 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     `failed_rules` (names, in table order) and `kept`.
 
     A null or empty text has no words and so fails. Repeated rows are judged each on its own; an empty table gives
-    no rows; nulls in other columns play no part.
+    no rows; nulls in other columns play no part. A text of any length counts whole. Columns named like the metrics or
+    verdicts are replaced, others pass through.
     """
-    return _judged(docs, rules, text).drop("_seq")
+    return _judged(docs, rules, text).drop(free_name(docs, "_seq"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +147,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows of `docs` that pass, unchanged."""
-    judged = _judged(docs.withColumn("_row", F.struct(*docs.columns)), RULES, "text")
+    """Keeps the rows of `docs` that pass, unchanged; repeated rows all stay."""
+    judged = _judged(docs.select(whole_row(docs).alias("_row"), "text"), RULES, "text")
     return judged.where(F.col("kept") & (F.col("_seq") >= 0)).select("_row.*")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table, whole_row
 
 #: (verdict, host, path): a rule fits its host and all subdomains when the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -26,18 +26,26 @@ class Reputation:
     most_strength: float = 1000.0
 
 
+#: Labels that form a suffix with a country's two letters, as in co.uk (fixed values).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "go", "gob", "ne", "net", "or", "org")
+
+
 def url_parts(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host, path, registered domain (last two labels) and suffix (last label).
+    """Adds host, path, suffix (last label, or the last two as in co.uk) and registered domain (suffix and the label before).
 
     Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: then up to `?`, `#` or the end.
-    Both are empty for null or where `://` is missing; then the domain and suffix are empty too.
+    Both are empty for null or where `://` is missing; then the domain and suffix are empty too. Columns of these names
+    are replaced.
     """
+    name = free_name(pages, "_rest")
     u = F.coalesce(F.col(url), F.lit(""))
-    rest = F.when(F.instr(u, "://") > 0, F.expr(f"substring(coalesce(`{url}`, ''), instr(coalesce(`{url}`, ''), '://') + 3)")).otherwise("")
-    out = pages.withColumn("_rest", rest)
-    out = out.withColumn("host", F.translate(F.regexp_extract("_rest", "^[^/?#]*", 0), _UPPER, _LOWER))
-    out = out.withColumn("path", F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1)).drop("_rest")
-    return out.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    at = F.instr(u, "://")
+    out = pages.withColumn(name, F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise(""))
+    out = out.withColumn("host", F.translate(F.regexp_extract(name, "^[^/?#]*", 0), _UPPER, _LOWER))
+    out = out.withColumn("path", F.regexp_extract(name, "^[^/?#]*([^?#]*)", 1)).drop(name)
+    two = F.col("host").rlike(f"(^|\\.)({'|'.join(SECOND_LEVEL)})\\.[a-z][a-z]$")
+    last = lambda k: F.substring_index("host", ".", -k)
+    return out.withColumn("domain", F.when(two, last(3)).otherwise(last(2))).withColumn("suffix", F.when(two, last(2)).otherwise(last(1)))
 
 
 def rule_match(rules=RULES) -> tuple[Column, Column]:
@@ -85,33 +93,37 @@ def host_reputation(outcomes: DataFrame, r: Reputation = Reputation()) -> DataFr
     return fitted.withColumn("bound", F.col("alpha") / total + r.z * F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1))))
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, r: Reputation = Reputation(), url: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, r: Reputation = Reputation(), url: str = "url", good: str = "good") -> DataFrame:
     """`pages` with host, path, rule and verdict. The longest fitting rule decides; else the host's reputation does,
-    and hosts without labelled pages are allowed. `outcomes` has page_id and good (0, 1 or null) for some pages.
+    and hosts without labelled pages are allowed. The column `good` has a page's outcome: 0, 1 or null.
 
-    Null urls get an empty host and are allowed. Repeated pages are judged alike and count once each in the
-    reputation; a page with several outcomes counts each. Empty tables give no rows or no reputation.
+    Null and very long urls are judged like any; null ones get an empty host and are allowed. Repeated pages are judged
+    alike and count once a row in the reputation; page ids, null ones too, play no part. An empty table gives no rows.
+    Columns named host, path, rule or verdict are replaced, others pass through.
     """
-    parts = url_parts(pages, url)
-    labelled = parts.select("page_id", "host", "domain", "suffix").join(outcomes.select("page_id", "good"), "page_id")
-    bad = host_reputation(labelled, r).where(F.col("bound") < r.floor).select(F.col("host").alias("_bad"))
+    inner = url_parts(pages.select(whole_row(pages).alias("row"), F.col(url).alias("url"), F.col(good).alias("good")))
+    bad = host_reputation(inner, r).where(F.col("bound") < r.floor).select(F.col("host").alias("bad"))
     name, verdict = rule_match(rules)
-    out = parts.join(bad, F.col("host") == F.col("_bad"), "left").withColumn("rule", name)
-    return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))).drop("_bad", "domain", "suffix")
+    out = inner.join(bad, F.col("host") == F.col("bad"), "left").withColumn("rule", name)
+    out = out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("bad").isNotNull(), "block").otherwise("allow")))
+    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in rest], "host", "path", "rule", "verdict")
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, good): the label of the document a page shows, whose number is the second part of the url's path."""
-    shown = url_parts(pages).select("page_id", F.expr("try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS bigint)").alias("doc_id"))
+    """`pages` with good: the label of the document a page shows, whose number is the second part of the url's path; null
+    where there is none. A document of several labels is good if all of them are."""
+    keyed = url_parts(pages.select(whole_row(pages).alias("row"), "url"))
+    keyed = keyed.select("row", F.expr("try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS bigint)").alias("doc_id"))
     good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)
-    return shown.where("doc_id IS NOT NULL").join(labels.select("doc_id", good.alias("good")), "doc_id").select("page_id", "good")
+    known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(good).alias("good"))
+    return keyed.join(known, "doc_id", "left").select("row.*", "good")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the labels of the documents on the pages: good quality and not toxic."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    outcomes = page_outcomes(pages, table(spark, sf_dir, "labels"))
-    return url_filter(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    pages = page_outcomes(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+    return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {"op9_url_filters": op9_url_filters}
@@ -133,8 +145,11 @@ ORACLES = {
     "op9_url_filters": f"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-q AS (SELECT *, string_split(host, '.') AS l, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p),
-hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END)::DOUBLE AS good FROM q JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) GROUP BY ALL),
+q AS (
+  SELECT page_id, host, path, array_to_string(list_slice(l, -k - 1, -1), '.') AS domain, array_to_string(list_slice(l, -k, -1), '.') AS suffix
+  FROM (SELECT *, string_split(host, '.') AS l, CASE WHEN regexp_matches(host, '(^|\\.)({"|".join(SECOND_LEVEL)})\\.[a-z][a-z]$') THEN 2 ELSE 1 END AS k FROM p)),
+lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id),
+hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM q JOIN lab ON doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) GROUP BY ALL),
 w AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS m0 FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m0) AS m0 FROM hosts, w GROUP BY suffix),
 s1 AS (SELECT suffix, (good + k * m0) / (n + k) AS m1 FROM s0, (SELECT {_moments("m0")} AS k FROM s0)),

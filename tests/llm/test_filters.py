@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -49,24 +50,54 @@ def test_quality_stage_returns_rows_as_they_are(spark):
 
 def test_url_rules(spark):
     urls = [(0, None), (1, "no scheme"), (2, "http://A.Example.ORG/es/x?q"), (3, "http://example.org"), (4, "https://x.com/de/1#a"), (5, "https://x.com/fr/"), (6, "http://notexample.org/en/1"), (7, "http://example.org/en/12"), (8, "://h.net?x/y"), (9, "a://b.c/p://q")]
-    pages = spark.createDataFrame(urls, "page_id long, url string")
-    none = spark.createDataFrame([], "page_id long, good int")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.url_filter(pages, none).collect()}
+    pages = spark.createDataFrame([(*u, None) for u in urls], "page_id long, url string, good int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.url_filter(pages).collect()}
     assert got == {
         0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("a.example.org", "/es/x", "example.org/es/", "block"), 3: ("example.org", "", None, "allow"),
         4: ("x.com", "/de/1", "com/de/", "block"), 5: ("x.com", "/fr/", "com/fr/", "allow"), 6: ("notexample.org", "/en/1", "org/", "allow"), 7: ("example.org", "/en/12", "example.org/en/1", "block"),
         8: ("h.net", "", None, "allow"), 9: ("b.c", "/p://q", None, "allow"),
     }
-    assert uf.url_filter(pages.limit(0), none).count() == 0
+    assert uf.url_filter(pages.limit(0)).count() == 0
 
 
 def test_reputation_blocks_a_bad_host_only(spark):
     rows = [(i, f"http://h{i % 10}.example.net/p", int(i % 10 != 3)) for i in range(2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, good int")
-    out = uf.url_filter(pages.drop("good"), pages.select("page_id", "good")).where("verdict = 'block'").select("host").distinct().collect()
+    out = uf.url_filter(pages).where("verdict = 'block'").select("host").distinct().collect()
     assert [r.host for r in out] == ["h3.example.net"]
 
 
+def test_url_filter_counts_rows_and_keeps_columns(spark, tmp_path):
+    """Repeated and missing page ids count once a row; columns of any name pass through."""
+    rows = [(7 if i % 2 else None, f"http://h{i % 4}.example.co.uk/en/{i % 4}", i, i, i, i) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, domain int, _rest int, `a.b` int, bad int")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, None), (2, 0, 0), (3, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    shown = uf.page_outcomes(pages, labels)
+    assert shown.count() == 400 and {(r.domain % 4, r.good) for r in shown.collect()} == {(0, 1), (1, 0), (2, 0), (3, 0)}
+    out = uf.url_filter(shown)
+    assert set(out.columns) == {*pages.columns, "good", "host", "path", "rule", "verdict"}
+    got = out.collect()
+    assert len(got) == 400 and {(r["_rest"], r["a.b"], r["bad"], r["domain"]) for r in got} == {(i, i, i, i) for i in range(400)}
+    assert {(r.host, r.verdict) for r in got} == {("h0.example.co.uk", "allow")} | {(f"h{k}.example.co.uk", "block") for k in (1, 2, 3)}
+    for name, t in (("pages", pages), ("labels", labels)):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES["op9_url_filters"]).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in uf.op9_url_filters(spark, str(tmp_path)).collect())
+    names = uf.url_parts(spark.createDataFrame([("http://a.b.co.uk",), ("http://a.b.com",), ("http://co.uk",), ("x",)], "url string")).select("domain", "suffix").collect()
+    assert [tuple(r) for r in names] == [("b.co.uk", "co.uk"), ("b.com", "com"), ("co.uk", "co.uk"), ("", "")]
+
+
+def test_quality_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("t " * 30, 1, 2, 3, 4), (None, 5, 6, 7, None)], "text string, _text int, _seq int, `a.b` int, _WORDS int")
+    got = qr.quality_rules(docs)
+    assert {"_text", "_seq", "a.b", "_WORDS"} <= set(got.columns) and not {"__text", "__seq", "__words", "_lines"} & set(got.columns)
+    assert sorted((r["_text"], r["_seq"], r["a.b"], r["n_words"]) for r in got.collect()) == [(1, 2, 3, 30), (5, 6, 7, 0)]
+    assert qr.quality_stage(spark, docs, "").columns == docs.columns
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
