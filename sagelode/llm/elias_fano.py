@@ -110,26 +110,29 @@ class Trie:
             return Trie.read(memoryview(f.read_buffer()))
 
     def find(self, context: np.ndarray, successor: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-        """Codes of n-grams (sorted by context and successor), 0 where there is none. Successors are taken apart in
-        stretches of `step`."""
+        """Codes of n-grams (sorted by context and successor), 0 where there is none. The pointers of the contexts asked
+        for give where their successors lie; these are taken apart for about `step` successors of asked contexts at a
+        time, others stay packed, and each n-gram is sought among the successors of its context."""
         out = np.zeros(len(context), np.uint16)
+        if not len(context) or not self.contexts.n:
+            return out
         known = self.contexts.slice(0, self.contexts.n)
         place = np.searchsorted(known, context)
-        ok = np.flatnonzero((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == context) & (successor < self.ids)) if len(known) else np.empty(0, np.int64)
-        sought = place[ok] * self.ids + successor[ok]
-        for lo in range(0, self.successors.n, step):
-            own = self.successors.slice(lo, min(lo + step, self.successors.n))
-            a, b = np.searchsorted(sought, [own[0], own[-1] + 1])
-            at = np.searchsorted(own, sought[a:b])
-            hit = own[at] == sought[a:b]
-            out[ok[a:b][hit]] = self.codes[lo + at[hit]]
+        ok = np.flatnonzero((known[np.minimum(place, len(known) - 1)] == context) & (successor < self.ids))
+        if not len(ok):
+            return out
+        pointer = self.pointers.slice(0, self.pointers.n)
+        place = place[ok]
+        asked, first = np.unique(place, return_index=True)
+        first = np.append(first, len(place))
+        lo, hi = pointer[asked], pointer[asked + 1]
+        stretch = np.cumsum(hi - lo) // step
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(stretch) | (lo[1:] != hi[:-1])) + 1, [len(asked)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = slice(first[a], first[b])
+            own = self.successors.slice(int(lo[a]), int(hi[b - 1]))
+            sought = place[mine] * self.ids + successor[ok[mine]]
+            at = np.minimum(np.searchsorted(own, sought), len(own) - 1)
+            hit = own[at] == sought
+            out[ok[mine][hit]] = self.codes[int(lo[a]) + at[hit]]
         return out
-
-    def range_of(self, context: int) -> tuple[int, int]:
-        """Where a context's successors lie."""
-        known = self.contexts.slice(0, self.contexts.n)
-        i = int(np.searchsorted(known, context))
-        if i == len(known) or known[i] != context:
-            return 0, 0
-        lo, hi = self.pointers.slice(i, i + 2)
-        return int(lo), int(hi)

@@ -29,20 +29,22 @@ from .pretokens import has_space_beside_blank, segments
 
 MAGIC = b"TOKZ0001"
 FOOTER = "<32sIQQ8s"
-RECORD = np.dtype([("doc_id", "<i8"), ("has_id", "<u8"), ("start", "<i8"), ("n", "<i8"), ("offset", "<i8"), ("bytes", "<i8")])
+RECORD = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("start", "<i8"), ("n", "<i8"), ("offset", "<i8"), ("bytes", "<i8")])
 
 
 @dataclass(frozen=True)
 class Format:
     """The dictionary of `dict_bytes` is trained on the ids of about `samples` documents of at most `sample_chars`
     characters, picked by a hash of doc_id: a bounded sample that has no say in what is stored. `memo` bounds the
-    words whose ids a worker remembers, and twice the segments."""
+    words whose ids a worker remembers, and twice the segments. A task starts a new file after `file_bytes`, which also
+    bounds the index it holds."""
 
     dict_bytes: int = 65_536
     samples: int = 1000
     sample_chars: int = 20_000
     level: int = 3
     memo: int = 1_200_000
+    file_bytes: int = 256_000_000
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -166,13 +168,34 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def with_starts(files: DataFrame) -> DataFrame:
-    """(file_no, path, docs, tokens) and start, the tokens of the files before: a running sum inside each hundred files,
-    and the sums of the hundreds before."""
-    files = files.withColumn("hundred", F.floor(F.col("file_no") / 100))
-    inside = F.sum("tokens").over(Window.partitionBy("hundred").orderBy("file_no")) - F.col("tokens")
-    base = files.groupBy("hundred").agg(F.sum("tokens").alias("t"))
-    base = base.withColumn("base", F.sum("t").over(Window.orderBy("hundred")) - F.col("t"))  # a row for each hundred files
-    return files.withColumn("inside", inside).join(base, "hundred").select("file_no", "path", "docs", "tokens", (F.col("inside") + F.col("base")).alias("start"))
+    """(file_no, path, docs, tokens) and start, the tokens of the files before: a running sum inside each task's files,
+    and the sums of the tasks before. The upper bits of file_no number the task."""
+    files = files.withColumn("task", F.shiftright("file_no", 20))
+    inside = F.sum("tokens").over(Window.partitionBy("task").orderBy("file_no")) - F.col("tokens")
+    base = files.groupBy("task").agg(F.sum("tokens").alias("t"))
+    base = base.withColumn("base", F.sum("t").over(Window.orderBy("task")) - F.col("t"))  # a row for each task
+    return files.withColumn("inside", inside).join(base, "task").select("file_no", "path", "docs", "tokens", (F.col("inside") + F.col("base")).alias("start"))
+
+
+class _Output:
+    """A file that is written: documents one after another, then index and footer."""
+
+    def __init__(self, fs, path: str, press: zstandard.ZstdCompressor, width: int):
+        self.path, self.press, self.width, self.f = path, press, width, fs.open_output_stream(path)
+        self.f.write(MAGIC)
+        self.index, self.docs, self.tokens, self.offset = array("q"), 0, 0, len(MAGIC)  # an index record is six numbers
+
+    def put(self, doc_id: int | None, raw: bytes) -> None:
+        cell = self.press.compress(raw)
+        self.f.write(cell)
+        n = len(raw) // self.width
+        self.index.extend((doc_id or 0, doc_id is not None, self.tokens, n, self.offset, len(cell)))
+        self.docs, self.tokens, self.offset = self.docs + 1, self.tokens + n, self.offset + len(cell)
+
+    def close(self, dictionary: bytes) -> None:
+        self.f.write(np.array(self.index, "<i8").tobytes())
+        self.f.write(struct.pack(FOOTER, hashlib.sha256(dictionary).digest(), self.width, self.docs, self.offset, MAGIC))
+        self.f.close()
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = None, fmt: Format = Format(), text: str = "text") -> DataFrame:
@@ -180,8 +203,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
     order over the files; returns the manifest (file_no, path, docs, tokens, start), start counting the tokens in the files before.
 
     Null and empty texts have no ids but the end id. Rows with a null doc_id come first; rows of one doc_id are in the
-    order of their text. An empty table gives an empty manifest. A task that runs again writes a file of another name,
-    and only the files of finished tasks are in the manifest.
+    order of their text's hash, so that a doc_id of any number of rows is dealt to several tasks. A text of any length
+    is one document. An empty table gives an empty manifest. Columns of `docs` besides doc_id and text, whatever their
+    names, play no part. A task that runs again writes files of other names, and only those of finished tasks are in
+    the manifest.
     """
     spark = docs.sparkSession
     data = train_dictionary(docs, tokenizer, fmt, text)
@@ -190,48 +215,41 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
     with fs.open_output_stream(f"{base}/dictionary") as f:
         f.write(data)
     shared = spark.sparkContext.broadcast(data)
-    schema = pa.schema([("file_no", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+    schema = pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        enc = encoder(tokenizer, fmt.memo)
-        zd = _dictionary(shared.value)
-        if zd:
-            zd.precompute_compress(level=fmt.level)
-        press = zstandard.ZstdCompressor(level=fmt.level, dict_data=zd)
-        end = b"" if end_id is None else np.array([end_id], f"<u{enc.width}").tobytes()
+        enc, out, seq = None, None, 0
         no = TaskContext.get().partitionId()
         fs, base = filesystem(root)
-        path = f"{base}/part-{no:05d}-{uuid.uuid4().hex}.tokz"
-        index, start = [], 0
-        with fs.open_output_stream(path) as f:
-            f.write(MAGIC)
-            offset = len(MAGIC)
-
-            def put(b):
-                nonlocal start, offset
-                ids = b.column("doc_id").to_pylist()
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                for d, raw in zip(ids, enc.encode(texts), strict=True):
-                    raw += end
-                    cell = press.compress(raw)
-                    f.write(cell)
-                    n = len(raw) // enc.width
-                    index.append((d or 0, d is not None, start, n, offset, len(cell)))
-                    start, offset = start + n, offset + len(cell)
-
-            put(first)
-            for b in batches:
-                put(b)
-            f.write(np.array(index, RECORD).tobytes())
-            f.write(struct.pack(FOOTER, hashlib.sha256(shared.value).digest(), enc.width, len(index), offset, MAGIC))
-        yield record_batch({"file_no": [no], "path": [path], "docs": [len(index)], "tokens": [start]}, schema)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = materialize(rows.mapInArrow(run, "file_no int, path string, docs long, tokens long"), "token-files")
+
+        def close():
+            nonlocal out, seq
+            out.close(shared.value)
+            row = record_batch({"file_no": [(no << 20) + seq], "path": [out.path], "docs": [out.docs], "tokens": [out.tokens]}, schema)
+            out, seq = None, seq + 1
+            return row
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if enc is None:
+                enc, zd = encoder(tokenizer, fmt.memo), _dictionary(shared.value)
+                if zd:
+                    zd.precompute_compress(level=fmt.level)
+                press = zstandard.ZstdCompressor(level=fmt.level, dict_data=zd)
+                end = b"" if end_id is None else np.array([end_id], f"<u{enc.width}").tobytes()
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for d, raw in zip(b.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
+                out = out or _Output(fs, f"{base}/part-{no:05d}-{seq:05d}-{uuid.uuid4().hex}.tokz", press, enc.width)
+                out.put(d, raw + end)
+                if out.offset >= fmt.file_bytes:
+                    yield close()
+        if out:
+            yield close()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(shuffle_width(spark), "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
+    files = materialize(rows.select("doc_id", "text").mapInArrow(run, "file_no long, path string, docs long, tokens long"), "token-files")
     return with_starts(files)
 
 
