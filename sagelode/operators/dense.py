@@ -37,14 +37,15 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096
                 cols = {c: [] for c in schema.names}
                 for g in np.unique(grp):
                     at = np.flatnonzero(grp == g)
-                    for j, name in enumerate(names):
-                        s = sim[at, j]
-                        best = np.lexsort((ids[at], -s))[:k]
-                        best = best[s[best] >= floor] if floor is not None else best
-                        cols["query_id"] += [name] * len(best)
-                        cols["id"] += ids[at][best].tolist()
-                        cols["grp"] += [str(g)] * len(best)
-                        cols["sim"] += s[best].tolist()
+                    s = sim[at]
+                    least = np.full(len(names), -np.inf if floor is None else floor)
+                    if len(at) > k:  # the k-th best of each query, with all that equal it
+                        least = np.maximum(least, np.partition(s, len(at) - k, axis=0)[len(at) - k])
+                    i, j = np.nonzero(s >= least)
+                    cols["query_id"] += [names[x] for x in j.tolist()]
+                    cols["id"] += ids[at][i].tolist()
+                    cols["grp"] += [str(g)] * len(i)
+                    cols["sim"] += s[i, j].tolist()
                 yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
         out.append(rows.mapInArrow(run, "query_id long, id long, grp string, sim double"))

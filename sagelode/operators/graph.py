@@ -12,6 +12,8 @@ def settled(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and cuts the lineage, so that plans of loops don't grow."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sagelode-"))
     return df.checkpoint()
 

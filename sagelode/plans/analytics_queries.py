@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import simple_tokens
 from ..operators import analytics as an
-from ..operators import graph
+from ..operators import graph, lexical
 from ..sources import sinks
 from ..sources.readers import CHUNKS_SQL, chunks, table
 from .retrieval_queries import _BM25, _RANK, _TF, _lists
@@ -25,7 +25,7 @@ def _events(spark, sf):
 
 def key_lookup_capped(spark, sf):
     """Of each part the three line items that come first by supplier and order."""
-    p = table(spark, sf, "part").where("p_size <= 5").select("p_partkey")
+    p = table(spark, sf, "part").select("p_partkey")
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), "l_suppkey")
     w = Window.partitionBy("p_partkey").orderBy("l_suppkey", "l_orderkey", "l_linenumber")
     return li.join(p, "p_partkey").withColumn("n", F.row_number().over(w).cast("long")).where("n <= 3")
@@ -49,7 +49,8 @@ def prefix_join(spark, sf):
 
 
 def anti_missing(spark, sf):
-    c = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Customers without an urgent order, by segment."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -81,18 +82,18 @@ def prev_turn(spark, sf):
 
 
 def session_memory(spark, sf):
-    """Newest three conversations with a word of the first benchmark item, and the first turn that has one."""
-    words = table(spark, sf, "benchmark").where("item_id = 0").select(F.explode(simple_tokens(F.col("text"))).alias("w")).where("length(w) >= 6").distinct()
+    """For every fiftieth benchmark item the newest three conversations with a word of it, and the first turn that has one."""
+    words = table(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.explode(simple_tokens(F.col("text"))).alias("w")).where("length(w) >= 6").distinct()
     t = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(simple_tokens(F.col("text")))).alias("w"))
-    hits = t.join(words, "w", "left_semi").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
-    return sinks.newest(hits, 3, [F.desc("conv_id")])
+    hits = t.join(words, "w").groupBy("query_id", "conv_id").agg(F.min("turn").alias("first_turn"))
+    return lexical.top_k(hits, 3, ["query_id"], [F.desc("conv_id")])
 
 
 # graph
 
 
 def co_citation(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    li = table(spark, sf, "lineitem")
     return graph.co_citation(li.select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
 
 
@@ -104,7 +105,7 @@ def _places(spark, sf):
 
 def bfs_depth2(spark, sf):
     e = graph.symmetric(_places(spark, sf), ["part_of"])
-    seeds = table(spark, sf, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("S_"), F.col("s_suppkey").cast("string")).alias("node"))
+    seeds = table(spark, sf, "supplier").select(F.concat(F.lit("S_"), F.col("s_suppkey").cast("string")).alias("node"))
     return graph.walk(e, seeds, 2)
 
 
@@ -161,12 +162,12 @@ def health_bands(spark, sf):
 
 
 def miss_rates(spark, sf):
-    """Of each category the event kinds missing for 30 % or more of at least five users."""
-    e = _events(spark, sf).select("user_id", "event_type").distinct()
-    users = e.select("user_id").distinct().withColumn("grp", F.col("user_id") % 7)
+    """Of each category the event kinds missing on 30 % or more of its users' days, of which there are five at least."""
+    e = _events(spark, sf).select("user_id", F.to_date("ts").alias("day"), "event_type").distinct()
+    users = e.select("user_id", "day").distinct().withColumn("grp", F.col("user_id") % 7)
     kinds = e.select("event_type").distinct()
     all_ = users.crossJoin(F.broadcast(kinds))  # five kinds
-    m = all_.join(e.withColumn("hit", F.lit(1)), ["user_id", "event_type"], "left").groupBy("grp", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("hit").isNull(), 1.0).otherwise(0.0)), 6).alias("miss_rate"))
+    m = all_.join(e.withColumn("hit", F.lit(1)), ["user_id", "day", "event_type"], "left").groupBy("grp", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("hit").isNull(), 1.0).otherwise(0.0)), 6).alias("miss_rate"))
     return m.where("n >= 5 AND miss_rate >= 0.3")
 
 
@@ -328,17 +329,17 @@ _PICK = lambda kind: f"(SELECT user_id, list_sort(list_distinct(list(strftime(ts
 _OK = "round(100.0 * count_if(event_type <> 'error') / count(*), 1)"
 
 ORACLES = {
-    "key_lookup_capped": "SELECT l_orderkey, l_linenumber, p_partkey, l_suppkey, row_number() OVER (PARTITION BY p_partkey ORDER BY l_suppkey, l_orderkey, l_linenumber) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 5 QUALIFY n <= 3",
+    "key_lookup_capped": "SELECT l_orderkey, l_linenumber, p_partkey, l_suppkey, row_number() OVER (PARTITION BY p_partkey ORDER BY l_suppkey, l_orderkey, l_linenumber) AS n FROM lineitem JOIN part ON p_partkey = l_partkey QUALIFY n <= 3",
     "alias_fallback": "SELECT page_id, coalesce(d.doc_id, f.doc_id) AS target, CASE WHEN d.doc_id IS NULL THEN 'alias' ELSE 'own' END AS via FROM pages LEFT JOIN documents d ON d.doc_id = page_id * 7 + 3 LEFT JOIN documents f ON f.doc_id = page_id % 100",
     "prefix_join": f"SELECT p_partkey, key, target FROM (SELECT p_partkey, {_KEY} AS key FROM part), (SELECT 'SEC_' || (n_nationkey + 10) AS target FROM nation) WHERE key = target OR (starts_with(key, target) AND regexp_matches(substr(key, length(target) + 1, 1), '[_A-Za-z]'))",
-    "anti_missing": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
+    "anti_missing": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1",
     "range_neighbours": "SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS m, b.l_partkey AS near_part, row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY b.l_linenumber, b.l_partkey) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(b.l_linenumber - a.l_linenumber) <= 2 AND a.l_linenumber <> b.l_linenumber QUALIFY n <= 2",
     "exact_duplicates": "SELECT doc_id, first_id, n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE doc_id <> first_id",
     "merge_new_wins": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'new' || quality, 0 FROM labels",
     "prev_turn": "SELECT conv_id, turn, md5(b) AS before_md5 FROM (SELECT *, lag(text) OVER w AS b, lag(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND r = 'user'",
-    "session_memory": f"WITH w AS (SELECT DISTINCT w FROM (SELECT unnest({simple_tokens_sql('text')}) AS w FROM benchmark WHERE item_id = 0) WHERE length(w) >= 6) SELECT conv_id, min(turn) AS first_turn FROM (SELECT conv_id, turn, unnest({simple_tokens_sql('text')}) AS t FROM conversations) WHERE t IN (SELECT w FROM w) GROUP BY 1 ORDER BY conv_id DESC LIMIT 3",
-    "co_citation": "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS n FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2",
-    "bfs_depth2": f"WITH {_EDGES}, s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'S_' || s_suppkey AS seed, 'S_' || s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey % 10 = 0), h1 AS (SELECT seed, dst AS node, 1 AS hops FROM h0 JOIN s ON src = node), h2 AS (SELECT seed, dst AS node, 2 AS hops FROM h1 JOIN s ON src = node) SELECT seed, node, min(hops) AS hops FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2",
+    "session_memory": f"WITH w AS (SELECT DISTINCT query_id, w FROM (SELECT item_id AS query_id, unnest({simple_tokens_sql('text')}) AS w FROM benchmark WHERE item_id % 50 = 0) WHERE length(w) >= 6) SELECT query_id, conv_id, min(turn) AS first_turn, row_number() OVER (PARTITION BY query_id ORDER BY conv_id DESC) AS rank FROM (SELECT conv_id, turn, unnest({simple_tokens_sql('text')}) AS t FROM conversations) JOIN w ON t = w GROUP BY 1, 2 QUALIFY rank <= 3",
+    "co_citation": "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS n FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2",
+    "bfs_depth2": f"WITH {_EDGES}, s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'S_' || s_suppkey AS seed, 'S_' || s_suppkey AS node, 0 AS hops FROM supplier), h1 AS (SELECT seed, dst AS node, 1 AS hops FROM h0 JOIN s ON src = node), h2 AS (SELECT seed, dst AS node, 2 AS hops FROM h1 JOIN s ON src = node) SELECT seed, node, min(hops) AS hops FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2",
     "graph_levels": f"WITH {_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d1 AS (SELECT node, CASE WHEN node LIKE 'S%' THEN 0 WHEN node LIKE 'N%' AND node IN (SELECT dst FROM e) THEN 1 WHEN node LIKE 'N%' THEN 0 END AS level FROM n) SELECT node, coalesce(level, (SELECT max(d.level) + 1 FROM e JOIN d1 d ON d.node = e.src WHERE e.dst = d1.node))::INTEGER AS level FROM d1",
     "parent_edges": f"WITH k AS (SELECT DISTINCT {_OKEY} AS key FROM orders) SELECT key, parent, 15 AS weight FROM (SELECT key, array_to_string(list_slice(string_split(key, '_'), 1, 3), '_') AS parent FROM k WHERE len(string_split(key, '_')) > 3) WHERE parent IN (SELECT key FROM k)",
     "coverage_verify": f"""{_BM25}, b AS ({_RANK("bm", 1)}), c AS (SELECT item_id, b.chunk_id, len(list_intersect(list_distinct({simple_tokens_sql("benchmark.text")}), list_distinct({simple_tokens_sql("chunks.text")}))) AS found, len(list_distinct({simple_tokens_sql("benchmark.text")})) AS total FROM benchmark JOIN b ON query_id = item_id JOIN chunks USING (chunk_id))
@@ -347,7 +348,7 @@ ORACLES = {
     "daily_counts": "WITH d AS (SELECT unnest(generate_series(max(ts)::DATE - INTERVAL 6 DAYS, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events) SELECT strftime(day, '%Y-%m-%d') AS day, count(event_id) AS n FROM d LEFT JOIN events ON ts::DATE = day GROUP BY 1",
     "active_users": "SELECT greatest(count(DISTINCT user_id), 1) AS users FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS",
     "health_bands": f"SELECT band, count(*) AS n FROM (SELECT CASE WHEN {_OK} < 50 THEN 'critical' WHEN {_OK} < 80 THEN 'degraded' ELSE 'healthy' END AS band FROM events GROUP BY user_id) GROUP BY 1",
-    "miss_rates": "WITH p AS (SELECT DISTINCT user_id, event_type FROM events), u AS (SELECT DISTINCT user_id, user_id % 7 AS grp FROM events), k AS (SELECT DISTINCT event_type FROM events) SELECT grp, k.event_type, count(*) AS n, round(avg(CASE WHEN p.user_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS miss_rate FROM u CROSS JOIN k LEFT JOIN p ON p.user_id = u.user_id AND p.event_type = k.event_type GROUP BY 1, 2 HAVING count(*) >= 5 AND round(avg(CASE WHEN p.user_id IS NULL THEN 1.0 ELSE 0.0 END), 6) >= 0.3",
+    "miss_rates": "WITH p AS (SELECT DISTINCT user_id, ts::DATE AS day, event_type FROM events), u AS (SELECT DISTINCT user_id, ts::DATE AS day, user_id % 7 AS grp FROM events), k AS (SELECT DISTINCT event_type FROM events) SELECT grp, k.event_type, count(*) AS n, round(avg(CASE WHEN p.user_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS miss_rate FROM u CROSS JOIN k LEFT JOIN p ON p.user_id = u.user_id AND p.day = u.day AND p.event_type = k.event_type GROUP BY 1, 2 HAVING count(*) >= 5 AND round(avg(CASE WHEN p.user_id IS NULL THEN 1.0 ELSE 0.0 END), 6) >= 0.3",
     "category_inventory": f"WITH {CHUNKS_SQL} SELECT {_cat_sql('lower(rel_path)')} AS category, count(*) AS n, sum(length(text))::BIGINT AS chars, count_if(length(text) < 500) AS short, round(100.0 * count_if(lang = 'en') / count(*), 1) AS en_pct FROM chunks GROUP BY 1",
     "year_groups": f"WITH {CHUNKS_SQL}, y AS (SELECT split_part(rel_path, '/', 2) AS year, count(*) AS n FROM chunks GROUP BY 1) SELECT *, row_number() OVER (ORDER BY year DESC) AS pos FROM y",
     "retention": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10",

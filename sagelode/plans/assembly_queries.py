@@ -8,11 +8,11 @@ from ..functions import legal, text
 from ..functions.text import simple_tokens
 from ..functions.vectors import inner
 from ..operators import analytics as an
-from ..operators import assembly, dense, graph
+from ..operators import assembly, dense, graph, lexical
 from ..sources.readers import CHUNKS_SQL, chunks, table
 from .analytics_queries import _RUNS, _runs
 from .retrieval_queries import _BM25, _CORPUS, _DOT, _RANK, _bm25, _corpus
-from .text_queries import _SENTENCES_SQL, _cat_sql, _sentences, simple_tokens_sql
+from .text_queries import _ALL_SQL, _all_texts, _cat_sql, simple_tokens_sql
 
 #: (order, trigger, term): what a query that holds the trigger is widened by.
 EXPANSIONS = ((1, "refund", "export"), (2, "refund", "zero rated"), (3, "section", "provision"), (4, "section", "clause"), (5, "credit", "input tax"), (6, "demand", "notice"), (7, "demand", "interest"), (8, "rule", "return"))
@@ -26,13 +26,16 @@ def packed_chunks(spark, sf):
 
 
 def template_hybrid(spark, sf):
-    """0.4 of the vector and 0.6 of the title for the first benchmark item; above 0.15, best fifteen."""
-    item = table(spark, sf, "benchmark").where("item_id = 0").select(F.col("text").alias("q"), F.slice(F.array_distinct(simple_tokens(F.col("text"))), 1, 5).alias("qw"))
-    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    near = vec.crossJoin(F.broadcast(vec.where("id = 0").select(F.col("vec").alias("qv")))).select(F.col("id").alias("chunk_id"), F.round(inner(F.col("vec"), F.col("qv")), 6).alias("sim"))
-    t = chunks(spark, sf).withColumn("title", F.split_part("text", F.lit("."), F.lit(1))).crossJoin(F.broadcast(item)).join(near, "chunk_id", "left")
-    score = F.round(0.4 * F.coalesce("sim", F.lit(0.0)) + 0.6 * assembly.lexical_match(F.col("title"), F.col("q"), F.col("qw")), 6)
-    return t.select("chunk_id", score.alias("score")).where("score > 0.15").orderBy(F.desc("score"), "chunk_id").limit(15)
+    """0.4 of the vector and 0.6 of the title for every fiftieth benchmark item, whose vector is the one of its number;
+    above 0.15, best fifteen of each. Every text is scored against that stated set of queries."""
+    items = table(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), F.slice(F.array_distinct(simple_tokens(F.col("text"))), 1, 5).alias("qw"))
+    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    items = items.join(vec.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qv")), "query_id", "left")
+    t = chunks(spark, sf).select("chunk_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title")).join(vec, "chunk_id", "left").crossJoin(items)
+    sim = F.round(inner(F.col("vec"), F.col("qv")), 6)
+    score = F.round(0.4 * F.coalesce(sim, F.lit(0.0)) + 0.6 * assembly.lexical_match(F.col("title"), F.col("q"), F.col("qw")), 6)
+    scored = t.select("query_id", "chunk_id", score.alias("score")).where("score > 0.15")
+    return lexical.top_k(scored, 15, ["query_id"], [F.desc("score"), "chunk_id"])
 
 
 def library_search(spark, sf):
@@ -41,8 +44,6 @@ def library_search(spark, sf):
 
 
 def _ranked(spark, sf):
-    from ..operators import lexical
-
     s = _bm25(spark, sf).join(_corpus(spark, sf).select("chunk_id", "category", "rel_path"), "chunk_id")
     return lexical.top_k(s, 50, ["query_id"], [F.desc("score"), "chunk_id"])
 
@@ -73,7 +74,7 @@ def semantic_cache(spark, sf):
 
 
 def citation_verify(spark, sf):
-    s = _sentences(spark)
+    s = _all_texts(spark, sf)
     cites = s.select("id", F.explode(F.regexp_extract_all(F.col("q"), F.lit(r"((?:Section|Rule)\s+\d+(?:\(\d+\))?)"), 1)).alias("citation"))
     sources = s.where("id IN (2, 3)").select(F.lower("q").alias("text"))
     return assembly.verify_citations(cites, sources, legal.citation_variants(F.col("citation")))
@@ -81,7 +82,7 @@ def citation_verify(spark, sf):
 
 def query_expansion(spark, sf):
     rules = spark.createDataFrame(list(EXPANSIONS), "ord int, trigger string, term string")
-    return assembly.expand(_sentences(spark), rules, 3)
+    return assembly.expand(_all_texts(spark, sf), rules, 3)
 
 
 def concept_paths(spark, sf):
@@ -128,19 +129,19 @@ _RULES_SQL = "rules(ord, trig, term) AS (VALUES " + ", ".join(f"({o}, '{t}', '{x
 _CON_SQL = "e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CONCEPTS) + ")"
 
 ORACLES = {
-    "template_hybrid": f"""WITH {CHUNKS_SQL}, i AS (SELECT text AS q, (list_filter({simple_tokens_sql("text")}, lambda v, k: list_position({simple_tokens_sql("text")}, v) = k))[1:5] AS qw FROM benchmark WHERE item_id = 0),
-        v AS (SELECT b.vec_id AS chunk_id, round({_DOT}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id = 0), t AS (SELECT chunk_id, {_TITLE} AS t, lower(q) AS q, qw, len(list_filter(qw, lambda w: contains({_TITLE}, w))) / greatest(len(qw), 1) AS share FROM chunks, i)
-        SELECT chunk_id, round(0.4::DOUBLE * coalesce(sim, 0) + 0.6::DOUBLE * CASE WHEN t = q THEN 1.0 WHEN contains(t, q) THEN 0.7 WHEN share > 0 THEN 0.2::DOUBLE + 0.3::DOUBLE * share ELSE 0 END, 6) AS score FROM t LEFT JOIN v USING (chunk_id) WHERE score > 0.15 ORDER BY score DESC, chunk_id LIMIT 15""",
+    "template_hybrid": f"""WITH {CHUNKS_SQL}, i AS (SELECT item_id AS query_id, text AS q, (list_filter({simple_tokens_sql("text")}, lambda v, k: list_position({simple_tokens_sql("text")}, v) = k))[1:5] AS qw FROM benchmark WHERE item_id % 50 = 0),
+        v AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_DOT}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), t AS (SELECT query_id, chunk_id, {_TITLE} AS t, lower(q) AS q, qw, len(list_filter(qw, lambda w: contains({_TITLE}, w))) / greatest(len(qw), 1) AS share FROM chunks, i)
+        SELECT query_id, chunk_id, round(0.4::DOUBLE * coalesce(sim, 0) + 0.6::DOUBLE * CASE WHEN t = q THEN 1.0 WHEN contains(t, q) THEN 0.7 WHEN share > 0 THEN 0.2::DOUBLE + 0.3::DOUBLE * share ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM t LEFT JOIN v USING (query_id, chunk_id) WHERE score > 0.15 QUALIFY rank <= 15""",
     "library_search": f"WITH {CHUNKS_SQL} SELECT chunk_id, round(CASE WHEN contains({_TITLE}, 'of the') THEN 100 WHEN {_HITS} = 3 THEN 80 ELSE 50.0::DOUBLE * ({_HITS}) / 3 END, 6) AS score FROM chunks WHERE lang = 'en' AND score > 0 ORDER BY score DESC, chunk_id LIMIT 60",
     "circular_floor": f"""{_R50}, have AS (SELECT query_id, count(*) AS have FROM r WHERE rank <= 8 AND category IN ('circular', 'notification') GROUP BY 1),
         more AS (SELECT query_id, chunk_id, category, rank, have FROM r LEFT JOIN have USING (query_id) WHERE rank > 8 AND category IN ('circular', 'notification') AND score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 4 - coalesce(have, 0))
         SELECT query_id, chunk_id, category, false AS injected FROM r WHERE rank <= 6 UNION ALL SELECT query_id, chunk_id, category, true FROM more""",
     "composite_score": f"{_R50} SELECT query_id, chunk_id, round(0.5::DOUBLE * (score / max(score) OVER (PARTITION BY query_id)) + 0.3::DOUBLE * {_W} + 0.2::DOUBLE * {_REC}, 6) AS composite FROM r",
     "semantic_cache": f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_DOT}, 6) AS sim, round({_DOT}, 6) >= 0.3 AS hit FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 6) DESC, b.vec_id) = 1",
-    "citation_verify": f"""WITH {_SENTENCES_SQL}, c AS (SELECT id, unnest(regexp_extract_all(q, '((?:Section|Rule)\\s+\\d+(?:\\(\\d+\\))?)', 1)) AS citation FROM s), v AS (SELECT id, citation, unnest([0, 1, 2]) AS level, unnest([lower(citation), lower(regexp_replace(citation, '\\([^)]*\\)', '', 'g')), regexp_extract(citation, '(\\d+[A-Z]*)', 1)]) AS variant FROM c),
+    "citation_verify": f"""WITH {_ALL_SQL}, c AS (SELECT id, unnest(regexp_extract_all(q, '((?:Section|Rule)\\s+\\d+(?:\\(\\d+\\))?)', 1)) AS citation FROM s), v AS (SELECT id, citation, unnest([0, 1, 2]) AS level, unnest([lower(citation), lower(regexp_replace(citation, '\\([^)]*\\)', '', 'g')), regexp_extract(citation, '(\\d+[A-Z]*)', 1)]) AS variant FROM c),
         f AS (SELECT DISTINCT v.* FROM v JOIN s ON s.id IN (2, 3) AND contains(lower(s.q), variant)), b AS (SELECT id, citation, variant, level FROM f QUALIFY row_number() OVER (PARTITION BY id, citation ORDER BY level) = 1)
         SELECT c.id, c.citation, variant, CASE WHEN level = 2 AND NOT contains(c.citation, '(') THEN 1 ELSE level END::INTEGER AS level FROM c LEFT JOIN b ON b.id = c.id AND b.citation = c.citation""",
-    "query_expansion": f"""WITH {_SENTENCES_SQL}, {_RULES_SQL}, h AS (SELECT id, term, min(ord) AS ord FROM s JOIN rules ON contains(lower(q), trig) AND NOT contains(lower(q), term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(ord), term) <= 3)
+    "query_expansion": f"""WITH {_ALL_SQL}, {_RULES_SQL}, h AS (SELECT id, term, min(ord) AS ord FROM s JOIN rules ON contains(lower(q), trig) AND NOT contains(lower(q), term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(ord), term) <= 3)
         SELECT s.id, string_agg(term, '|' ORDER BY ord, term) AS terms FROM s LEFT JOIN h USING (id) GROUP BY 1""",
     "concept_paths": f"WITH RECURSIVE {_CON_SQL}, w(seed, node, hops) AS (SELECT DISTINCT src, src, 0 FROM e UNION ALL SELECT seed, dst, hops + 1 FROM w JOIN e ON src = node) SELECT seed, node, min(hops)::INTEGER AS hops FROM w GROUP BY 1, 2",
     "provenance": f"{_RUNS} SELECT query_id, chunk_id, CASE WHEN bool_or(stage = 'bm25') THEN 'bm25' WHEN bool_or(stage = 'tfidf') THEN 'tfidf' ELSE 'final' END AS first_stage, string_agg(DISTINCT stage, '|' ORDER BY stage) AS signals, min(rank) AS best FROM runs GROUP BY 1, 2",

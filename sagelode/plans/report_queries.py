@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import reports, segments
 from ..sources.readers import CHUNKS_SQL, chunks, table
 from .assembly_queries import ORACLES as _ASSEMBLY, citation_verify
-from .text_queries import _SENTENCES_SQL, _sentences
+from .text_queries import _ALL_SQL, _SENTENCES_SQL, _all_texts, _sentences
 
 #: (name, triggers, concepts): a text that holds a trigger should hold the concepts.
 TRUTH_RULES = (("export", ["zero rated", "export"], ["refund", "bond"]), ("interest", ["late by", "interest"], ["days", "per cent"]), ("article", ["of the"], ["and", "in", "to"]))
@@ -49,13 +49,13 @@ def keyword_coverage(spark, sf):
 
 
 def answer_coverage(spark, sf):
-    return reports.answer_coverage(_sentences(spark).select("id", F.col("q").alias("text")), list(MANDATORY))
+    return reports.answer_coverage(_all_texts(spark, sf).select("id", F.col("q").alias("text")), list(MANDATORY))
 
 
 def mined_misses(spark, sf):
-    """Return flags that the orders of a priority lack, as queries of a topic lack authorities."""
+    """Return flags that the first lines of a priority's orders lack, as queries of a topic lack authorities."""
     flags = F.array(*map(F.lit, ("A", "N", "R")))
-    seen = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("have"))
+    seen = table(spark, sf, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("have"))
     log = table(spark, sf, "orders").join(seen, F.col("o_orderkey") == F.col("l_orderkey"))
     missing = F.array_except(flags, "have")
     return reports.miss_rates(log.select(F.col("o_orderpriority").alias("topic"), missing.alias("missing"), ((3 - F.size(missing)) / 3).alias("coverage")), 5, 0.3)
@@ -113,9 +113,9 @@ ORACLES = {
     "truth_rules": f"WITH {CHUNKS_SQL}, {_SENTENCES_SQL}, t AS (SELECT chunk_id AS id, text FROM chunks UNION ALL SELECT -id, q FROM s) SELECT * FROM ({' UNION ALL '.join(_rule_sql(*r) for r in TRUTH_RULES)}) WHERE trigger IS NOT NULL AND missing <> ''",
     "keyword_coverage": f"""WITH {CHUNKS_SQL}, {_SENTENCES_SQL}, t AS (SELECT chunk_id AS id, text FROM chunks UNION ALL SELECT -id, q FROM s), k(key, pattern) AS (VALUES {_HITS}), h AS (SELECT id, key, regexp_matches(lower(coalesce(text, '')), pattern) AS hit FROM t, k)
         SELECT id, coalesce(string_agg(key, '|' ORDER BY key) FILTER (hit), '') AS found, coalesce(string_agg(key, '|' ORDER BY key) FILTER (NOT hit), '') AS missing, round(100.0::DOUBLE * count_if(hit) / count(*), 1) AS pct FROM h GROUP BY 1""",
-    "answer_coverage": f"""WITH {_SENTENCES_SQL}, {_KEYS}, h AS (SELECT id, key, CASE WHEN key LIKE '%\\_SEC\\_%' ESCAPE '\\' THEN regexp_matches(lower(q), '(section |sec |sec\\. |sec\\.)' || {_NUM}) WHEN key LIKE '%\\_RUL\\_%' ESCAPE '\\' THEN contains(lower(q), 'rule ' || {_NUM}) ELSE regexp_matches(lower(q), '(circular |circular no\\. |circular no )' || {_NUM} || '|/' || {_NUM} || '/') END AS hit FROM s, k)
+    "answer_coverage": f"""WITH {_ALL_SQL}, {_KEYS}, h AS (SELECT id, key, CASE WHEN key LIKE '%\\_SEC\\_%' ESCAPE '\\' THEN regexp_matches(lower(q), '(section |sec |sec\\. |sec\\.)' || {_NUM}) WHEN key LIKE '%\\_RUL\\_%' ESCAPE '\\' THEN contains(lower(q), 'rule ' || {_NUM}) ELSE regexp_matches(lower(q), '(circular |circular no\\. |circular no )' || {_NUM} || '|/' || {_NUM} || '/') END AS hit FROM s, k)
         SELECT id, coalesce(string_agg(key, '|' ORDER BY key) FILTER (hit), '') AS cited, coalesce(string_agg(key, '|' ORDER BY key) FILTER (NOT hit), '') AS missing, CASE WHEN count_if(NOT hit) = 0 THEN 'pass' WHEN count_if(NOT hit) <= count(*) // 2 THEN 'partial' ELSE 'fail' END AS verdict FROM h GROUP BY 1""",
-    "mined_misses": """WITH f(flag) AS (VALUES ('A'), ('N'), ('R')), o AS (SELECT o_orderkey AS k, o_orderpriority AS topic FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), seen AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS flag FROM lineitem),
+    "mined_misses": """WITH f(flag) AS (VALUES ('A'), ('N'), ('R')), o AS (SELECT o_orderkey AS k, o_orderpriority AS topic FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)), seen AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS flag FROM lineitem WHERE l_linenumber = 1),
         c AS (SELECT topic, count(*) AS n, round(avg(have / 3.0::DOUBLE), 4) AS coverage FROM (SELECT k, topic, count(*) AS have FROM o JOIN seen USING (k) GROUP BY 1, 2) GROUP BY 1),
         m AS (SELECT topic, flag AS missing, count(*) AS misses FROM o, f WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.k = o.k AND seen.flag = f.flag) GROUP BY 1, 2)
         SELECT topic, missing, misses, n, coverage, round(misses / n, 4) AS rate FROM m JOIN c USING (topic) WHERE n >= 5 AND misses / n >= 0.3""",

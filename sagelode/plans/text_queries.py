@@ -17,11 +17,19 @@ SENTENCES = (
     (6, "form drc-01 and gstr-3b replies, cir 183"),
     (7, "nothing of note"),
 )
-_SENTENCES_SQL = "s(id, q) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ")"
+_VALUES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ")"
+_SENTENCES_SQL = f"s(id, q) AS {_VALUES}"
+#: The sentences and all documents.
+_ALL_SQL = f"s AS (SELECT id::BIGINT AS id, q FROM {_VALUES} v(id, q) UNION ALL SELECT 100 + doc_id, text FROM documents)"
 
 
 def _sentences(spark):
-    return spark.createDataFrame(list(SENTENCES), "id int, q string")
+    return spark.createDataFrame(list(SENTENCES), "id long, q string")
+
+
+def _all_texts(spark, sf):
+    """(id, q): the sentences, and each document under 100 more than its number."""
+    return _sentences(spark).unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 100).alias("id"), F.col("text").alias("q")))
 
 
 def _joined(c):
@@ -85,18 +93,18 @@ def token_counts_q(spark, sf):
 
 
 def reference_tokens_q(spark, sf):
-    return _sentences(spark).select("id", _joined(text.reference_tokens(F.col("q"))).alias("tokens"))
+    return _all_texts(spark, sf).select("id", _joined(text.reference_tokens(F.col("q"))).alias("tokens"))
 
 
 def citations_q(spark, sf):
     keys = legal.citation_keys(F.col("q"))
-    return _sentences(spark).select("id", _joined(keys).alias("citations"), _joined(F.array_distinct(F.transform(keys, legal.canonical_key))).alias("canonical"), _joined(legal.query_refs(F.col("q"))).alias("refs"))
+    return _all_texts(spark, sf).select("id", _joined(keys).alias("citations"), _joined(F.array_distinct(F.transform(keys, legal.canonical_key))).alias("canonical"), _joined(legal.query_refs(F.col("q"))).alias("refs"))
 
 
 def amounts_q(spark, sf):
     q = F.col("q")
     a, p, d = legal.amount(q), legal.percentage(q), legal.days(q)
-    return _sentences(spark).select(
+    return _all_texts(spark, sf).select(
         "id",
         a.alias("amount"),
         p.alias("pct"),
@@ -111,7 +119,7 @@ def amounts_q(spark, sf):
 def number_claims_q(spark, sf):
     q = F.col("q")
     context = F.lit("The rate is 18% and 30 days are allowed; 150000 is the limit.")
-    return _sentences(spark).select("id", _joined(legal.numeric_claims(q)).alias("claims"), _joined(legal.ungrounded(q, context)).alias("ungrounded"))
+    return _all_texts(spark, sf).select("id", _joined(legal.numeric_claims(q)).alias("claims"), _joined(legal.ungrounded(q, context)).alias("ungrounded"))
 
 
 def row_sentences_q(spark, sf):
@@ -124,12 +132,13 @@ def cache_keys_q(spark, sf):
 
 
 def best_sentence_q(spark, sf):
-    """Of each document the sentence that shares most words with the first benchmark item; the first on ties."""
-    item = table(spark, sf, "benchmark").where("item_id = 0").select(F.array_distinct(text.simple_tokens(F.col("text"))).alias("qt"))
-    s = chunks(spark, sf).select("chunk_id", F.posexplode(F.split("text", "[.]")).alias("n", "s")).crossJoin(F.broadcast(item))
-    score = F.size(F.array_intersect(F.array_distinct(text.simple_tokens(F.col("s"))), "qt"))
-    best = s.groupBy("chunk_id").agg(F.max(F.struct(score.alias("score"), (-F.col("n")).alias("m"), "s")).alias("b"))
-    return best.select("chunk_id", F.col("b.score").alias("score"), (-F.col("b.m")).alias("n"), F.md5("b.s").alias("sentence_md5"))
+    """For every fiftieth benchmark item and each document that shares a word with it, the sentence that shares most; the
+    first on ties."""
+    items = table(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.simple_tokens(F.col("text")))).alias("token"))
+    s = chunks(spark, sf).select("chunk_id", F.posexplode(F.split("text", "[.]")).alias("n", "s")).select("chunk_id", "n", F.explode(F.array_distinct(text.simple_tokens(F.col("s")))).alias("token"))
+    score = s.join(items, "token").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("score"))
+    best = score.groupBy("query_id", "chunk_id").agg(F.max(F.struct("score", (-F.col("n")).alias("m"))).alias("b"))
+    return best.select("query_id", "chunk_id", F.col("b.score").alias("score"), (-F.col("b.m")).alias("n"))
 
 
 #: (name, words that set it off), asked in order (fixed values).
@@ -138,13 +147,14 @@ INTENTS = (("definition", ("what is", "define", "meaning of")), ("comparison", (
 
 def intent_q(spark, sf):
     q = F.lower("q")
-    return _sentences(spark).select("id", text.ladder([(text.has(q, *w), n) for n, w in INTENTS], "general").alias("intent"), legal.safety_band(F.col("id") / 7.0).alias("band"))
+    return _all_texts(spark, sf).select("id", text.ladder([(text.has(q, *w), n) for n, w in INTENTS], "general").alias("intent"), legal.safety_band(F.col("id") / 7.0).alias("band"))
 
 
 def similarity_q(spark, sf):
-    e = table(spark, sf, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(vectors.cosine("embedding", "q"), 6).alias("cosine"), F.round(vectors.sigmoid(vectors.inner("embedding", "q")), 6).alias("sigmoid"))
+    """Each vector against the next one by number."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    pair = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("q")), "vec_id")
+    return pair.select("vec_id", F.round(vectors.cosine("embedding", "q"), 6).alias("cosine"), F.round(vectors.sigmoid(vectors.inner("embedding", "q")), 6).alias("sigmoid"))
 
 
 QUERIES = {
@@ -235,27 +245,27 @@ ORACLES = {
         SELECT chunk_id, concat_ws('_', CASE WHEN contains(p, 'act') OR contains(p, 'cgst') OR contains(p, 'igst') THEN 'STA' WHEN contains(p, 'rule') THEN 'RUL' WHEN contains(p, 'notification') THEN 'NOT' WHEN contains(p, 'circular') THEN 'CIR'
             WHEN contains(p, 'case laws') OR contains(p, 'aar') THEN 'CAS' WHEN contains(p, 'faq') THEN 'FAQ' ELSE 'OTH' END, upper(substr(regexp_replace(f, '[^A-Za-z0-9]', '', 'g'), 1, 20)), 'P1', substr(md5(concat_ws('|', f, '0', text)), 1, 6)) AS key FROM c""",
     "tokenize_counts": f"WITH {CHUNKS_SQL}, t AS (SELECT chunk_id, unnest({simple_tokens_sql('text')}) AS token FROM chunks) SELECT chunk_id, token, count(*) AS tf FROM t GROUP BY ALL",
-    "reference_tokens": f"""WITH {_SENTENCES_SQL} SELECT id, array_to_string(list_concat(regexp_extract_all(lower(q), '({text.WORD})', 1),
+    "reference_tokens": f"""WITH {_ALL_SQL} SELECT id, array_to_string(list_concat(regexp_extract_all(lower(q), '({text.WORD})', 1),
         list_transform(regexp_extract_all(lower(q), '\\b((?:section|rule|schedule|article|clause)\\s+\\d+(?:[(\\w)]+)*)', 1), lambda x: regexp_replace(x, '[^a-z0-9]', '_', 'g')),
         regexp_extract_all(lower(q), '\\b([a-z]{{2,5}}-[0-9a-z_]+)\\b', 1), list_transform(regexp_extract_all(lower(q), '\\b(?:circular|cir)[-_.\\s]*(?:no\\.?[-_.\\s]*)?(\\d{{2,3}})\\b', 1), lambda x: 'circular_' || x)), '|') AS tokens FROM s""",
-    "citation_extract": f"""WITH {_SENTENCES_SQL}, a AS (SELECT id, q, {_CITES} AS c, CASE WHEN len({_ACTS}) > 0 THEN {_ACTS} ELSE ['CGST', 'IGST'] END AS acts FROM s),
+    "citation_extract": f"""WITH {_ALL_SQL}, a AS (SELECT id, q, {_CITES} AS c, CASE WHEN len({_ACTS}) > 0 THEN {_ACTS} ELSE ['CGST', 'IGST'] END AS acts FROM s),
         b AS (SELECT *, {_distinct("c")} AS d, list_concat(flatten(list_transform(regexp_extract_all(lower(q), '\\bsec(?:tion)?\\s*\\.?\\s*(\\d+)', 1), lambda n: list_transform(acts, lambda a: a || '_SEC_' || n))),
             flatten(list_transform(regexp_extract_all(lower(q), '\\brule\\s+(\\d+)', 1), lambda n: list_transform(acts, lambda a: a || '_RULE_' || n))),
             list_transform(regexp_extract_all(lower(q), '\\bschedule\\s+([ivxlcdm]+|\\d+)\\b', 1), lambda n: 'CGST_SCHED_' || upper(n)),
             list_transform(regexp_extract_all(lower(q), '\\bcircular\\s+(?:no\\.?\\s*)?(\\d{{2,3}})\\b', 1), lambda n: 'CIRCULAR_' || n)) AS r FROM a)
         SELECT id, array_to_string(d, '|') AS citations, array_to_string(list_transform(d, lambda k: regexp_replace(k, '^(?:[A-Z]+_)?CIRC_(\\d+)(?:_.*)?$', 'CIRCULAR_\\1')), '|') AS canonical, array_to_string({_distinct("r")}, '|') AS refs FROM b""",
-    "amount_formulas": f"""WITH {_SENTENCES_SQL}, a AS (SELECT id, {_AMOUNT} AS amount, {_unless_empty("(\\d+(?:\\.\\d+)?)\\s*(?:%|per\\s*cent)")} AS pct, nullif(regexp_extract(lower(q), '(\\d+)\\s*days?', 1), '')::INTEGER AS days FROM s)
+    "amount_formulas": f"""WITH {_ALL_SQL}, a AS (SELECT id, {_AMOUNT} AS amount, {_unless_empty("(\\d+(?:\\.\\d+)?)\\s*(?:%|per\\s*cent)")} AS pct, nullif(regexp_extract(lower(q), '(\\d+)\\s*days?', 1), '')::INTEGER AS days FROM s)
         SELECT id, amount, pct, days, round(amount::DECIMAL(20,4) * pct / 100, 2)::DECIMAL(18,2) AS reversal, round(round(amount / 60, 2)::DECIMAL(18,2) * pct / 100, 2)::DECIMAL(18,2) AS capital_reversal,
             round(amount * 18 * days / 36500, 2)::DECIMAL(18,2) AS interest, (amount + round(amount * pct / 100, 2)::DECIMAL(18,2))::DECIMAL(18,2) AS total FROM a""",
-    "number_claims": f"""WITH {_SENTENCES_SQL} SELECT id, array_to_string({_CLAIMS("q")}, '|') AS claims, array_to_string(list_filter({_CLAIMS("q")}, lambda x: replace(x, '%', '') NOT IN ({_SAFE})
+    "number_claims": f"""WITH {_ALL_SQL} SELECT id, array_to_string({_CLAIMS("q")}, '|') AS claims, array_to_string(list_filter({_CLAIMS("q")}, lambda x: replace(x, '%', '') NOT IN ({_SAFE})
         AND NOT list_contains({_CLAIMS(_CONTEXT)}, x) AND NOT contains({_CONTEXT}, replace(x, '%', ''))), '|') AS ungrounded FROM s""",
     "row_sentences": "SELECT c_custkey, concat_ws('. ', 'c_custkey: ' || c_custkey, 'c_name: ' || c_name, 'c_mktsegment: ' || c_mktsegment) AS sentence FROM customer",
     "cache_keys": "SELECT conv_id, turn, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS key FROM conversations WHERE role = 'user'",
-    "best_sentence": f"""WITH {CHUNKS_SQL}, i AS (SELECT list_distinct({simple_tokens_sql("text")}) AS qt FROM benchmark WHERE item_id = 0), s AS (SELECT chunk_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) - 1 AS n FROM chunks),
-        c AS (SELECT chunk_id, n, s, len(list_intersect(list_distinct({simple_tokens_sql("s")}), qt)) AS score FROM s, i) SELECT chunk_id, score::INTEGER AS score, n::INTEGER AS n, md5(s) AS sentence_md5 FROM c QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, n) = 1""",
-    "intent_bands": f"WITH {_SENTENCES_SQL} SELECT id, CASE "
+    "best_sentence": f"""WITH {CHUNKS_SQL}, i AS (SELECT item_id AS query_id, unnest(list_distinct({simple_tokens_sql("text")})) AS token FROM benchmark WHERE item_id % 50 = 0), s AS (SELECT chunk_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) - 1 AS n FROM chunks),
+        c AS (SELECT query_id, chunk_id, n, count(*) AS score FROM (SELECT chunk_id, n, unnest(list_distinct({simple_tokens_sql("s")})) AS token FROM s) JOIN i USING (token) GROUP BY ALL) SELECT query_id, chunk_id, score, n::INTEGER AS n FROM c QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, n) = 1""",
+    "intent_bands": f"WITH {_ALL_SQL} SELECT id, CASE "
     + " ".join("WHEN " + " OR ".join(f"contains(lower(q), '{x}')" for x in w) + f" THEN '{n}'" for n, w in INTENTS)
     + " ELSE 'general' END AS intent, CASE WHEN id / 7.0 < 0.4 THEN 'refuse' WHEN id / 7.0 < 0.65 THEN 'caution' WHEN id / 7.0 < 0.8 THEN 'review' ELSE 'ok' END AS band FROM s",
-    "vector_similarity": f"""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, {_DOT.format(a="embedding", b="q")} AS ab, {_DOT.format(a="embedding", b="embedding")} AS aa, {_DOT.format(a="q", b="q")} AS bb FROM embeddings, q)
+    "vector_similarity": f"""WITH d AS (SELECT a.vec_id, {_DOT.format(a="a.embedding", b="b.embedding")} AS ab, {_DOT.format(a="a.embedding", b="a.embedding")} AS aa, {_DOT.format(a="b.embedding", b="b.embedding")} AS bb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
         SELECT vec_id, round(CASE WHEN sqrt(aa) * sqrt(bb) > 0 THEN ab / (sqrt(aa) * sqrt(bb)) ELSE 0 END, 6) AS cosine, round(1 / (1 + exp(-5 * ab)), 6) AS sigmoid FROM d""",
 }
