@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import shared_folder
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A folder or file of Parquet as a stream, one file a trigger."""
@@ -45,39 +47,70 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def budgets(events: DataFrame, limit: int, seconds: int) -> DataFrame:
+def budgets(events: DataFrame, limit: int, seconds: int, late: str = "1 day") -> DataFrame:
     """(user_id, event_id, used, allowed): a user's budget opens with an event, holds `limit` of them and closes after
-    `seconds`; the next event opens another. State is two numbers a user."""
+    `seconds`; the next event opens another. Events are in order within a trigger; one that comes later than others of
+    its user counts in the budget that is open, and one behind the watermark not at all. State is two numbers a user, and
+    goes when the watermark passes the budget's end."""
 
     def spend(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (None, 0)
         for own in frames:
             own = own.sort_values(["ts", "event_id"])
             rows = []
-            for t, e in zip(own.ts.astype("int64") // 1000 if str(own.ts.dtype).endswith("[ns]") else own.ts.map(lambda x: int(x.timestamp() * 1e6)), own.event_id, strict=True):
+            for t, e in zip(own.ts.map(lambda x: int(x.timestamp() * 1e6)), own.event_id, strict=True):
                 if start is None or t >= start + seconds * 1_000_000:
                     start, used = int(t), 0
                 used += 1
                 rows.append((key[0], e, used, used <= limit))
             yield pd.DataFrame(rows, columns=["user_id", "event_id", "used", "allowed"])
         state.update((start, used))
+        state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy("user_id").applyInPandasWithState(spend, "user_id long, event_id long, used long, allowed boolean", "start long, used long", "append", GroupStateTimeout.NoTimeout)
+    keyed = events.withWatermark("ts", late).groupBy("user_id")
+    return keyed.applyInPandasWithState(spend, "user_id long, event_id long, used long, allowed boolean", "start long, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def feed(events: DataFrame, path: str, checkpoint: str, keep: int = 50):
-    """A batch at a time: appends the batch, and writes its newest `keep` events beside it as the ring a reader replays."""
+    """A batch at a time: appends the batch to the log, and writes the newest `keep` events of the ring before and the batch
+    as the ring that a reader replays. A batch that runs again writes the same folders."""
 
     def write(batch: DataFrame, no: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/log/batch={no}")
-        batch.orderBy(F.desc("ts"), F.desc("event_id")).limit(keep).write.mode("overwrite").parquet(f"{path}/ring")
+        new = spark.read.parquet(f"{path}/log/batch={no}")
+        before = ring(spark, path, new.schema, no)
+        both = new if before is None else before.unionByName(new)
+        both.orderBy(F.desc("ts"), F.desc("event_id")).limit(keep).write.mode("overwrite").parquet(f"{path}/ring/batch={no}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ring(spark: SparkSession, path: str, schema=None, before: int | None = None) -> DataFrame | None:
+    """The newest ring of a feed, or the newest of the batches below `before`; none where there isn't any."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ring")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    batches = [n for n in (int(x.partition("=")[2]) for x in names if x.startswith("batch=")) if before is None or n < before]
+    if not batches:
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{path}/ring/batch={max(batches)}")
+
+
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives its result as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over all that is there and gives its result as a table, written a batch at a time in the folder that
+    all executors share: the last batch in complete mode, else all of them."""
+    root = f"{shared_folder(df.sparkSession)}/drained-{uuid.uuid4().hex}"
+    last = []
+
+    def write(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={no}")
+        last[:] = [no]
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    where = f"{root}/out/batch={last[0]}" if mode == "complete" and last else f"{root}/out"
+    return df.sparkSession.read.schema(df.schema).parquet(where) if last else df.sparkSession.createDataFrame([], df.schema)
