@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, in local mode only, a temporary one where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         if given.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sagelode-"))
             given = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = given.get()
@@ -100,6 +103,42 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(33))
 
 
+_BYTES = np.random.default_rng(23).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([U64(1)], np.full(n, base, U64))), dtype=U64)
+
+
+_POWERS = [np.empty(0, U64), np.empty(0, U64)]
+
+
+def cell_hashes(cells: pa.Array) -> np.ndarray:
+    """64-bit hashes of the strings of an Arrow column without nulls, from one running sum over all their bytes."""
+    if not len(cells):
+        return np.empty(0, U64)
+    cells = cells.cast(pa.binary()) if not pa.types.is_string(cells.type) else cells
+    ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    with np.errstate(over="ignore"):
+        if len(_POWERS[0]) <= len(data):
+            _POWERS[:] = _powers(_BASE, 2 * len(data) + 1024), _powers(pow(_BASE, -1, 1 << 64), 2 * len(data) + 1024)
+        sums = np.concatenate(([U64(0)], np.cumsum(_BYTES[data] * _POWERS[0][: len(data)], dtype=U64)))
+        return mix64((sums[ends[1:]] - sums[ends[:-1]]) * _POWERS[1][ends[:-1]] + np.diff(ends).astype(U64) * U64(0xD1B54A32D192ED03))
+
+
+def text_slices(texts: pa.Array, size: int = 1_500_000):
+    """(begin, end) of slices of about `size` bytes of an Arrow column of texts."""
+    total = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)))
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + size, "right")))
+        yield begin, end
+        begin = end
+
+
 def odd_multipliers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * U64(2) + U64(1)
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, HashMemo, drop_tables, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, whole_row
-from .line_dedup import normal_word
+from .common import U64, drop_tables, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, text_slices, whole_row
+from .line_dedup import text_hashes
 
 
 @dataclass(frozen=True)
@@ -38,16 +38,13 @@ class Seeds:
         return max(map(len, self.masks))
 
 
-def token_hashes(text: str | None, memo: HashMemo) -> np.ndarray:
-    """Hashes of the words of a text in lower case without signs; words of signs only are left out. Null gives none."""
-    h = memo.array((text or "").split())
-    return h[h != memo.nothing]
-
-
-def _memo() -> HashMemo:
-    memo = HashMemo(lambda w: normal_word(w).encode())
-    memo.nothing = HashMemo()[b""]
-    return memo
+def texts_tokens(texts: pa.Array):
+    """For each text of an Arrow column the hashes of its words, in lower case without signs; words of signs only are left
+    out, a null has none."""
+    for lo, hi in text_slices(texts):
+        h, n = text_hashes(texts.slice(lo, hi - lo))
+        ends = np.cumsum(n)
+        yield from (h[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True))
 
 
 def masked_hashes(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -114,10 +111,8 @@ def _seed_table(items: DataFrame, seeds: Seeds) -> tuple[DataFrame, np.ndarray,
     schema = pa.schema([("hash", pa.int64()), ("item_key", pa.int64()), ("short", pa.int32())])
 
     def run(batches):
-        memo = _memo()
         for b in batches:
-            for k, t in zip(b.column("item_key").to_pylist(), b.column("text"), strict=True):
-                tokens = token_hashes(t.as_py(), memo)
+            for k, tokens in zip(b.column("item_key").to_pylist(), texts_tokens(b.column("text")), strict=True):
                 short = len(tokens) if len(tokens) < seeds.span() else 0
                 h = np.unique(np.concatenate(seed_hashes(tokens, seeds)) if not short else whole_hashes(tokens, short))
                 yield record_batch({"hash": signed(h), "item_key": np.full(len(h), k, np.int64), "short": np.full(len(h), short, np.int32)}, schema)
@@ -157,11 +152,10 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = See
     schema = pa.schema([("row_key", pa.int64()), ("hash", pa.int64())])
 
     def scan(batches):
-        memo, table_ = _memo(), np.unpackbits(shipped.value, bitorder="little").view(bool)
+        table_ = np.unpackbits(shipped.value, bitorder="little").view(bool)
         for b in batches:
             rows, hashes = [np.empty(0, np.int64)], [np.empty(0, U64)]
-            for r, t in zip(b.column("row_key").to_pylist(), b.column("text"), strict=True):
-                tokens = token_hashes(t.as_py(), memo)
+            for r, tokens in zip(b.column("row_key").to_pylist(), texts_tokens(b.column("text")), strict=True):
                 h = np.concatenate(seed_hashes(tokens, seeds) + [whole_hashes(tokens, n) for n in short])
                 for k in _PROBES:
                     h = h[table_[(h >> U64(k)) & U64(n_bits - 1)]]
@@ -179,16 +173,14 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = See
     out_schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("item_id", pa.int64()), ("n_same", pa.int64())])
 
     def align(batches):
-        memo = _memo()
         for b in batches:
             out = {c: [] for c in out_schema.names}
-            for d, r, t, own in zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), b.column("text"), b.column("items"), strict=True):
-                tokens = token_hashes(t.as_py(), memo)
+            for d, r, tokens, own in zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), texts_tokens(b.column("text")), b.column("items"), strict=True):
                 hashes = seed_hashes(tokens, seeds)
-                for x in own.as_py():
-                    n = agreement(tokens, hashes, token_hashes(x["item"], memo), seeds)
+                for item_id, item in zip(own.values.field("item_id").to_pylist(), texts_tokens(own.values.field("item")), strict=True):
+                    n = agreement(tokens, hashes, item, seeds)
                     if n:
-                        for c, v in zip(out, (d, r, x["item_id"], n), strict=True):
+                        for c, v in zip(out, (d, r, item_id, n), strict=True):
                             out[c].append(v)
             yield record_batch(out, out_schema)
 

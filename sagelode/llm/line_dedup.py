@@ -13,10 +13,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashMemo, drop_tables, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, whole_row
+from .common import U64, cell_hashes, drop_tables, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, text_slices, whole_row
+from .edits import within
 from .links import linked_components
 
 #: byte -> eight byte lanes, lane j holding bit j: sums of up to 255 features stay inside the lanes.
@@ -54,12 +56,25 @@ def normal_line(line: str) -> str:
     return " ".join(filter(None, map(normal_word, line.split())))
 
 
-class LineWords(HashMemo):
-    """word -> hash of the normalised word; the low 6 bits are its characters, 63 for as many and more."""
+def normal_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of the normalised words of an Arrow column; the low 6 bits are their characters, 63 for as many and more.
+    Each distinct word is normalised once, and only those that aren't letters up to the last signs by Python."""
+    coded = words.dictionary_encode()
+    cells = coded.dictionary
+    core = pc.utf8_rtrim(pc.utf8_lower(cells), ".,")
+    other = pc.invert(pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(cells, "[İΣ]"))))
+    if pc.any(other).as_py():
+        core = pc.replace_with_mask(core, other, pa.array(list(map(normal_word, cells.filter(other).to_pylist())), core.type))
+    h = cell_hashes(core) & ~U64(63) | np.minimum(pc.utf8_length(core).to_numpy(), 63).astype(U64)
+    return h[coded.indices.to_numpy()]
 
-    def value(self, word: str) -> int:
-        core = normal_word(word)
-        return super().value(core.encode()) & ~63 | min(len(core), 63)
+
+def text_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the normalised words, end to end; words of each text): words of signs only are left out, a null has none."""
+    cells = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    h, n = normal_hashes(cells.flatten()), pc.list_value_length(cells).to_numpy().astype(np.int64)
+    real = (h & U64(63)) > 0
+    return h[real], np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
 
 
 def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -92,12 +107,15 @@ def word_scales(docs: DataFrame, p: LineDedup) -> tuple[np.ndarray, np.ndarray,
     every = max(1, docs.count() // p.samples)
     picked = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(every)) == 0).where(F.length("text") > 0)
     rows = picked.select(F.substring("text", 1, p.sample_chars)).limit(2 * p.samples).collect()
-    memo = LineWords()
-    own = [np.unique(memo.array(line.split())) for (text,) in rows for line in text.split("\n")]
-    words, n = np.unique(np.concatenate([np.empty(0, U64), *own]), return_counts=True)
+    lines = pa.array([line for (text,) in rows for line in text.split("\n")], pa.string())
+    h, lengths = text_hashes(lines)
+    line = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((line, h))
+    once = np.concatenate((np.ones(len(order[:1]), bool), (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])))
+    words, n = np.unique(h[order][once], return_counts=True)
     words, n = words[n > 1], n[n > 1]
-    scale = 1 / np.log((len(own) + 2) / n) ** 2
-    return words, scale.astype(np.float32), np.float32(1 / np.log(len(own) + 2) ** 2)
+    scale = 1 / np.log((len(lines) + 2) / n) ** 2
+    return words, scale.astype(np.float32), np.float32(1 / np.log(len(lines) + 2) ** 2)
 
 
 def band_keys(words: np.ndarray, lengths: np.ndarray, scales: tuple, p: LineDedup) -> np.ndarray:
@@ -131,13 +149,12 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
     scales = word_scales(docs, p)
     schema = pa.schema([("key", pa.int64()), ("sim", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
 
-    def piece(memo, empty, rows, words, lengths):
-        h, lengths = memo.array(words), np.array(lengths, np.int64)
-        real = h != empty
-        line = np.repeat(np.arange(len(lengths)), lengths)[real]
-        h, lengths = h[real], np.bincount(line, minlength=len(lengths))
+    def piece(row_keys, doc_ids, texts):
+        lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+        n = pc.list_value_length(lines).to_numpy().astype(np.int64)
+        h, lengths = text_hashes(lines.flatten())
         keep = lengths > 0
-        h, lengths = h[keep[line]], lengths[keep]
+        lengths = lengths[keep]
         starts = np.cumsum(lengths) - lengths
         if not len(lengths):
             return
@@ -150,80 +167,22 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
         keys = band_keys(h[np.repeat(fuzzy, lengths)], lengths[fuzzy], scales, p)
         ends = np.concatenate(([0], np.cumsum(fuzzy * p.bands)))
         bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(keys).ravel()))
-        r, d, n = zip(*rows, strict=True)
-        n = np.array(n)
         row, no = np.repeat(np.arange(len(n)), n)[keep], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[keep]
-        yield record_batch({"key": signed(key), "sim": signed(simhash(h, lengths)), "size": size, "bands": bands, "row_key": np.array(r)[row], "doc_id": pa.array(d, pa.int64()).take(pa.array(row)), "line_no": no}, schema)
+        at = pa.array(row)
+        yield record_batch({"key": signed(key), "sim": signed(simhash(h, lengths)), "size": size, "bands": bands, "row_key": row_keys.take(at), "doc_id": doc_ids.take(at), "line_no": no}, schema)
 
     def run(batches):
-        memo = LineWords()
-        empty = U64(memo.value(""))
-        rows, words, lengths = [], [], []
-        for batch in batches:
-            for r, d, t in zip(batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                lines = (t.as_py() or "").split("\n")
-                for line in lines:
-                    own = line.split()
-                    words += own
-                    lengths.append(len(own))
-                rows.append((r, d, len(lines)))
-                if len(words) > 200_000:
-                    yield from piece(memo, empty, rows, words, lengths)
-                    rows, words, lengths = [], [], []
-        if rows:
-            yield from piece(memo, empty, rows, words, lengths)
+        for b in batches:
+            for lo, hi in text_slices(b.column("text")):
+                yield from piece(*(b.column(c).slice(lo, hi - lo) for c in ("row_key", "doc_id", "text")))
 
     return docs.mapInArrow(run, "key long, sim long, size long, bands array<long>, row_key long, doc_id long, line_no long")
 
 
-def _shared(x: str, y: str) -> int:
-    """Length of the common prefix, by halving."""
-    lo, hi = 0, min(len(x), len(y))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if x[lo:mid] == y[lo:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
-
-
-def edit_distance(x: str, y: str, most: int | None = None) -> int:
-    """Levenshtein distance by bit vectors over Python's long integers, between what two strings don't share at their ends;
-    with `most`, any number on the same side of it: a column changes the distance by one at most."""
-    n = _shared(x, y)
-    x, y = x[n:], y[n:]
-    n = _shared(x[::-1], y[::-1])
-    x, y = sorted((x[: len(x) - n], y[: len(y) - n]), key=len)
-    if not x or not y:
-        return len(x) + len(y)
-    at: dict[str, int] = {}
-    for i, c in enumerate(x):
-        at[c] = at.get(c, 0) | 1 << i
-    full, last = (1 << len(x)) - 1, 1 << len(x) - 1
-    up, down, score = full, 0, len(x)
-    for left, c in zip(range(len(y), 0, -1), y, strict=True):
-        if most is not None and not score - left <= most < score + left:
-            break
-        eq = at.get(c, 0)
-        d = (((eq & up) + up) ^ up) | eq | down
-        hp, hn = down | ~(d | up) & full, up & d
-        score += bool(hp & last) - bool(hn & last)
-        hp, hn = hp << 1 | 1, hn << 1
-        up, down = (hn | ~(d | hp)) & full, hp & d & full
-    return score
-
-
-def similar(x: str, y: str, similarity: float) -> bool:
-    """1 - edits / longer length reaches `similarity`. Where both have as many words, the words that differ in place bound
-    the edits from above."""
-    most = int((1 - similarity) * max(len(x), len(y)))
-    if abs(len(x) - len(y)) > most:
-        return False
-    v, w = x.split(" "), y.split(" ")
-    if len(v) == len(w) and sum(max(len(a), len(b)) for a, b in zip(v, w, strict=True) if a != b) <= most:
-        return True
-    return edit_distance(x, y, most) <= most
+def similar(xs: list[str], ys: list[str], similarity: float) -> np.ndarray:
+    """Whether 1 - edits / longer length reaches `similarity`, for each pair."""
+    longer = np.array([max(len(x), len(y)) for x, y in zip(xs, ys, strict=True)], np.int64)
+    return within(xs, ys, ((1 - similarity) * longer).astype(np.int64))
 
 
 def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -255,7 +214,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     def keep_similar(batches):
         for t in batches:
-            keep = pa.array([similar(x.as_py(), y.as_py(), p.similarity) for x, y in zip(t.column("x"), t.column("y"), strict=True)], pa.bool_())
+            keep = pa.array(similar(t.column("x").to_pylist(), t.column("y").to_pylist(), p.similarity))
             yield record_batch({c: t.column(c).filter(keep) for c in ("a", "b")}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     def confirm(pairs: DataFrame) -> DataFrame:

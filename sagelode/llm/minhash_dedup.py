@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashMemo, drop_tables, lower_words, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, whole_row, window_hashes
+from .common import U64, cell_hashes, drop_tables, materialize, mix64, odd_multipliers, record_batch, shared_size_join, signed, table, text_slices, whole_row, window_hashes
 from .links import linked_components
 
 
@@ -38,12 +39,24 @@ class MinHash:
         return j - 5 * (p * (1 - p) / k) ** 0.5 / (1 - c)
 
 
-def shingles(text: str | None, memo: HashMemo, width: int = 5) -> np.ndarray:
-    """Distinct 64-bit shingle hashes, sorted: runs of `width` words; with fewer words the whole sequence as one; none without words."""
-    words = memo.array(lower_words(text))
-    if len(words) >= width:
-        return np.unique(window_hashes(words, width))
-    return mix64(window_hashes(words, len(words)) + U64(len(words))) if len(words) else np.empty(0, U64)
+def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """For each text of an Arrow column the distinct 64-bit shingle hashes, sorted: runs of `width` words; with fewer words
+    the whole sequence as one; none without words. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased."""
+    cells = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = cells.flatten()
+    some = pc.binary_length(words).to_numpy() > 0
+    n = pc.list_value_length(cells).to_numpy().astype(np.int64)
+    n = np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
+    h = cell_hashes(words)[some]
+    runs = window_hashes(h, width)
+    ends = np.cumsum(n)
+    out = []
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(runs[a : b - width + 1]))
+        else:
+            out.append(mix64(window_hashes(h[a:b], b - a) + U64(b - a)) if b > a else np.empty(0, U64))
+    return out
 
 
 def _minima(sets: list[np.ndarray], m: MinHash) -> np.ndarray:
@@ -90,18 +103,10 @@ def signatures(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> D
         return record_batch({"doc_id": ids, "text_key": keys, "n_shingles": [len(s) for s in sets], "set_key": key, "sig": sig, "bands": band}, schema)
 
     def run(batches):
-        memo = HashMemo()
-        for batch in batches:
-            ids, keys, sets, size = [], [], [], 0
-            for i, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), strict=True):
-                ids.append(i), keys.append(k)
-                sets.append(shingles(t.as_py(), memo, m.width))
-                size += len(sets[-1])
-                if size > 1_000_000:
-                    yield piece(ids, keys, sets)
-                    ids, keys, sets, size = [], [], [], 0
-            if ids:
-                yield piece(ids, keys, sets)
+        for b in batches:
+            for lo, hi in text_slices(b.column("text"), 6_000_000):
+                ids, keys, texts = (b.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key", "text"))
+                yield piece(ids, keys, shingle_sets(texts, m.width))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long, sig array<long>, bands array<long>")
@@ -151,10 +156,9 @@ def grouped(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> Data
     width = m.width
 
     def set_bytes(batches):
-        memo = HashMemo()
         schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("data", pa.binary())])
         for b in batches:
-            sets = [shingles(t.as_py(), memo, width) for t in b.column("text")]
+            sets = [s for lo, hi in text_slices(b.column("text")) for s in shingle_sets(b.column("text").slice(lo, hi - lo), width)]
             with np.errstate(over="ignore"):
                 keys = [int(signed(mix64(np.array([mix64(s).sum(dtype=U64) + U64(len(s))], U64)))[0]) for s in sets]
             yield record_batch({"id": b.column("id"), "key": keys, "data": [s.tobytes() for s in sets]}, schema)

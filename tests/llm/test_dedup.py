@@ -14,7 +14,8 @@ from sagelode.llm import line_dedup as ld
 from sagelode.llm import links
 from sagelode.llm import minhash_dedup as mh
 from sagelode.llm import suffix_dedup as sd
-from sagelode.llm.common import U64, HashMemo, connected_components, mix64
+from sagelode.llm.common import U64, connected_components, mix64
+from sagelode.llm.edits import within
 
 
 def _groups(n, linked):
@@ -222,15 +223,23 @@ def test_simhash_is_the_majority_of_its_features():
     assert int(ld.simhash(h, np.array([700]))[0]) == want
 
 
-def test_edit_distance():
+def test_edit_distances():
     rng = random.Random(1)
-    for _ in range(200):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(15))) for _ in range(2))
-        want = _edits(a, b)
-        assert ld.edit_distance(a, b) == want
-        for most in range(8):
-            assert (ld.edit_distance(a, b, most) <= most) == (want <= most)
-        assert ld.similar(a, b, 0.85) == _alike(a, b)
+    xs, ys = [], []
+    for k in range(900):
+        a = "".join(rng.choice("abc é") for _ in range(rng.randrange([15, 15, 80, 300][k % 4])))
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "xy"])
+        xs.append(a), ys.append("".join(b) if k % 3 else "".join(rng.choice("abc") for _ in range(rng.randrange(15))))
+    want = np.array([_edits(a, b) for a, b in zip(xs, ys, strict=True)])
+    for sizes in ((4096, 12), (7, 12), (4096, 1)):
+        for off in (-2, -1, 0, 1, 5):
+            assert (within(xs, ys, want + off, *sizes) == (off >= 0)).all()
+        assert (within(xs, ys, np.full(len(xs), 4), *sizes) == (want <= 4)).all()
+    assert ld.similar(xs, ys, 0.85).tolist() == [_alike(a, b) for a, b in zip(xs, ys, strict=True)]
+    assert len(within([], [], [])) == 0
 
 
 @pytest.mark.parametrize("p", [sd.Repeats(), sd.Repeats(shard_bytes=2000), sd.Repeats(hot=2)])
