@@ -36,8 +36,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", b
     the ranks in the file `vocabulary`, without special tokens.
 
     Words meet once for each block of documents, not once for each position: a word of a third of all positions costs
-    a row for each block. Null and empty texts give empty arrays; null and repeated doc_ids pass through; an empty
-    table gives no rows. The file must be at the same path on every executor.
+    a row for each block. Positions aren't exploded to rows: a block's stream names its distinct words by number, in
+    order, and the ids joined back are put in their places by it. Null and empty texts give empty arrays; null and
+    repeated doc_ids pass through; a text longer than a block is a block of its own; an empty table gives no rows.
+    Columns of `docs` besides doc_id and text, whatever their names, play no part. The file must be at the same path
+    on every executor.
     """
     blocks = word_blocks(docs.select("doc_id", F.col(text).alias("text")), _matcher(pattern), block_chars, "bpe_blocks")
 
@@ -104,8 +107,8 @@ class TokenBytes:
 
 
 def decode(encoded: DataFrame, vocabulary: str, digests: bool = False) -> DataFrame:
-    """Rows of `encoded` (doc_id, ids array<int>) with `decoded` (binary): each id joined to its bytes in the token-byte
-    table, in order. The table is as large as the vocabulary, whatever the corpus, and is read by every task.
+    """Rows of `encoded` (doc_id, ids array<int>) with `decoded` (binary): each id's bytes from the token-byte table, in
+    order, by array lookup in every task. The table is as large as the vocabulary, whatever the corpus, and is read by every task.
     Null ids give null. With `digests`, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256
     come instead of ids and bytes, so that these needn't leave the task."""
     fields = [("doc_id", pa.int64())] + ([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
@@ -143,7 +146,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, decoded_ok) of every document; decoded_ok: the ids decode to the text's bytes."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row of `docs`, the hash being of the bytes that the ids decode to.
+    Null texts have no ids; repeated rows come each; a table without rows gives none."""
     vocabulary, pattern = _public()
     encoded = decode(encode(docs, vocabulary, pattern), vocabulary)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

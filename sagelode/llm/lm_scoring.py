@@ -117,7 +117,8 @@ def lm_scores(docs: DataFrame, model: Model = Model(), text: str = "text", root:
     Tokens are the words [^\\x20\\x09-\\x0D]+ of the whole text with A-Z lower-cased, then one end. Counts come from the
     documents that aren't held out. base_score sums log10 p(w), score log10 p(w | v), with a begin before the first
     word. A null or empty text is one end. Rows of a repeated doc_id are scored, and train, each on its own; a null
-    doc_id trains. An empty table gives no rows. The tries stay under `root`, by default in the shared folder.
+    doc_id trains. An empty table gives no rows. A text longer than a block is a block of its own; columns of `docs`
+    besides doc_id and text, whatever their names, play no part. The tries stay under `root`, by default in the shared folder.
 
     A word's counts and number come from its rows in the blocks, one a block; a pair's from its shard, one sorted list
     a block; both answer to the blocks. Nothing grows with the corpus but the number of blocks and shards.

@@ -389,7 +389,8 @@ def suffix_dedup(docs: DataFrame, p: Repeats = Repeats(), text: str = "text", di
     is removed; strings don't cross documents, overlaps count, and all is judged on the input. spans are the maximal
     removed runs [begin, end); kept has the remaining bytes, which may cut a character. With `digests`, kept_sha256
     comes instead of spans and kept. Null texts count as empty. A repeated row makes every string of it repeat; null
-    doc_ids pass through; an empty table gives no rows.
+    doc_ids pass through; an empty table gives no rows. A text of any length is taken whole, in one task. Columns of
+    `docs` besides doc_id and text, whatever their names, play no part.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row_key"), F.col(text).alias("text"))
     found = repeated_windows(keyed.select("row_key", "text"), p)

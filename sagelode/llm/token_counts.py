@@ -107,7 +107,9 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary: Unigram, text: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, score), one for each row of `docs`: pieces and score of the best segmentation of the
     whole text. Null and empty texts have 0 pieces and score 0.0. doc_ids pass through, null or repeated; an empty
-    table gives no rows. No shuffle: a worker remembers a bounded number of segments.
+    table gives no rows; columns besides doc_id and text, whatever their names, play no part. No shuffle: a worker
+    remembers a bounded number of segments. Scores are summed in 64 bits; the tokenizer's library sums in 32, so that
+    on texts of thousands of characters, whose sums 32 bits don't hold exactly, it may break near ties otherwise.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary, whatever the corpus

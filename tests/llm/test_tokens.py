@@ -172,3 +172,21 @@ def test_lm_scores(spark):
         assert g[:5] == w[:5]
         assert g[5] == pytest.approx(w[5], rel=1e-9) and abs(g[6] - w[6]) <= 2e-4 * w[2]
     assert lm_scoring.lm_scores(empty(spark)).count() == 0
+
+
+def test_other_columns_play_no_part(spark):
+    """Columns of clashing and dotted names, and an id of 32 bits."""
+    from sagelode.llm import suffix_dedup
+
+    plain = spark.createDataFrame([(1, "one two three"), (2, None), (3, "x" * 250)], "doc_id int, text string")
+    docs = plain.selectExpr("*", "7 AS row_key", "8 AS text_key", "'b' AS block", "array(1) AS ids", "9 AS key", "10 AS `a.b`", "11 AS word", "12 AS shard", "13 AS path")
+    vocabulary = token_counts.Unigram.from_model(PIECES)
+    runs = (
+        lambda d: token_counts.token_counts(d, vocabulary),
+        lambda d: byte_bpe.encode(d, MULTI, P.PATTERN),
+        lambda d: lm_scoring.lm_scores(d),
+        lambda d: suffix_dedup.suffix_dedup(d, digests=True),
+        lambda d: token_files.read_token_files(token_files.write_token_files(d, JSON, f"{shared_dir(spark)}/clash-{len(d.columns)}", 2)),
+    )
+    for run in runs:
+        assert sorted(map(repr, run(docs).collect())) == sorted(map(repr, run(plain).collect()))
