@@ -114,19 +114,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS = [np.empty(0, U64), np.empty(0, U64)]
 
 
-def cell_hashes(cells: pa.Array) -> np.ndarray:
-    """64-bit hashes of the strings of an Arrow column without nulls, from one running sum over all their bytes."""
+def cell_hashes(cells: pa.Array, size: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the strings of an Arrow column without nulls, from one running sum over their bytes; about `size`
+    bytes are taken at a time, which bounds the memory."""
     if not len(cells):
         return np.empty(0, U64)
     cells = cells.cast(pa.binary()) if not pa.types.is_string(cells.type) else cells
     ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
-    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends -= ends[0]
-    with np.errstate(over="ignore"):
-        if len(_POWERS[0]) <= len(data):
-            _POWERS[:] = _powers(_BASE, 2 * len(data) + 1024), _powers(pow(_BASE, -1, 1 << 64), 2 * len(data) + 1024)
-        sums = np.concatenate(([U64(0)], np.cumsum(_BYTES[data] * _POWERS[0][: len(data)], dtype=U64)))
-        return mix64((sums[ends[1:]] - sums[ends[:-1]]) * _POWERS[1][ends[:-1]] + np.diff(ends).astype(U64) * U64(0xD1B54A32D192ED03))
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)
+    out, begin = np.empty(len(cells), U64), 0
+    while begin < len(cells):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + size, "right")) - 1)
+        own, part = ends[begin : end + 1] - ends[begin], data[ends[begin] : ends[end]]
+        with np.errstate(over="ignore"):
+            if len(_POWERS[0]) <= len(part):
+                n = max(size, len(part))
+                _POWERS[:] = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+            sums = np.concatenate(([U64(0)], np.cumsum(_BYTES[part] * _POWERS[0][: len(part)], dtype=U64)))
+            out[begin:end] = mix64((sums[own[1:]] - sums[own[:-1]]) * _POWERS[1][own[:-1]] + np.diff(own).astype(U64) * U64(0xD1B54A32D192ED03))
+        begin = end
+    return out
 
 
 def text_slices(texts: pa.Array, size: int = 1_500_000):

@@ -222,11 +222,12 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         for known in seen:
             wanted = wanted.join(known.select("id"), "id", "left_anti")
-        wanted = wanted.join(nodes, "id").groupBy("first.row_key").agg(F.collect_list(F.struct("first.line_no", "id")).alias("w"))  # a row's own lines at most
-        wanted = materialize(wanted, "line-wanted")
+        wanted = materialize(wanted, "line-wanted-ids")
+        rows = shared_size_join(nodes.select("id", "first"), wanted, "id").groupBy("first.row_key").agg(F.collect_list(F.struct("first.line_no", "id")).alias("w"))  # a row's own lines at most
+        drop_ids, wanted = wanted, materialize(rows, "line-wanted")
         found = shared_size_join(docs.select("row_key", "text"), wanted, "row_key", listed="w", each=2).mapInArrow(texts, "id long, line string")
         seen.append(materialize(found.dropDuplicates(["id"]), "line-texts"))
-        drop_tables(wanted)
+        drop_tables(drop_ids, wanted)
         text = reduce(DataFrame.unionByName, seen)
         both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.mapInArrow(keep_similar, "a long, b long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_tables, materialize, record_batch, shuffle_width
+from .common import connected_components, drop_tables, materialize, record_batch, shared_size_join, shuffle_width
 
 
 def bucket_rows(members: DataFrame) -> DataFrame:
@@ -56,6 +56,8 @@ def linked_components(
     costs a pair for each id, not all its pairs.
     """
     shared = materialize(bucket_rows(members), f"{label}-buckets")
+    ids = materialize(shared.select("id").distinct(), f"{label}-ids")
+    marks = materialize(shared_size_join(marks, ids, "id"), f"{label}-marks")
     stars = shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     x, y = (marks.select(F.col("id").alias(i), F.col("mark").alias(m)) for i, m in (("a", "x"), ("b", "y")))
     stars = materialize(stars.join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b"), f"{label}-stars")
@@ -70,5 +72,5 @@ def linked_components(
     cross = materialize(cross.select("a", "b").distinct(), f"{label}-cross")
     edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(cross).select("a", "b"))
     out = connected_components(edges, f"{label}-all")
-    drop_tables(shared, stars, first, own, cross)
+    drop_tables(shared, ids, marks, stars, first, own, cross)
     return out

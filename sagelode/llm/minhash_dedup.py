@@ -81,7 +81,7 @@ def _planes(minima: np.ndarray, m: MinHash) -> np.ndarray:
 def signatures(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> DataFrame:
     """Rows (doc_id, text_key, n_shingles, set_key, sig array<long>, bands array<long>) for each row of `docs`.
 
-    text_key is a hash of the text; set_key identifies the set (null for an empty one). Arrow batches are taken in pieces of about a million shingles.
+    text_key is a hash of the text; set_key identifies the set (null for an empty one). Arrow batches are taken in slices of 1.5 MB.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     mult = odd_multipliers(m.rows, m.seed + 1)
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> D
 
     def run(batches):
         for b in batches:
-            for lo, hi in text_slices(b.column("text"), 6_000_000):
+            for lo, hi in text_slices(b.column("text")):
                 ids, keys, texts = (b.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key", "text"))
                 yield piece(ids, keys, shingle_sets(texts, m.width))
 
@@ -170,10 +170,11 @@ def grouped(docs: DataFrame, m: MinHash = MinHash(), text: str = "text") -> Data
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         for known in seen:
             wanted = wanted.join(known.select("id"), "id", "left_anti")
-        wanted = materialize(wanted.join(nodes.select("id", "first_id"), "id"), "sets-wanted")
+        ids = materialize(wanted, "sets-wanted-ids")
+        wanted = materialize(shared_size_join(nodes.select("id", "first_id"), ids, "id"), "sets-wanted")
         found = shared_size_join(texts, wanted, "first_id").select("id", "text").mapInArrow(set_bytes, "id long, key long, data binary")
         seen.append(materialize(found.where("id = key").select("id", "data").dropDuplicates(["id"]), "sets"))
-        drop_tables(wanted)
+        drop_tables(ids, wanted)
         sets = reduce(DataFrame.unionByName, seen)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("sx")), "a").join(sets.select(F.col("id").alias("b"), F.col("data").alias("sy")), "b")
         return both.mapInArrow(linked, "a long, b long")
