@@ -131,3 +131,27 @@ def with_last_reply(q: Column, reply: Column, least: int = 8, chars: int = 100)
     """A query of fewer than `least` words with the start of the last reply after it."""
     short = F.size(F.split(F.trim(q), r"\s+")) < least
     return F.when(short & reply.isNotNull(), F.concat(q, F.lit(" "), F.substring(reply, 1, chars))).otherwise(q)
+
+
+def token_estimates(c: Column) -> tuple[Column, Column]:
+    """A quarter of the characters, and 1.35 for each word, rounded down."""
+    words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    return F.floor(F.length(c) / 4).cast("long"), F.floor(words * 1.35).cast("long")
+
+
+def live(chunks: DataFrame, archived: DataFrame, generated: str = "generated_reports") -> DataFrame:
+    """Rows whose path (rel_path) isn't archived (rel_path) and doesn't start like generated content."""
+    return chunks.where(~F.startswith("rel_path", F.lit(generated))).join(archived.select("rel_path").distinct(), "rel_path", "left_anti")
+
+
+def source_list(pool: DataFrame, first: int = 20, most: int = 8) -> DataFrame:
+    """(query_id, source, score, place): of each query's `first` rows by rank the distinct sources with their best score,
+    the `most` best of them."""
+    own = pool.where(F.col("rank") <= first).groupBy("query_id", "source").agg(F.max("score").alias("score"))
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source")).cast("long")).where(F.col("place") <= most)
+
+
+def graph_stats(edges: DataFrame) -> DataFrame:
+    """One row (nodes, edges, relations)."""
+    n = edges.select(F.col("src").alias("node")).union(edges.select("dst")).agg(F.countDistinct("node").alias("nodes"))
+    return edges.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("relation").alias("relations")).crossJoin(n)  # one row each

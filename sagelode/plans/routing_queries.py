@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import routing
-from ..sources.readers import chunks, table
+from ..sources.readers import CHUNKS_SQL, chunks, table
+from .analytics_queries import _EDGES, _places
 from .assembly_queries import _PRI, _R50, _ranked
 from .retrieval_queries import _DOT
 from .text_queries import _ALL_SQL, _all_texts, simple_tokens_sql
@@ -129,8 +130,32 @@ def coverage_fill(spark, sf):
     return routing.coverage_fill(near.where("rank <= 2"), expected, near)
 
 
+def token_estimates(spark, sf):
+    a, b = routing.token_estimates(F.col("text"))
+    return chunks(spark, sf).select("chunk_id", a.alias("by_chars"), b.alias("by_words"), F.md5(F.substring("text", 1, 150)).alias("snippet_md5"))
+
+
+def live_sources(spark, sf):
+    c = chunks(spark, sf).select("chunk_id", F.when(F.col("chunk_id") % 11 == 0, F.concat(F.lit("generated_reports/"), F.col("rel_path"))).otherwise(F.col("rel_path")).alias("rel_path"))
+    return routing.live(c, c.where("chunk_id % 7 = 0").select("rel_path")).select("chunk_id", "rel_path")
+
+
+def name_search(spark, sf):
+    c = chunks(spark, sf).select("chunk_id", "rel_path", F.col("text").rlike("(?i)\\bthe the\\b").alias("twice"))
+    return c.where(F.col("rel_path").ilike("%NOTIF%2018%") | F.col("twice")).select("chunk_id", "rel_path")
+
+
+def source_list(spark, sf):
+    r = _ranked(spark, sf).withColumn("source", F.substring_index("rel_path", "/", 2))
+    return routing.source_list(r)
+
+
+def graph_stats(spark, sf):
+    return routing.graph_stats(_places(spark, sf))
+
+
 _FUNCTIONS = (
-    topic_argmax, topic_leaders, domain_routes, complexity_bands, follow_ups, authority_bonus, adaptive_domain, topic_clique, intra_topic_edges, trace_tests, suite_summary, compressed_context, mandatory_injection, notification_net, coverage_fill,
+    token_estimates, live_sources, name_search, source_list, graph_stats, topic_argmax, topic_leaders, domain_routes, complexity_bands, follow_ups, authority_bonus, adaptive_domain, topic_clique, intra_topic_edges, trace_tests, suite_summary, compressed_context, mandatory_injection, notification_net, coverage_fill,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -142,6 +167,11 @@ _NEAR = f"WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_
 _COMPLEX = "least(10, floor(len(string_split_regex(trim(text), '\\s+')) / 10)::INTEGER + len(regexp_extract_all(lower(text), '\\?|\\band\\b')) + len(regexp_extract_all(text, '[0-9]+')))::INTEGER"
 
 ORACLES = {
+    "token_estimates": f"WITH {CHUNKS_SQL} SELECT chunk_id, length(text) // 4 AS by_chars, floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.35)::BIGINT AS by_words, md5(substr(text, 1, 150)) AS snippet_md5 FROM chunks",
+    "live_sources": f"WITH {CHUNKS_SQL}, c AS (SELECT chunk_id, CASE WHEN chunk_id % 11 = 0 THEN 'generated_reports/' || rel_path ELSE rel_path END AS rel_path FROM chunks) SELECT * FROM c WHERE NOT starts_with(rel_path, 'generated_reports') AND rel_path NOT IN (SELECT rel_path FROM c WHERE chunk_id % 7 = 0)",
+    "name_search": f"WITH {CHUNKS_SQL} SELECT chunk_id, rel_path FROM chunks WHERE rel_path ILIKE '%NOTIF%2018%' OR regexp_matches(text, '(?i)\\bthe the\\b')",
+    "source_list": f"{_R50}, o AS (SELECT query_id, array_to_string(string_split(rel_path, '/')[1:2], '/') AS source, max(score) AS score FROM r WHERE rank <= 20 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS place FROM o QUALIFY place <= 8",
+    "graph_stats": f"WITH {_EDGES} SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e)) AS nodes, count(*) AS edges, 1::BIGINT AS relations FROM e",
     "topic_argmax": f"{_HITS} SELECT s.id, coalesce(topic, 'General') AS topic FROM s LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) = 1) b ON b.id = s.id",
     "topic_leaders": f"""{_HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS n FROM h QUALIFY n <= 2), m AS (SELECT id, string_agg(DISTINCT member, '|' ORDER BY member) AS members FROM t JOIN mem USING (topic) GROUP BY 1)
         SELECT id, string_agg(topic, '|' ORDER BY n) AS topics, any_value(members) AS members, max(score) AS confidence FROM t JOIN m USING (id) GROUP BY 1""",
