@@ -234,7 +234,7 @@ def test_edit_distances():
             b[at : at + rng.randrange(2)] = rng.choice(["", "a", "xy"])
         xs.append(a), ys.append("".join(b) if k % 3 else "".join(rng.choice("abc") for _ in range(rng.randrange(15))))
     want = np.array([_edits(a, b) for a, b in zip(xs, ys, strict=True)])
-    for sizes in ((4096, 12), (7, 12), (4096, 1)):
+    for sizes in ((4096, 12, 0), (7, 12, 0), (4096, 12, 8), (4096, 1)):
         for off in (-2, -1, 0, 1, 5):
             assert (within(xs, ys, want + off, *sizes) == (off >= 0)).all()
         assert (within(xs, ys, np.full(len(xs), 4), *sizes) == (want <= 4)).all()
