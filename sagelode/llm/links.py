@@ -14,7 +14,7 @@ from .common import connected_components, drop_tables, materialize, record_batch
 
 def bucket_rows(members: DataFrame) -> DataFrame:
     """From distinct (bucket long, id long): rows (bucket, leader, id) of the buckets with two ids or more. The leader is the id
-    of the least hash of bucket and id, so that it differs between the buckets that a group of ids shares. Each bucket's
+    of the least of two hashes, by the parity of the bucket: buckets that a group of ids shares have few leaders between them. Each bucket's
     ids stream past in that order: a bucket of any size needs the memory of a batch."""
     schema = pa.schema([("bucket", pa.int64()), ("leader", pa.int64()), ("id", pa.int64())])
 
@@ -39,7 +39,8 @@ def bucket_rows(members: DataFrame) -> DataFrame:
             if send.any():
                 yield record_batch({"bucket": k[send], "leader": leader[send], "id": i[send]}, schema)
 
-    dealt = members.repartition(shuffle_width(members.sparkSession), "bucket").sortWithinPartitions("bucket", F.xxhash64("bucket", "id"))
+    draw = F.xxhash64(F.pmod("bucket", F.lit(2)), "id")
+    dealt = members.repartition(shuffle_width(members.sparkSession), "bucket").sortWithinPartitions("bucket", draw)
     return dealt.mapInArrow(run, "bucket long, leader long, id long")
 
 
