@@ -45,28 +45,34 @@ def feature_words(text: bytes) -> list[bytes]:
 _LONGS = pa.list_(pa.int64())
 
 
+class _Slots(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
 def word_rows(docs: DataFrame, side: int, cfg: Resampling, label: str) -> DataFrame:
     """Blocks (block, side, doc_ids, counts, words, stream) of the rows of `docs` (doc_id, text); stream numbers the words
     of all positions by their place in `words`."""
     schema = pa.schema([("block", pa.int64()), ("side", pa.int32()), ("doc_ids", _LONGS), ("counts", _LONGS), ("words", pa.list_(pa.string())), ("stream", pa.binary())])
 
     def run(batches):
-        task, seq, size, ids, counts, slots, stream = TaskContext.get().partitionId(), 0, 0, [], [], {}, array("I")
+        task, seq, size, ids, counts, slots, stream = TaskContext.get().partitionId(), 0, 0, [], [], _Slots(), array("I")
 
         def row():
             nonlocal seq, size, ids, counts, slots, stream
             words = pa.array([w.decode("utf-8", "replace") for w in slots], pa.string())
             flat = np.frombuffer(stream, np.uint32) if len(stream) else np.empty(0, np.uint32)
             out = {"block": [(task << 32) + (seq << 1) + side], "side": [side], "doc_ids": [ids], "counts": [counts], "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "stream": [pack(flat)]}
-            seq, size, ids, counts, slots, stream = seq + 1, 0, [], [], {}, array("I")
+            seq, size, ids, counts, slots, stream = seq + 1, 0, [], [], _Slots(), array("I")
             return record_batch(out, schema)
 
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 data = t.as_buffer().to_pybytes() if t.is_valid else b""
                 words = feature_words(data)
-                for w in set(words) - slots.keys():
-                    slots[w] = len(slots)
                 stream.extend(map(slots.__getitem__, words))
                 ids.append(d)
                 counts.append(len(words))

@@ -106,7 +106,7 @@ class SegmentEncoder:
         self.find, self.letters, self.model = regex.compile(BYTE_LEVEL).findall, byte_letters(), self.tokenizer.model
         self.words = _Remembered(self._word, memo)
         self.pieces = _Remembered(self._segment, memo // 4)
-        self.after_blank = _Remembered(lambda s: self._segment(" " + s), memo // 2)
+        self.after_blank = _Remembered(self._after_blank, memo)
 
     def _cut(self, segment: str) -> list[str]:
         core = segment[1:]
@@ -123,6 +123,13 @@ class SegmentEncoder:
     def _segment(self, segment: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self._cut(segment)))
 
+    def _after_blank(self, core: str) -> bytes:
+        if core.isalpha():  # one word, remembered here and not with the others
+            return self._word(" " + core)
+        if core[:-1].isalpha() and core[-1] in ".,;:!?":
+            return self.after_blank[core[:-1]] + self.words[core[-1]]
+        return self._segment(" " + core)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
