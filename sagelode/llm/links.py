@@ -44,34 +44,84 @@ def bucket_rows(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, leader long, id long")
 
 
+def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """`rows` (id, ...) and the component of each id, itself where it has none yet."""
+    return rows.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _outsiders(own: DataFrame, leaders: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of ids outside the largest component of their bucket with `leaders` ids of that component, drawn by
+    hashes that all buckets share. `own` has (bucket, id, component)."""
+    drawn = F.array(*[F.min(F.struct(F.xxhash64(F.lit(seed + j), "id").alias("h"), "id")).getField("id") for j in range(leaders)])
+    sizes = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), drawn.alias("leaders"))
+    largest = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component", "leaders")).alias("m")).where("k > 1")
+    outside = own.join(largest.select("bucket", "m.component", "m.leaders").withColumnRenamed("component", "main"), "bucket").where("component <> main")
+    pairs = outside.select("id", F.explode("leaders").alias("leader"))
+    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
 def linked_components(
-    members: DataFrame, marks: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], label: str, block: int = 1024
+    members: DataFrame,
+    marks: DataFrame,
+    near: Callable[[str, str], Column],
+    confirm: Callable[[DataFrame], DataFrame],
+    label: str,
+    block: int = 1024,
+    rounds: tuple = (4,),
+    finer: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
 ) -> DataFrame:
     """Rows (node, component) of the ids that are linked: two ids link when they share a bucket, `near` holds for their
     marks and `confirm` keeps their pair.
 
     `members` has distinct (bucket, id), `marks` (id, mark); near(x, y) is a condition on two mark columns, and
     confirm(pairs of a < b) gives the pairs that link. First each id is held against the leaders of its buckets only.
-    What that doesn't connect is held against each other: pairs of one bucket in different components, by a join on
-    bucket and salt, where a bucket is dealt to one salt per `block` ids. So no link is lost, and a group of like ids
-    costs a pair for each id, not all its pairs.
+    In each of `rounds`, ids outside the largest component of a bucket are held against that many more ids of it. What
+    is still apart is held against each other: pairs of one bucket in different components, by a join on
+    bucket and salt, where a bucket is dealt to one salt per `block` ids; a pair counts in the least bucket that it shares.
+    `finer` may give other marks (id, mark) for the rows (id) that are left, and a condition on them in the place of
+    near. So no link is lost, and a group of like ids costs a few pairs for each id, not all its pairs.
     """
     shared = materialize(bucket_rows(members), f"{label}-buckets")
     ids = materialize(shared.select("id").distinct(), f"{label}-ids")
     marks = materialize(shared_size_join(marks, ids, "id"), f"{label}-marks")
-    stars = shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     x, y = (marks.select(F.col("id").alias(i), F.col("mark").alias(m)) for i, m in (("a", "x"), ("b", "y")))
-    stars = materialize(stars.join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b"), f"{label}-stars")
-    first = connected_components(confirm(stars), f"{label}-near")
-
-    own = shared.select("bucket", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts")).where("lo <> hi")
-    own = materialize(own.join(apart.select("bucket", "salts"), "bucket").join(marks, "id"), f"{label}-apart")
-    left = own.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("mark").alias("x"))
-    right = own.select("bucket", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("mark").alias("y"))
-    cross = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("x", "y"))
-    cross = materialize(cross.select("a", "b").distinct(), f"{label}-cross")
-    edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(cross).select("a", "b"))
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(pairs.join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b"), f"{label}-{name}")
+        out = materialize(confirm(pairs).select("a", "b"), f"{label}-{name}-links")
+        drop_tables(pairs)
+        return out
+
+    stars = shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    edges = links(stars, "stars")
+    known = connected_components(edges, f"{label}-near")
+    own = shared.select("bucket", "id")
+    used = [shared, ids, marks, edges]
+    for k, leaders in enumerate(rounds):
+        own = _with_component(own, known)
+        apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        own = materialize(own.join(apart, "bucket", "left_semi"), f"{label}-own")
+        edges = links(_outsiders(own, leaders, 100 * (k + 1)), f"round-{k}")
+        used += [own, edges, known]
+        own = own.select("bucket", "id")
+        if not edges.isEmpty():
+            known = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges), f"{label}-near")
+
+    own = _with_component(own, known)
+    mixed = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts")).where("lo <> hi")
+    own = materialize(own.join(mixed.select("bucket", "salts"), "bucket"), f"{label}-apart")
+    keys = materialize(own.groupBy("id").agg(F.collect_set("bucket").alias("keys")), f"{label}-keys")  # no more than an id has buckets
+    used += [own, keys]
+    if finer:
+        marks, near = materialize(finer[0](keys.select("id")), f"{label}-finer"), finer[1]
+        used.append(marks)
+    own = materialize(own.join(marks.join(keys, "id"), "id"), f"{label}-apart-marks")
+    left = own.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("mark").alias("x"), F.col("keys").alias("kx"))
+    right = own.select("bucket", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("mark").alias("y"), F.col("keys").alias("ky"))
+    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("bucket")
+    cross = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("x", "y") & once)
+    cross = materialize(cross.select("a", "b"), f"{label}-cross")
+    edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(cross).select("a", "b"))
     out = connected_components(edges, f"{label}-all")
-    drop_tables(shared, ids, marks, stars, first, own, cross)
+    drop_tables(*{t.written: t for t in (*used, known, own, cross)}.values())
     return out

@@ -195,6 +195,7 @@ def resample(docs: DataFrame, target: DataFrame, cfg: Resampling = Resampling(),
     dictionary = materialize(words.select("word").distinct().select(F.monotonically_increasing_id().alias("id"), "word"), "dictionary")
     numbers = _by_block(words.join(dictionary, "word").select("block", F.col("slot").cast("long").alias("slot"), "id"), "id", "ids")
     grams = tuple_rows(blocks, numbers, cfg)
+    drop_tables(own, other)
 
     each = grams.select("block", "side", F.posexplode(F.arrays_zip("tuples", "counts")).alias("slot", "g")).select("block", "side", F.col("slot").cast("long").alias("slot"), F.col("g.tuples").alias("tuple"), F.col("g.counts").alias("n"))
     sums = each.groupBy("tuple").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("raw"), F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("target"))
@@ -222,7 +223,7 @@ def resample(docs: DataFrame, target: DataFrame, cfg: Resampling = Resampling(),
     weighed = grams.where("side = 0").drop("tuples", "counts").join(back, "block", "left")
     weighed = weighed.mapInArrow(weigh, "doc_id long, n_words long, n_features long, weight long").withColumn("score", draw_score(F.col("doc_id"), F.col("weight"), cfg.seed))
     weighed = materialize(weighed, "weights")
-    drop_tables(own, other, dictionary, grams, hashed)
+    drop_tables(dictionary, grams, hashed)
     kept = ["doc_id", "n_features", "weight", "score"]
     short = weighed.where(F.col("n_words") < cfg.least_words).select(*kept, F.lit(None).cast("long").alias("rank"))
     return ranked(weighed.where(F.col("n_words") >= cfg.least_words).select(*kept), (cfg.percent, 100)).unionByName(short)
