@@ -255,7 +255,8 @@ def line_dedup(docs: DataFrame, p: LineDedup = LineDedup(), text: str = "text")
     gone = duplicate_lines(keyed.select("row_key", "doc_id", "text"), p)
     out = shared_size_join(keyed, gone, "row_key", "left", listed="lines")
     parts = F.split("text", "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("lines", F.array().cast("array<long>")), i.cast("long"))), "\n")
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(parts).cast("long") - 1), "lines")  # in time with the lines, however many go
+    left = F.array_join(F.transform(stay, lambda i: F.get(parts, i.cast("int"))), "\n")
     kept = F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)
     n_lines, n_removed = F.coalesce(F.size(parts), F.lit(0)).cast("long"), F.coalesce(F.size("lines"), F.lit(0)).cast("long")
     out = out.select("_row", F.struct(kept.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed")).alias("_new"))

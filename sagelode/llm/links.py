@@ -67,7 +67,7 @@ def linked_components(
     confirm: Callable[[DataFrame], DataFrame],
     label: str,
     block: int = 1024,
-    rounds: tuple = (4,),
+    rounds: tuple = (2,),
     finer: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
 ) -> DataFrame:
     """Rows (node, component) of the ids that are linked: two ids link when they share a bucket, `near` holds for their
@@ -78,8 +78,7 @@ def linked_components(
     In each of `rounds`, ids outside the largest component of a bucket are held against that many more ids of it. What
     is still apart is held against each other: pairs of one bucket in different components, by a join on
     bucket and salt, where a bucket is dealt to one salt per `block` ids; a pair counts in the least bucket that it shares.
-    `finer` may give other marks (id, mark) for the rows (id) that are left, and a condition on them in the place of
-    near. So no link is lost, and a group of like ids costs a few pairs for each id, not all its pairs.
+    `finer` may give further marks (id, mark) for the rows (id) that are left, and a condition on them besides near. So no link is lost, and a group of like ids costs a few pairs for each id, not all its pairs.
     """
     shared = materialize(bucket_rows(members), f"{label}-buckets")
     ids = materialize(shared.select("id").distinct(), f"{label}-ids")
@@ -112,14 +111,17 @@ def linked_components(
     own = materialize(own.join(mixed.select("bucket", "salts"), "bucket"), f"{label}-apart")
     keys = materialize(own.groupBy("id").agg(F.collect_set("bucket").alias("keys")), f"{label}-keys")  # no more than an id has buckets
     used += [own, keys]
+    marks = marks.join(keys, "id").withColumn("more", F.lit(0))
     if finer:
-        marks, near = materialize(finer[0](keys.select("id")), f"{label}-finer"), finer[1]
-        used.append(marks)
-    own = materialize(own.join(marks.join(keys, "id"), "id"), f"{label}-apart-marks")
-    left = own.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("mark").alias("x"), F.col("keys").alias("kx"))
-    right = own.select("bucket", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("mark").alias("y"), F.col("keys").alias("ky"))
-    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("bucket")
-    cross = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("x", "y") & once)
+        more = materialize(finer[0](keys.select("id")).withColumnRenamed("mark", "more"), f"{label}-finer")
+        marks = marks.drop("more").join(more, "id")
+        used.append(more)
+    own = materialize(own.join(marks.select("id", F.struct("mark", "keys", "more").alias("m")), "id"), f"{label}-apart-marks")
+    left = own.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("m").alias("p"))
+    right = own.select("bucket", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("m").alias("q"))
+    alike = near("p.mark", "q.mark") & (F.array_min(F.array_intersect("p.keys", "q.keys")) == F.col("bucket"))
+    alike = alike & finer[1]("p.more", "q.more") if finer else alike
+    cross = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
     cross = materialize(cross.select("a", "b"), f"{label}-cross")
     edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(cross).select("a", "b"))
     out = connected_components(edges, f"{label}-all")
