@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 #: Citation patterns and the part each gives a key (fixed values).
 CITATIONS = (
-    ("SEC", r"(?:[Ss]ection|[Ss]ec\.|u/s)\s*(\d+[A-Z]*(?:\(\d+\))*(?:\([a-z]\))*)"),
-    ("RULE", r"(?:[Rr]ule|u/r)\s+(\d+[A-Z]*(?:\(\d+\))*(?:\([a-z]\))*)"),
-    ("NOTIF", r"[Nn]otification\s+[Nn]o\.?\s*(\d+[/-]\d+)"),
-    ("CIRC", r"[Cc]ircular\s+[Nn]o\.?\s*(\d+[/-]\d+[/-]\d+)"),
-    ("SCHED", r"[Ss]chedule\s+(III|II|IV|VI|V|I|[1-6])"),
+    ("SEC", r"(?i)(?:Section|Sec\.|u/s|\bS\.)\s*(\d+[A-Z]*(?:\(\d+\))*(?:\([a-z]\))*)"),
+    ("RULE", r"(?i)(?:Rule|u/r)\s+(\d+[A-Z]*(?:\(\d+\))*(?:\([a-z]\))*)"),
+    ("NOTIF", r"(?i)Notification\s+No\.?\s*(\d+[/-]\d+)"),
+    ("CIRC", r"(?i)Circular\s+No\.?\s*(\d+[/-]\d+[/-]\d+)"),
+    ("SCHED", r"(?i)Schedule\s+(III|II|IV|VI|V|I|[1-6])"),
 )
+ACT = r"(?i)(?:CGST|IGST|SGST|UTGST|GST)\s+Act"
 #: Numbers that need no source (fixed values).
 SAFE_NUMBERS = ("0", "1", "2", "3", "4", "5", "10", "100")
 RATE = r"(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)"
@@ -28,9 +29,10 @@ def normal_citation(kind: Column | str, value: Column, act: str = "CGST") -> Col
 
 
 def citation_keys(text: Column, act: str = "CGST") -> Column:
-    """Distinct keys in order of their kind, then of the text."""
+    """Distinct keys in order of their kind, then of the text, whatever their case; ACT where an act is named."""
     of_kind = lambda k: lambda v: normal_citation(k, v, act)
-    return F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), of_kind(k)) for k, p in CITATIONS]))
+    named = F.when(text.rlike(ACT), F.array(F.lit("ACT"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), of_kind(k)) for k, p in CITATIONS], named))
 
 
 def canonical_key(key: Column) -> Column:

@@ -16,6 +16,7 @@ SENTENCES = (
     (5, "A demand of 1.2 crore at 12% under Notification No. 11/2017, late by 365 days"),
     (6, "form drc-01 and gstr-3b replies, cir 183"),
     (7, "nothing of note"),
+    (8, "SECTION 17(5), RULE 42 and NOTIFICATION NO. 11/2017 under the IGST ACT; cf. S. 16, s.9(3)(b) and u/s 73."),
 )
 _VALUES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ")"
 _SENTENCES_SQL = f"s(id, q) AS {_VALUES}"
@@ -196,7 +197,11 @@ def _cat_sql(p: str) -> str:
 _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 _RE = {k: p.replace("'", "''") for k, p in legal.CITATIONS}
 _NORM = "upper(translate(trim(v), '/-()', '___'))"
-_CITES = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all(q, '{p}', 1), lambda v: 'CGST_{k}_' || {_NORM})" for k, p in _RE.items()) + ")"
+_CITES = (
+    "list_concat("
+    + ", ".join(f"list_transform(regexp_extract_all(q, '{p}', 1), lambda v: 'CGST_{k}_' || {_NORM})" for k, p in _RE.items())
+    + f", CASE WHEN regexp_matches(q, '{legal.ACT}') THEN ['ACT'] ELSE [] END)"
+)
 
 
 def _distinct(x: str) -> str:

@@ -49,7 +49,7 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 def budgets(events: DataFrame, limit: int, seconds: int, late: str = "1 day") -> DataFrame:
     """(user_id, event_id, used, allowed): a user's budget opens with an event, holds `limit` of them and closes after
-    `seconds`; the next event opens another. Events are in order within a trigger; one that comes later than others of
+    `seconds`; the next event opens another. A user's events are put in order within a trigger, which bounds what a task holds; one that comes later than others of
     its user counts in the budget that is open, and one behind the watermark not at all. State is two numbers a user, and
     goes when the watermark passes the budget's end."""
 
@@ -58,15 +58,15 @@ def budgets(events: DataFrame, limit: int, seconds: int, late: str = "1 day") ->
             state.remove()
             return
         start, used = state.get if state.exists else (None, 0)
-        for own in frames:
-            own = own.sort_values(["ts", "event_id"])
-            rows = []
-            for t, e in zip(own.ts.map(lambda x: int(x.timestamp() * 1e6)), own.event_id, strict=True):
-                if start is None or t >= start + seconds * 1_000_000:
-                    start, used = int(t), 0
-                used += 1
-                rows.append((key[0], e, used, used <= limit))
-            yield pd.DataFrame(rows, columns=["user_id", "event_id", "used", "allowed"])
+        own = pd.concat(list(frames))  # all of the trigger: Arrow cuts a group into several frames
+        own = own.sort_values(["ts", "event_id"])
+        rows = []
+        for t, e in zip(own.ts.map(lambda x: int(x.timestamp() * 1e6)), own.event_id, strict=True):
+            if start is None or t >= start + seconds * 1_000_000:
+                start, used = int(t), 0
+            used += 1
+            rows.append((key[0], e, used, used <= limit))
+        yield pd.DataFrame(rows, columns=["user_id", "event_id", "used", "allowed"])
         state.update((start, used))
         state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 

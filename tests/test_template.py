@@ -12,4 +12,4 @@ def test_vectors_past_ten_thousand_have_a_similarity(spark, tmp_path):
     for name, df in tables.items():
         df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     got = [tuple(r) for r in QUERIES["template_hybrid"](spark, str(tmp_path)).collect()]
-    assert sorted(got) == [(10_000 + i, 0.4) for i in range(15)]
+    assert sorted(got) == [(0, 10_000 + i, 0.4, i + 1) for i in range(15)]
