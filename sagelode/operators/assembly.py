@@ -52,13 +52,6 @@ def injection_cutoff(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_n", n).where(F.col("injected") | (F.col("_n") <= k)).drop("_n")
 
 
-def verify_citations(citations: DataFrame, sources: DataFrame, variants: Column) -> DataFrame:
-    """(id, citation, variant, level): the first of a citation's variants that a source text holds; null where none does."""
-    tried = citations.select("id", "citation", F.posexplode(variants).alias("level", "variant"))
-    found = tried.join(sources, F.contains(F.col("text"), F.col("variant"))).groupBy("id", "citation").agg(F.min(F.struct("level", "variant")).alias("f"))
-    return citations.select("id", "citation").join(found, ["id", "citation"], "left").select("id", "citation", F.col("f.variant").alias("variant"), F.col("f.level").alias("level"))
-
-
 def expand(queries: DataFrame, rules: DataFrame, most: int) -> DataFrame:
     """(id, terms): up to `most` terms of the rules whose trigger a query holds and that aren't in it, in order of the rules.
     `rules` is a small dimension (ord, trigger, term)."""

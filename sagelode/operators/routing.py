@@ -38,16 +38,48 @@ def routes(texts: DataFrame, rules: DataFrame) -> DataFrame:
     return texts.select("id").join(hit, "id", "left").select("id", F.coalesce("folders", F.array().cast("array<string>")).alias("folders"))
 
 
+#: Words of a question that asks for an analysis, and of one that doesn't (fixed values).
+COMPLEX = (
+    "section", "rule", "notification", "circular", "itc", "input tax credit",
+    "appeal", "penalty", "prosecution", "tribunal", "high court", "supreme court",
+    "composite", "mixed supply", "place of supply", "time of supply", "reverse charge",
+    "gstr", "annual return", "audit", "assessment", "demand", "adjudication",
+    "fema", "company law", "income tax", "tds", "tcs", "capital gains",
+    "export", "import", "customs", "sez", "e-way bill", "refund",
+    "draft", "notice", "reply", "advisory", "legal draft", "observation", "written submission",
+    "igst", "cgst", "sgst", "utgst", "intermediary", "zero rated", "export of service",
+    "import of service", "cross border", "inter-state", "intra-state",
+    "our understanding", "gst implications", "gst treatment", "tax position", "advise",
+    "qualifying", "characterisation", "characterization", "section 2", "section 7", "section 9",
+    "section 12", "section 13", "section 16", "section 17", "section 24", "section 74",
+    "schedule ii", "schedule iii", "schedule i",
+)
+SIMPLE = (
+    "what is", "define", "meaning of", "full form", "abbreviation",
+    "rate of", "gst rate", "hsn", "sac", "due date", "last date",
+    "deadline", "turnover limit", "threshold", "registration limit",
+)
+#: What raises the weight of each word of an analysis (fixed values).
+CREDIT_WORDS = ("itc", "input tax credit")
+DRAFT_WORDS = ("draft", "notice", "reply", "scn", "show cause", "drc-01", "drc 01", "asmt-10", "appeal letter", "representation")
+PLACE_WORDS = ("igst", "cgst", "intermediary", "place of supply", "zero rated", "export of service", "our understanding", "gst implications", "characteris")
+
+
 def complexity(q: Column) -> Column:
-    """0 to 10: a point for each ten words, each question mark or `and`, and each number, as far as they go."""
-    words = F.size(F.split(F.trim(q), r"\s+"))
-    joins = F.regexp_count(F.lower(q), F.lit(r"\?|\band\b"))
-    numbers = F.regexp_count(q, F.lit(r"[0-9]+"))
-    return F.least(F.lit(10), F.floor(words / 10).cast("int") + joins + numbers)
+    """0 to 1: words of an analysis by their weight, less those of a plain question, more for a long one and for several
+    sections."""
+    t = F.lower(q)
+    held = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)))
+    weight = F.when((held(CREDIT_WORDS) > 0) | (held(DRAFT_WORDS) > 0), 0.35).when(held(PLACE_WORDS) > 0, 0.28).otherwise(0.18)
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    long = F.when(words > 40, 0.25).when(words > 20, 0.15).when(words > 10, 0.05).otherwise(0.0)
+    several = F.when(F.regexp_count(t, F.lit(r"\bsec(?:tion)?\s*\d+")) > 1, 0.3).otherwise(0.0)
+    score = F.least(F.lit(1.0), held(COMPLEX) * weight) - F.least(F.lit(0.3), held(SIMPLE) * F.lit(0.15)) + long + several
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
 
 
 def mode(score: Column) -> Column:
-    return F.when(score <= 2, "brief").when(score <= 5, "standard").otherwise("thorough")
+    return F.when(score < 0.25, "brief").when(score < 0.6, "standard").otherwise("detailed")
 
 
 def authority_bonus(priority: Column, multiplier: Column) -> Column:
@@ -120,11 +152,12 @@ def safety_net(candidates: DataFrame, have: DataFrame, least: float = 0.15) -> D
 
 
 def coverage_fill(pool: DataFrame, expected: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, category, chunk_id): for each expected category (query_id, category, most) that `pool` lacks, its best
-    `most` candidates (query_id, category, chunk_id, sim)."""
+    """(query_id, category, chunk_id, sim): for each expected category (query_id, category, most, least) that `pool` (query_id,
+    category, chunk_id) lacks, its `most` best candidates (query_id, category, chunk_id, sim) of similarity `least` or more that aren't in the pool."""
     gone = expected.join(pool.select("query_id", "category").distinct(), ["query_id", "category"], "left_anti")
     w = Window.partitionBy("query_id", "category").orderBy(F.desc("sim"), "chunk_id")
-    return candidates.join(gone, ["query_id", "category"]).withColumn("n", F.row_number().over(w)).where("n <= most").select("query_id", "category", "chunk_id")
+    new = candidates.join(gone, ["query_id", "category"]).where(F.col("sim") >= F.col("least")).join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return new.withColumn("n", F.row_number().over(w)).where("n <= most").select("query_id", "category", "chunk_id", "sim")
 
 
 def with_last_reply(q: Column, reply: Column, least: int = 8, chars: int = 100) -> Column:
@@ -145,10 +178,12 @@ def live(chunks: DataFrame, archived: DataFrame, generated: str = "generated_rep
 
 
 def source_list(pool: DataFrame, first: int = 20, most: int = 8) -> DataFrame:
-    """(query_id, source, score, place): of each query's `first` rows by rank the distinct sources with their best score,
-    the `most` best of them."""
-    own = pool.where(F.col("rank") <= first).groupBy("query_id", "source").agg(F.max("score").alias("score"))
-    return own.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source")).cast("long")).where(F.col("place") <= most)
+    """(query_id, source, page, score, place): each query's first `first` distinct (source, page) by rank, each as it comes
+    first, of which the `most` of greatest score stay; equal scores by rank."""
+    own = pool.groupBy("query_id", "source", "page").agg(F.min(F.struct("rank", "score")).alias("b"))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("b.rank"))).where(F.col("n") <= first)
+    w = Window.partitionBy("query_id").orderBy(F.desc("b.score"), "b.rank")
+    return own.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("query_id", "source", "page", F.col("b.score").alias("score"), "place")
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import legal, text
 from ..functions.text import simple_tokens
 from ..functions.vectors import inner
-from ..operators import analytics as an
+from ..operators import analytics as an, containment
 from ..operators import assembly, dense, graph, lexical
 from ..sources.readers import CHUNKS_SQL, chunks, table
 from .analytics_queries import _RUNS, _runs
@@ -76,8 +76,7 @@ def semantic_cache(spark, sf):
 def citation_verify(spark, sf):
     s = _all_texts(spark, sf)
     cites = s.select("id", F.explode(F.regexp_extract_all(F.col("q"), F.lit(r"((?:Section|Rule)\s+\d+(?:\(\d+\))?)"), 1)).alias("citation"))
-    sources = s.where("id IN (2, 3)").select(F.lower("q").alias("text"))
-    return assembly.verify_citations(cites, sources, legal.citation_variants(F.col("citation")))
+    return containment.verify_citations(cites, s.select("id", F.lower("q").alias("text")), legal.citation_variants(F.col("citation")))
 
 
 def query_expansion(spark, sf):
@@ -139,7 +138,7 @@ ORACLES = {
     "composite_score": f"{_R50} SELECT query_id, chunk_id, round(0.5::DOUBLE * (score / max(score) OVER (PARTITION BY query_id)) + 0.3::DOUBLE * {_W} + 0.2::DOUBLE * {_REC}, 6) AS composite FROM r",
     "semantic_cache": f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_DOT}, 6) AS sim, round({_DOT}, 6) >= 0.3 AS hit FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 6) DESC, b.vec_id) = 1",
     "citation_verify": f"""WITH {_ALL_SQL}, c AS (SELECT id, unnest(regexp_extract_all(q, '((?:Section|Rule)\\s+\\d+(?:\\(\\d+\\))?)', 1)) AS citation FROM s), v AS (SELECT id, citation, unnest([0, 1, 2]) AS level, unnest([lower(citation), lower(regexp_replace(citation, '\\([^)]*\\)', '', 'g')), regexp_extract(citation, '(\\d+[A-Z]*)', 1)]) AS variant FROM c),
-        f AS (SELECT DISTINCT v.* FROM v JOIN s ON s.id IN (2, 3) AND contains(lower(s.q), variant)), b AS (SELECT id, citation, variant, level FROM f QUALIFY row_number() OVER (PARTITION BY id, citation ORDER BY level) = 1)
+        f AS (SELECT DISTINCT v.* FROM v JOIN s ON s.id <> v.id AND contains(lower(s.q), variant)), b AS (SELECT id, citation, variant, level FROM f QUALIFY row_number() OVER (PARTITION BY id, citation ORDER BY level) = 1)
         SELECT c.id, c.citation, variant, CASE WHEN level = 2 AND NOT contains(c.citation, '(') THEN 1 ELSE level END::INTEGER AS level FROM c LEFT JOIN b ON b.id = c.id AND b.citation = c.citation""",
     "query_expansion": f"""WITH {_ALL_SQL}, {_RULES_SQL}, h AS (SELECT id, term, min(ord) AS ord FROM s JOIN rules ON contains(lower(q), trig) AND NOT contains(lower(q), term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(ord), term) <= 3)
         SELECT s.id, string_agg(term, '|' ORDER BY ord, term) AS terms FROM s LEFT JOIN h USING (id) GROUP BY 1""",

@@ -43,8 +43,8 @@ def domain_routes(spark, sf):
 
 
 def complexity_bands(spark, sf):
-    q = routing.complexity(F.col("text"))
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", q.alias("score"), routing.mode(q).alias("mode"))
+    q = routing.complexity(F.col("q"))
+    return _all_texts(spark, sf).select("id", q.alias("score"), routing.mode(q).alias("mode"))
 
 
 def follow_ups(spark, sf):
@@ -123,11 +123,23 @@ def notification_net(spark, sf):
     return routing.safety_net(near.where("chunk_id <> query_id"), have)
 
 
+#: Categories of the labels of the vectors, and what each may add from which similarity on.
+CATEGORY_OF = ("statute", "statute", "statute", "circular", "circular", "notification", "notification", "case_law", "case_law", "case_law")
+FILL = (("case_law", 1, 0.20), ("circular", 2, 0.20), ("notification", 3, 0.18), ("statute", 1, 0.18))
+
+
 def coverage_fill(spark, sf):
-    near = _near(spark, sf).withColumn("category", F.element_at(F.array(*map(F.lit, ("statute", "circular", "notification", "case_law"))), (F.col("chunk_id") % 4 + 1).cast("int")))
-    most = spark.createDataFrame([("statute", 3), ("circular", 2), ("notification", 1), ("case_law", 1)], "category string, most int")
-    expected = near.select("query_id").distinct().crossJoin(most)  # four categories
-    return routing.coverage_fill(near.where("rank <= 2"), expected, near)
+    """For every fiftieth vector: the categories that its four nearest rows lack, from the fifteen nearest of each category."""
+    from ..operators import dense
+
+    category = F.element_at(F.array(*map(F.lit, CATEGORY_OF)), F.col("label") + 1)
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), category.alias("category"))
+    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
+    near = dense.dense_topk(e, q, 15, by="category").select("query_id", F.col("id").alias("chunk_id"), F.col("grp").alias("category"), "sim")
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
+    pool = near.withColumn("n", F.row_number().over(w)).where("n <= 4").select("query_id", "chunk_id", "category")
+    expected = q.select("query_id").crossJoin(spark.createDataFrame(list(FILL), "category string, most int, least double"))  # four categories
+    return routing.coverage_fill(pool, expected, near)
 
 
 def token_estimates(spark, sf):
@@ -146,7 +158,9 @@ def name_search(spark, sf):
 
 
 def source_list(spark, sf):
-    r = _ranked(spark, sf).withColumn("source", F.substring_index("rel_path", "/", 2))
+    """The pages of a text count by 1,000 characters from its start; a row's page is that of its last character."""
+    page = F.ceil(F.length("text") / 1000).cast("int")
+    r = _ranked(spark, sf).withColumn("source", F.substring_index("rel_path", "/", 2)).join(chunks(spark, sf).select("chunk_id", page.alias("page")), "chunk_id")
     return routing.source_list(r)
 
 
@@ -164,19 +178,24 @@ _HITS = f"WITH {_ALL_SQL}, {_TAX}, h AS (SELECT id, topic, sum(weight)::BIGINT A
 _ROUTES = "r(pattern, folder) AS (VALUES " + ", ".join(f"('{p}', '{f}')" for p, f in ROUTES) + ")"
 _MULT = "CASE category " + " ".join(f"WHEN '{c}' THEN {m}" for c, m in MULTIPLIERS) + " ELSE 1.0 END"
 _NEAR = f"WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_DOT}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM d QUALIFY rank <= 20)"
-_COMPLEX = "least(10, floor(len(string_split_regex(trim(text), '\\s+')) / 10)::INTEGER + len(regexp_extract_all(lower(text), '\\?|\\band\\b')) + len(regexp_extract_all(text, '[0-9]+')))::INTEGER"
+_HELD = lambda words: "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lower(q), w)))"
+_WEIGHT = f"CASE WHEN {_HELD(routing.CREDIT_WORDS)} + {_HELD(routing.DRAFT_WORDS)} > 0 THEN 0.35 WHEN {_HELD(routing.PLACE_WORDS)} > 0 THEN 0.28 ELSE 0.18 END::DOUBLE"
+_COMPLEX = f"""round(greatest(0, least(1, least(1, {_HELD(routing.COMPLEX)} * {_WEIGHT}) - least(0.3::DOUBLE, {_HELD(routing.SIMPLE)} * 0.15::DOUBLE)
+    + CASE WHEN n > 40 THEN 0.25 WHEN n > 20 THEN 0.15 WHEN n > 10 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN len(regexp_extract_all(lower(q), '\\bsec(?:tion)?\\s*\\d+')) > 1 THEN 0.3 ELSE 0 END::DOUBLE)), 6)"""
 
 ORACLES = {
     "token_estimates": f"WITH {CHUNKS_SQL} SELECT chunk_id, length(text) // 4 AS by_chars, floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.35)::BIGINT AS by_words, md5(substr(text, 1, 150)) AS snippet_md5 FROM chunks",
     "live_sources": f"WITH {CHUNKS_SQL}, c AS (SELECT chunk_id, CASE WHEN chunk_id % 11 = 0 THEN 'generated_reports/' || rel_path ELSE rel_path END AS rel_path FROM chunks) SELECT * FROM c WHERE NOT starts_with(rel_path, 'generated_reports') AND rel_path NOT IN (SELECT rel_path FROM c WHERE chunk_id % 7 = 0)",
     "name_search": f"WITH {CHUNKS_SQL} SELECT chunk_id, rel_path FROM chunks WHERE rel_path ILIKE '%NOTIF%2018%' OR regexp_matches(text, '(?i)\\bthe the\\b')",
-    "source_list": f"{_R50}, o AS (SELECT query_id, array_to_string(string_split(rel_path, '/')[1:2], '/') AS source, max(score) AS score FROM r WHERE rank <= 20 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS place FROM o QUALIFY place <= 8",
+    "source_list": f"""{_R50}, p AS (SELECT r.*, array_to_string(string_split(r.rel_path, '/')[1:2], '/') AS source, ceil(length(c.text) / 1000.0)::INTEGER AS page FROM r JOIN corpus c USING (chunk_id)),
+        o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id, source, page ORDER BY rank) = 1), f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 20)
+        SELECT query_id, source, page, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM f QUALIFY place <= 8""",
     "graph_stats": f"WITH {_EDGES} SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e)) AS nodes, count(*) AS edges, 1::BIGINT AS relations FROM e",
     "topic_argmax": f"{_HITS} SELECT s.id, coalesce(topic, 'General') AS topic FROM s LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) = 1) b ON b.id = s.id",
     "topic_leaders": f"""{_HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS n FROM h QUALIFY n <= 2), m AS (SELECT id, string_agg(DISTINCT member, '|' ORDER BY member) AS members FROM t JOIN mem USING (topic) GROUP BY 1)
         SELECT id, string_agg(topic, '|' ORDER BY n) AS topics, any_value(members) AS members, max(score) AS confidence FROM t JOIN m USING (id) GROUP BY 1""",
     "domain_routes": f"WITH {_ALL_SQL}, {_ROUTES} SELECT s.id, coalesce(string_agg(DISTINCT folder, '|' ORDER BY folder), '') AS folders FROM s LEFT JOIN r ON regexp_matches(lower(q), pattern) GROUP BY 1",
-    "complexity_bands": f"SELECT conv_id, turn, {_COMPLEX} AS score, CASE WHEN {_COMPLEX} <= 2 THEN 'brief' WHEN {_COMPLEX} <= 5 THEN 'standard' ELSE 'thorough' END AS mode FROM conversations WHERE role = 'user'",
+    "complexity_bands": f"WITH {_ALL_SQL}, t AS (SELECT id, q, len(list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '')) AS n FROM s), c AS (SELECT id, {_COMPLEX} AS score FROM t) SELECT id, score, CASE WHEN score < 0.25 THEN 'brief' WHEN score < 0.6 THEN 'standard' ELSE 'detailed' END AS mode FROM c",
     "follow_ups": """WITH c AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS reply FROM conversations)
         SELECT conv_id, turn, md5(CASE WHEN len(string_split_regex(trim(text), '\\s+')) < 8 AND reply IS NOT NULL THEN text || ' ' || substr(reply, 1, 100) ELSE text END) AS query_md5 FROM c WHERE role = 'user'""",
     "authority_bonus": f"{_R50} SELECT query_id, chunk_id, round(score + (11 - {_PRI}) * 0.03::DOUBLE * ({_MULT})::DOUBLE, 6) AS score FROM r",
@@ -195,7 +214,9 @@ ORACLES = {
         SELECT g.query_id, g.key, coalesce(k.c, m.c, f.chunk_id) AS chunk_id, CASE WHEN k.c IS NOT NULL THEN 1.5 WHEN m.c IS NOT NULL THEN 1.2 ELSE 1.35 END::DOUBLE AS score FROM g LEFT JOIN k ON k.key = g.key LEFT JOIN m ON m.n = g.n LEFT JOIN near f ON f.query_id = g.query_id AND f.rank = 1""",
     "notification_net": f"""{_NEAR}, c AS (SELECT * FROM near WHERE chunk_id <> query_id), h AS (SELECT DISTINCT query_id FROM c WHERE rank <= 3 AND chunk_id % 5 = 1)
         SELECT query_id, chunk_id, round(10 * (chunk_id % 3) + sim, 6) AS value FROM c WHERE sim >= 0.15 AND query_id NOT IN (SELECT query_id FROM h) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, chunk_id) = 1""",
-    "coverage_fill": f"""{_NEAR}, n AS (SELECT *, ['statute', 'circular', 'notification', 'case_law'][chunk_id % 4 + 1] AS category FROM near), m(category, most) AS (VALUES ('statute', 3), ('circular', 2), ('notification', 1), ('case_law', 1)),
-        g AS (SELECT DISTINCT n.query_id, m.category, m.most FROM n, m WHERE NOT EXISTS (SELECT 1 FROM n p WHERE p.rank <= 2 AND p.query_id = n.query_id AND p.category = m.category))
-        SELECT n.query_id, n.category, chunk_id FROM n JOIN g ON g.query_id = n.query_id AND g.category = n.category QUALIFY row_number() OVER (PARTITION BY n.query_id, n.category ORDER BY sim DESC, chunk_id) <= any_value(most) OVER (PARTITION BY n.query_id, n.category)""",
+    "coverage_fill": f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {list(CATEGORY_OF)}[b.label + 1] AS category, round({_DOT}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+        pool AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) <= 4), wide AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, category ORDER BY sim DESC, chunk_id) <= 15),
+        m(category, most, least) AS (VALUES {", ".join(f"('{c}', {n}, {x}::DOUBLE)" for c, n, x in FILL)}),
+        w AS (SELECT wide.*, most FROM wide JOIN m USING (category) WHERE sim >= least AND (query_id, category) NOT IN (SELECT (query_id, category) FROM pool) AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM pool))
+        SELECT query_id, category, chunk_id, sim FROM w QUALIFY row_number() OVER (PARTITION BY query_id, category ORDER BY sim DESC, chunk_id) <= most""",
 }
