@@ -33,12 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch while tables are written: a task holds a few times as much, in the executor and in Python.
+BATCH_BYTES = "8m"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and reads it back: this cuts the lineage, and a lost
     executor takes nothing with it. Unlike checkpoint() the last stage runs once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path
     return out

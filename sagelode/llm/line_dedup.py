@@ -232,7 +232,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
         both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.mapInArrow(keep_similar, "a long, b long")
 
-    groups = linked_components(nodes.select(F.explode("bands").alias("bucket"), "id"), nodes.select("id", "mark"), near, confirm, "line")
+    groups = linked_components(nodes.select(F.explode("bands").alias("bucket"), "id"), nodes.select("id", "mark"), near, confirm, "line", rounds=())
     named = shared_size_join(nodes.drop("bands", "mark"), groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     firsts = materialize(named.groupBy("component").agg(F.min("first").alias("f")), "line-firsts")
     named = materialize(shared_size_join(named.select("id", "component"), firsts, "component").select(F.col("id").alias("key"), "f"), "line-named")
@@ -272,7 +272,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated lines. A document of which nothing but blank lines is left goes: all its
     lines are in other documents. n_chars follows the text."""
-    out = line_dedup(docs).where("n_removed = 0 OR length(regexp_replace(text, '[\\\\x20\\\\x09-\\\\x0D]+', '')) > 0")
+    out = line_dedup(docs).where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
