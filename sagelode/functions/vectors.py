@@ -31,3 +31,13 @@ def sigmoid(x: Column) -> Column:
 
 def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), F.lit(None)).otherwise(x)
+
+
+def not_finite(x: Column) -> Column:
+    """Whether a number is null, NaN or infinite."""
+    return x.isNull() | F.isnan(x) | x.isin(float("inf"), float("-inf"))
+
+
+def sanitised(v: Column) -> Column:
+    """An array whose elements that aren't finite are 0."""
+    return F.transform(v, lambda x: F.when(not_finite(x), F.lit(0.0)).otherwise(x.cast("double")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .containment import above
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; in local mode, where none is set, a temporary one."""
@@ -60,13 +63,12 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(node, level): 0 without predecessors, else one more than the greatest of theirs. Nodes on a cycle, or behind one,
-    or deeper than `most` have none."""
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): 0 without predecessors, else one more than the greatest of theirs. Nodes on a cycle, or behind one, have none."""
     left = nodes.select("node").distinct()
     rest = edges.select("src", "dst").distinct()
     done = None
-    for d in range(most):
+    for d in itertools.count():
         free = left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(d))
         free = settled(free)
         if free.isEmpty():
@@ -76,3 +78,51 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
         rest = settled(rest.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
     out = nodes.select("node").distinct()
     return out.join(done, "node", "left") if done is not None else out.withColumn("level", F.lit(None).cast("int"))
+
+
+def base_key(key: Column) -> Column:
+    """The first three parts of a section's or rule's key that has more, else null."""
+    parts = F.split(key, "_")
+    return F.when(key.rlike("_(SEC|RUL|RULE)_") & (F.size(parts) > 3), F.array_join(F.slice(parts, 1, 3), "_"))
+
+
+def related(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(query_id, node, hops, weight): what `seeds` (query_id, node) reach over `edges` (src, dst, weight) in at most `depth` steps, at
+    the fewest steps, with the greatest product of weights of a path; the seeds of the query are left out. A node also goes the ways of its
+    base key. Weights lie in (0, 1], so only a node's better path goes on.
+    """
+    step = edges.groupBy(F.col("src").alias("node"), "dst").agg(F.max("weight").alias("_w"))
+    own = seeds.select("query_id", "node").distinct()
+    best = frontier = own.select("query_id", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("weight"))
+    for d in range(1, depth + 1):
+        ways = F.array_distinct(F.array_compact(F.array("node", base_key(F.col("node")))))
+        starts = frontier.select("query_id", F.explode(ways).alias("node"), "weight")
+        new = starts.join(step, "node").groupBy("query_id", F.col("dst").alias("node")).agg(F.max(F.col("weight") * F.col("_w")).alias("weight"))
+        known = best.select("query_id", "node", F.col("weight").alias("_known"))
+        frontier = new.join(known, ["query_id", "node"], "left").where("_known IS NULL OR _known < weight").select("query_id", "node", F.lit(d).alias("hops"), "weight")
+        frontier = settled(frontier)
+        best = settled(best.unionByName(frontier).groupBy("query_id", "node").agg(F.min("hops").alias("hops"), F.max("weight").alias("weight")))
+    return best.join(own, ["query_id", "node"], "left_anti")
+
+
+def expanded(found: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, node, hops, weight): rows of `pool` (chunk_id, keys) with a key that is a related node (`found`, of `related`) or
+    lies under it; the node named is the one of the greatest weight, then the fewest hops, then the least."""
+    own = pool.select("chunk_id", F.explode("keys").alias("k")).select("chunk_id", F.explode(above(F.col("k"))).alias("node")).distinct()
+    best = F.min(F.struct((-F.col("weight")).alias("w"), "hops", "node")).alias("b")
+    return found.join(own, "node").groupBy("query_id", "chunk_id").agg(best).select("query_id", "chunk_id", "b.node", "b.hops", (-F.col("b.w")).alias("weight"))
+
+
+def root_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, path): the way from the root to each of `nodes` (node) over `edges` (child, parent), root first. It ends below a parent
+    that would close a cycle; of several parents the least counts."""
+    up = edges.groupBy(F.col("child").alias("_top")).agg(F.min("parent").alias("parent"))
+    left = nodes.select("node").distinct().select("node", F.array("node").alias("path"), F.col("node").alias("_top"))
+    done = None
+    while True:
+        left = settled(left.join(up, "_top", "left").withColumn("parent", F.when(~F.array_contains("path", F.col("parent")), F.col("parent"))))
+        ended = left.where("parent IS NULL").select("node", "path")
+        done = ended if done is None else done.unionByName(ended)
+        left = left.where("parent IS NOT NULL").select("node", F.concat(F.array("parent"), "path").alias("path"), F.col("parent").alias("_top"))
+        if left.isEmpty():
+            return done

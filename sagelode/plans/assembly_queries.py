@@ -16,8 +16,6 @@ from .text_queries import _ALL_SQL, _all_texts, _cat_sql, simple_tokens_sql
 
 #: (order, trigger, term): what a query that holds the trigger is widened by.
 EXPANSIONS = ((1, "refund", "export"), (2, "refund", "zero rated"), (3, "section", "provision"), (4, "section", "clause"), (5, "credit", "input tax"), (6, "demand", "notice"), (7, "demand", "interest"), (8, "rule", "return"))
-#: (child, parent) of a small ontology.
-CONCEPTS = (("blocked credit", "input credit"), ("input credit", "credit"), ("credit", "tax"), ("export refund", "refund"), ("refund", "tax"))
 
 
 def packed_chunks(spark, sf):
@@ -40,7 +38,7 @@ def template_hybrid(spark, sf):
 
 def library_search(spark, sf):
     s = assembly.library_score(F.split_part("text", F.lit("."), F.lit(1)), "of the", ["of", "the", "and"])
-    return chunks(spark, sf).where("lang = 'en'").select("chunk_id", F.round(s, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(60)
+    return chunks(spark, sf).select("chunk_id", F.round(s, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(60)
 
 
 def _ranked(spark, sf):
@@ -85,8 +83,17 @@ def query_expansion(spark, sf):
 
 
 def concept_paths(spark, sf):
-    e = spark.createDataFrame(list(CONCEPTS), "src string, dst string")
-    return graph.walk(e, e.select(F.col("src").alias("node")).distinct(), 5).select("seed", "node", "hops")
+    """Regions and nations as an ontology, their names as keywords: of each word of the documents of four letters or more, the first
+    concept with a keyword that contains it, and the way there from the root."""
+    r, n = table(spark, sf, "region"), table(spark, sf, "nation")
+    concepts = r.select(F.concat(F.lit("R_"), F.col("r_regionkey").cast("string")).alias("concept"), F.lower("r_name").alias("keyword")).unionByName(
+        n.select(F.concat(F.lit("N_"), F.col("n_nationkey").cast("string")).alias("concept"), F.lower("n_name").alias("keyword"))
+    )
+    edges = n.select(F.concat(F.lit("N_"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("R_"), F.col("n_regionkey").cast("string")).alias("parent"))
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("needle")).distinct()
+    found = containment.containing(words, concepts.select(F.col("concept").alias("text_id"), F.col("keyword").alias("text")))
+    first = found.groupBy(F.col("needle").alias("term")).agg(F.min("text_id").alias("node"))
+    return first.join(graph.root_paths(concepts.select(F.col("concept").alias("node")), edges), "node").select("term", "node", F.array_join("path", ">").alias("path"))
 
 
 def provenance(spark, sf):
@@ -125,13 +132,12 @@ _REC = f"(CASE WHEN {_AGE} <= 0 THEN 1.0 WHEN {_AGE} <= 1 THEN 0.92 WHEN {_AGE}
 _TITLE = "lower(split_part(text, '.', 1))"
 _HITS = " + ".join(f"contains({_TITLE}, '{w}')::INTEGER" for w in ("of", "the", "and"))
 _RULES_SQL = "rules(ord, trig, term) AS (VALUES " + ", ".join(f"({o}, '{t}', '{x}')" for o, t, x in EXPANSIONS) + ")"
-_CON_SQL = "e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CONCEPTS) + ")"
 
 ORACLES = {
     "template_hybrid": f"""WITH {CHUNKS_SQL}, i AS (SELECT item_id AS query_id, text AS q, (list_filter({simple_tokens_sql("text")}, lambda v, k: list_position({simple_tokens_sql("text")}, v) = k))[1:5] AS qw FROM benchmark WHERE item_id % 50 = 0),
         v AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_DOT}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), t AS (SELECT query_id, chunk_id, {_TITLE} AS t, lower(q) AS q, qw, len(list_filter(qw, lambda w: contains({_TITLE}, w))) / greatest(len(qw), 1) AS share FROM chunks, i)
         SELECT query_id, chunk_id, round(0.4::DOUBLE * coalesce(sim, 0) + 0.6::DOUBLE * CASE WHEN t = q THEN 1.0 WHEN contains(t, q) THEN 0.7 WHEN share > 0 THEN 0.2::DOUBLE + 0.3::DOUBLE * share ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM t LEFT JOIN v USING (query_id, chunk_id) WHERE score > 0.15 QUALIFY rank <= 15""",
-    "library_search": f"WITH {CHUNKS_SQL} SELECT chunk_id, round(CASE WHEN contains({_TITLE}, 'of the') THEN 100 WHEN {_HITS} = 3 THEN 80 ELSE 50.0::DOUBLE * ({_HITS}) / 3 END, 6) AS score FROM chunks WHERE lang = 'en' AND score > 0 ORDER BY score DESC, chunk_id LIMIT 60",
+    "library_search": f"WITH {CHUNKS_SQL} SELECT chunk_id, round(CASE WHEN contains({_TITLE}, 'of the') THEN 100 WHEN {_HITS} = 3 THEN 80 ELSE 50.0::DOUBLE * ({_HITS}) / 3 END, 6) AS score FROM chunks WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 60",
     "circular_floor": f"""{_R50}, have AS (SELECT query_id, count(*) AS have FROM r WHERE rank <= 8 AND category IN ('circular', 'notification') GROUP BY 1),
         more AS (SELECT query_id, chunk_id, category, rank, have FROM r LEFT JOIN have USING (query_id) WHERE rank > 8 AND category IN ('circular', 'notification') AND score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 4 - coalesce(have, 0))
         SELECT query_id, chunk_id, category, false AS injected FROM r WHERE rank <= 6 UNION ALL SELECT query_id, chunk_id, category, true FROM more""",
@@ -142,7 +148,9 @@ ORACLES = {
         SELECT c.id, c.citation, variant, CASE WHEN level = 2 AND NOT contains(c.citation, '(') THEN 1 ELSE level END::INTEGER AS level FROM c LEFT JOIN b ON b.id = c.id AND b.citation = c.citation""",
     "query_expansion": f"""WITH {_ALL_SQL}, {_RULES_SQL}, h AS (SELECT id, term, min(ord) AS ord FROM s JOIN rules ON contains(lower(q), trig) AND NOT contains(lower(q), term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(ord), term) <= 3)
         SELECT s.id, string_agg(term, '|' ORDER BY ord, term) AS terms FROM s LEFT JOIN h USING (id) GROUP BY 1""",
-    "concept_paths": f"WITH RECURSIVE {_CON_SQL}, w(seed, node, hops) AS (SELECT DISTINCT src, src, 0 FROM e UNION ALL SELECT seed, dst, hops + 1 FROM w JOIN e ON src = node) SELECT seed, node, min(hops)::INTEGER AS hops FROM w GROUP BY 1, 2",
+    "concept_paths": """WITH RECURSIVE c AS (SELECT 'R_' || r_regionkey AS node, lower(r_name) AS kw, NULL AS parent FROM region UNION ALL SELECT 'N_' || n_nationkey, lower(n_name), 'R_' || n_regionkey FROM nation),
+        w(node, top, path) AS (SELECT node, parent, node FROM c UNION ALL SELECT w.node, c.parent, c.node || '>' || path FROM w JOIN c ON c.node = top), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents),
+        f AS (SELECT term, min(node) AS node FROM t JOIN c ON contains(kw, term) GROUP BY 1) SELECT term, node, path FROM f JOIN w USING (node) WHERE top IS NULL""",
     "provenance": f"{_RUNS} SELECT query_id, chunk_id, CASE WHEN bool_or(stage = 'bm25') THEN 'bm25' WHEN bool_or(stage = 'tfidf') THEN 'tfidf' ELSE 'final' END AS first_stage, string_agg(DISTINCT stage, '|' ORDER BY stage) AS signals, min(rank) AS best FROM runs GROUP BY 1, 2",
     "corpus_audit": f"WITH {CHUNKS_SQL} SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS n, count_if(length(text) < 200) AS short, round(100.0 * count_if(regexp_matches(text, '[0-9]')) / count(*), 1) AS digits_pct, round(100.0 * count_if(regexp_matches(text, '[0-9]')) / count(*), 1) < 30 AS gap, count_if(coalesce(length(regexp_replace(text, '\\P{{L}}', '', 'g')) / nullif(length(text), 0), 0) < 0.7) AS garbage FROM chunks GROUP BY 1",
     "confidence": f"""{_R50}, g AS (SELECT query_id, count(*) AS n, max(score) AS top, count(DISTINCT category) AS kinds, max({_W}) AS auth FROM r WHERE rank <= 10 GROUP BY 1)

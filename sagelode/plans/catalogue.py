@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import stream_queries
-from . import analytics_queries, assembly_queries, chunk_queries, report_queries, retrieval_queries, routing_queries, statute_queries, text_queries
+from . import analytics_queries, assembly_queries, chunk_queries, index_queries, report_queries, retrieval_queries, routing_queries, statute_queries, text_queries
 
-_MODULES = (text_queries, retrieval_queries, analytics_queries, assembly_queries, report_queries, routing_queries, chunk_queries, statute_queries, stream_queries)
+_MODULES = (text_queries, retrieval_queries, analytics_queries, assembly_queries, report_queries, routing_queries, chunk_queries, statute_queries, index_queries, stream_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.versions import finished
+
 PARTS = ("documents", "postings", "vectors")
 
 
@@ -55,17 +57,9 @@ def ingest(stream: DataFrame, index: str, checkpoint: str, tokens: Column, vecto
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _finished(spark: SparkSession, folder: str) -> list[int]:
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
-    done = [p for p in names if p.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().partition("=")[2]) for p in done)
-
-
 def read_part(spark: SparkSession, index: str, part: str, schema: str) -> DataFrame:
     """A part of the index as it stands: of each document the newest version, from finished batches."""
-    batches = _finished(spark, f"{index}/documents")
+    batches = finished(spark, f"{index}/documents", "batch")
     if not batches:
         return spark.createDataFrame([], schema)
 
@@ -80,7 +74,7 @@ def read_part(spark: SparkSession, index: str, part: str, schema: str) -> DataFr
 def compact(spark: SparkSession, index: str, to: str) -> None:
     """Writes the index as it stands into the folder `to` as one batch, without superseded versions."""
     for part, schema in (("vectors", "doc_id long, embedding array<float>"), ("postings", "doc_id long, token string, tf long"), ("documents", "doc_id long, n_tokens long, text_sha256 string")):
-        if part != "vectors" or _finished(spark, f"{index}/vectors"):
+        if part != "vectors" or finished(spark, f"{index}/vectors", "batch"):
             read_part(spark, index, part, schema).write.mode("overwrite").parquet(f"{to}/{part}/batch=0")
 
 
