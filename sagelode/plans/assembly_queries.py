@@ -83,14 +83,14 @@ def query_expansion(spark, sf):
 
 
 def concept_paths(spark, sf):
-    """Regions and nations as an ontology, their names as keywords: of each word of the documents of four letters or more, the first
+    """Regions and nations as an ontology, their names as keywords: of each word of the documents of two letters or more, the first
     concept with a keyword that contains it, and the way there from the root."""
     r, n = table(spark, sf, "region"), table(spark, sf, "nation")
     concepts = r.select(F.concat(F.lit("R_"), F.col("r_regionkey").cast("string")).alias("concept"), F.lower("r_name").alias("keyword")).unionByName(
         n.select(F.concat(F.lit("N_"), F.col("n_nationkey").cast("string")).alias("concept"), F.lower("n_name").alias("keyword"))
     )
     edges = n.select(F.concat(F.lit("N_"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("R_"), F.col("n_regionkey").cast("string")).alias("parent"))
-    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("needle")).distinct()
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1)).alias("needle")).distinct()
     found = containment.containing(words, concepts.select(F.col("concept").alias("text_id"), F.col("keyword").alias("text")))
     first = found.groupBy(F.col("needle").alias("term")).agg(F.min("text_id").alias("node"))
     return first.join(graph.root_paths(concepts.select(F.col("concept").alias("node")), edges), "node").select("term", "node", F.array_join("path", ">").alias("path"))
@@ -148,8 +148,8 @@ ORACLES = {
         SELECT c.id, c.citation, variant, CASE WHEN level = 2 AND NOT contains(c.citation, '(') THEN 1 ELSE level END::INTEGER AS level FROM c LEFT JOIN b ON b.id = c.id AND b.citation = c.citation""",
     "query_expansion": f"""WITH {_ALL_SQL}, {_RULES_SQL}, h AS (SELECT id, term, min(ord) AS ord FROM s JOIN rules ON contains(lower(q), trig) AND NOT contains(lower(q), term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(ord), term) <= 3)
         SELECT s.id, string_agg(term, '|' ORDER BY ord, term) AS terms FROM s LEFT JOIN h USING (id) GROUP BY 1""",
-    "concept_paths": """WITH RECURSIVE c AS (SELECT 'R_' || r_regionkey AS node, lower(r_name) AS kw, NULL AS parent FROM region UNION ALL SELECT 'N_' || n_nationkey, lower(n_name), 'R_' || n_regionkey FROM nation),
-        w(node, top, path) AS (SELECT node, parent, node FROM c UNION ALL SELECT w.node, c.parent, c.node || '>' || path FROM w JOIN c ON c.node = top), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents),
+    "concept_paths": """WITH RECURSIVE c AS (SELECT 'R_' || r_regionkey AS node, lower(r_name) AS kw, NULL::VARCHAR AS parent FROM region UNION ALL SELECT 'N_' || n_nationkey, lower(n_name), 'R_' || n_regionkey FROM nation),
+        w(node, top, path) AS (SELECT node, parent, node FROM c UNION ALL SELECT w.node, c.parent, c.node || '>' || path FROM w JOIN c ON c.node = top), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents),
         f AS (SELECT term, min(node) AS node FROM t JOIN c ON contains(kw, term) GROUP BY 1) SELECT term, node, path FROM f JOIN w USING (node) WHERE top IS NULL""",
     "provenance": f"{_RUNS} SELECT query_id, chunk_id, CASE WHEN bool_or(stage = 'bm25') THEN 'bm25' WHEN bool_or(stage = 'tfidf') THEN 'tfidf' ELSE 'final' END AS first_stage, string_agg(DISTINCT stage, '|' ORDER BY stage) AS signals, min(rank) AS best FROM runs GROUP BY 1, 2",
     "corpus_audit": f"WITH {CHUNKS_SQL} SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS n, count_if(length(text) < 200) AS short, round(100.0 * count_if(regexp_matches(text, '[0-9]')) / count(*), 1) AS digits_pct, round(100.0 * count_if(regexp_matches(text, '[0-9]')) / count(*), 1) < 30 AS gap, count_if(coalesce(length(regexp_replace(text, '\\P{{L}}', '', 'g')) / nullif(length(text), 0), 0) < 0.7) AS garbage FROM chunks GROUP BY 1",

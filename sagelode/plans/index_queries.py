@@ -56,7 +56,7 @@ def graph_expanded(spark, sf):
     own = _keys(spark, sf)
     cited = own.select("chunk_id", F.explode("keys").alias("key"))
     parts = cited.select(F.col("key").alias("src"), graph.base_key(F.col("key")).alias("dst")).where("dst IS NOT NULL").distinct()
-    pairs = graph.co_citation(cited, "chunk_id", "key").select(F.col("key").alias("src"), "dst")
+    pairs = graph.co_citation(cited, "chunk_id", "key").select("src", "dst")
     weighted = lambda e, kind: e.withColumn("weight", F.lit(RELATIONS[kind]))
     seeds = spark.createDataFrame([(t[0], t[2]) for t in TARGETS], "query_id string, node string")
     found = graph.related(weighted(pairs, "RELATED_TO").unionByName(weighted(parts, "PART_OF")), seeds, 2)

@@ -148,7 +148,7 @@ def walks(edges, seeds, depth):
             for node, weights in after.items():
                 if (q, node) not in seeds:
                     hops, best = out.get((q, node), (d, 0.0))
-                    out[q, node] = (hops, max(best, *weights))
+                    out[q, node] = (min(hops, d), max(best, *weights))
             level = after
     return out
 
