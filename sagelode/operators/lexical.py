@@ -2,16 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
+from .graph import shared_folder
+
+
+#: Rows that may be sent to all tasks after a count.
+SMALL = 300_000
+
+
+def counted(tokens: Column) -> Column:
+    """The distinct elements of an array with their numbers, as array<struct<token, tf>> in order of token, within the row."""
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  (c is made once, not in each step of f)
+
+    def runs(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bound(starts, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(b, k + 1), n) - i).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<token:string,tf:bigint>>")
+    return bound(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
+
+
+def index(chunks: DataFrame, tokens: Column, keep: list[str] = ()) -> DataFrame:
+    """One row (chunk_id, keep.., dl, post) for each chunk with a token, the chunk's number of tokens and their counts. It is
+    made within the rows, written once to the shared folder and read from there, so that what asks for postings,
+    lengths and frequencies doesn't tokenise the corpus again; a lost executor costs no more than its tasks. A table of fewer
+    splits than cores, which is a small one, is spread by chunk_id first; a large one isn't shuffled."""
+    spark = chunks.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if chunks.rdd.getNumPartitions() < cores:
+        chunks = chunks.repartition(cores, "chunk_id")
+    t = chunks.select("chunk_id", *keep, tokens.alias("t")).where(F.size("t") > 0)
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    t.select("chunk_id", *keep, F.size("t").alias("dl"), counted(F.col("t")).alias("post")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def postings(index: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(chunk_id, keep.., token, tf, dl) of an index."""
+    return index.select("chunk_id", *keep, "dl", F.inline("post"))
 
 
-def postings(chunks: DataFrame, tokens) -> DataFrame:
-    """(chunk_id, token, tf, dl): dl is the chunk's number of tokens."""
-    t = chunks.select("chunk_id", tokens.alias("t"))
-    return t.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def few(df: DataFrame, times: int = 1):
+    """F.broadcast where a count finds `df` small, else nothing; for what has at most `times` as many rows."""
+    most = SMALL // times
+    return F.broadcast if df.limit(most + 1).count() <= most else lambda x: x
 
 
 def idf_okapi(post: DataFrame, n_chunks: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -26,21 +66,22 @@ def idf_okapi(post: DataFrame, n_chunks: DataFrame, by: list[str] = ()) -> DataF
     return df.select(*by, "token", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(post: DataFrame, idf: DataFrame, stats: DataFrame, queries: DataFrame, by: list[str] = (), k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(post: DataFrame, idf: DataFrame, stats: DataFrame, queries: DataFrame, by: list[str] = (), k1: float = 1.5, b: float = 0.75, send=None) -> DataFrame:
     """(query_id, chunk_id, score) for chunks that share a token with a query. `queries` has (query_id, token), repeated
     tokens counting each time; `stats` has avgdl in one row, or in one for each group of `by`. Postings are cut down to
-    the queries' tokens before anything else."""
+    the queries' tokens, which `send` passes to all tasks as long as they are few (a count of them decides), before anything
+    is shuffled."""
     by = list(by)
-    q = queries.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qf")).join(idf, "token")
-    hits = post.join(q, [*by, "token"])
+    send = send or few(queries)
+    q = idf.join(send(queries.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qf"))), "token")
+    hits = post.join(send(q), [*by, "token"])
     hits = hits.join(F.broadcast(stats), by) if by else hits.crossJoin(F.broadcast(stats))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", *by, "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def length_stats(post: DataFrame, by: list[str] = ()) -> DataFrame:
-    one = post.groupBy(*by, "chunk_id").agg(F.first("dl").alias("dl"))
-    return one.groupBy(*by).agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+def length_stats(index: DataFrame, by: list[str] = ()) -> DataFrame:
+    return index.groupBy(*by).agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
 
 
 def top_k(scores: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
@@ -57,16 +98,20 @@ def feedback_terms(post: DataFrame, top: DataFrame, queries: DataFrame, n: int =
     return top_k(df, n, ["query_id"], [F.desc("df"), "token"]).select("query_id", "token")
 
 
-def tfidf(post: DataFrame, n_chunks: DataFrame) -> DataFrame:
-    """(chunk_id, token, w): 1 + ln tf times the smoothed idf, each chunk of length one."""
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_chunks))
-    df = df.select("token", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = post.join(df, "token").select("chunk_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "chunk_id").select("chunk_id", "token", (F.col("w") / F.col("norm")).alias("w"))
+def idf_smooth(post: DataFrame, n_chunks: DataFrame) -> DataFrame:
+    """(token, idf): ln((1 + N) / (1 + df)) + 1."""
+    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_chunks))  # one row
+    return df.select("token", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_search(weights: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): inner products of the queries' and chunks' weights."""
-    q = queries.select("query_id", "token", F.col("w").alias("qw"))
-    return weights.join(q, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+def tfidf(post: DataFrame, idf: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): cosines of (1 + ln tf) * idf between queries and chunks that share a token. `queries`
+    has (query_id, token), repeated tokens counting each time. Norms take all postings; products only those of the queries' tokens."""
+    w = (1 + F.log("tf")) * F.col("idf")
+    square = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    send = few(queries)
+    q = idf.join(send(queries.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf"))), "token").select("query_id", "token", "idf", w.alias("w"))
+    q = q.join(q.groupBy("query_id").agg(square.alias("norm")), "query_id").select("query_id", "token", "idf", (F.col("w") / F.col("norm")).alias("qw"))
+    norms = post.join(idf, "token").select("chunk_id", w.alias("w")).groupBy("chunk_id").agg(square.alias("norm"))
+    dots = post.join(send(q), "token").groupBy("query_id", "chunk_id").agg(F.sum(w * F.col("qw")).alias("dot"))
+    return dots.join(norms, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))

@@ -14,8 +14,8 @@ def _corpus(spark, sf):
     return chunks(spark, sf).withColumn("category", text.category(F.col("rel_path")))
 
 
-def _postings(spark, sf):
-    return lexical.postings(_corpus(spark, sf), text.simple_tokens(F.col("text")))
+def _index(spark, sf):
+    return lexical.index(_corpus(spark, sf), text.simple_tokens(F.col("text")), ["category"])
 
 
 def _queries(spark, sf):
@@ -23,9 +23,9 @@ def _queries(spark, sf):
     return b.select(F.col("item_id").alias("query_id"), F.explode(text.simple_tokens(F.col("text"))).alias("token"))
 
 
-def _bm25(spark, sf):
-    post = _postings(spark, sf)
-    stats = lexical.length_stats(post)
+def _bm25(spark, sf, ix=None):
+    ix = ix or _index(spark, sf)
+    post, stats = lexical.postings(ix), lexical.length_stats(ix)
     return lexical.bm25(post, lexical.idf_okapi(post, stats.select("N")), stats.select("avgdl"), _queries(spark, sf))
 
 
@@ -35,38 +35,33 @@ def bm25_topk(spark, sf):
 
 def bm25_prf(spark, sf):
     """Second pass with the feedback terms of the top three added to the query."""
-    post, q = _postings(spark, sf), _queries(spark, sf)
-    stats = lexical.length_stats(post)
+    ix, q = _index(spark, sf), _queries(spark, sf)
+    post, stats = lexical.postings(ix), lexical.length_stats(ix)
     idf = lexical.idf_okapi(post, stats.select("N"))
     top = lexical.top_k(lexical.bm25(post, idf, stats.select("avgdl"), q), 3, ["query_id"], [F.desc("score"), "chunk_id"]).select("query_id", "chunk_id")
     more = lexical.feedback_terms(post, top, q)
-    scores = lexical.bm25(post, idf, stats.select("avgdl"), q.unionByName(more))
+    scores = lexical.bm25(post, idf, stats.select("avgdl"), q.unionByName(more), send=lexical.few(q, 9))
     return lexical.top_k(scores, 45, ["query_id"], [F.desc("score"), "chunk_id"])
 
 
 def bm25_by_category(spark, sf):
     """Statistics within each category; top 8 of each with a positive score."""
-    post = _postings(spark, sf).join(_corpus(spark, sf).select("chunk_id", "category"), "chunk_id")
-    stats = lexical.length_stats(post, ["category"])
+    ix = _index(spark, sf)
+    post, stats = lexical.postings(ix, ["category"]), lexical.length_stats(ix, ["category"])
     idf = lexical.idf_okapi(post, stats.select("category", "N"), ["category"])
     scores = lexical.bm25(post, idf, stats.select("category", "avgdl"), _queries(spark, sf), ["category"]).where("score > 0")
     return lexical.top_k(scores, 8, ["query_id", "category"], [F.desc("score"), "chunk_id"])
 
 
-def _tfidf(spark, sf):
-    post = _postings(spark, sf)
-    n = lexical.length_stats(post).select("N")
-    items = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("chunk_id"), "text")
-    # queries are weighted by the corpus' idf
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
-    q = lexical.postings(items, text.simple_tokens(F.col("text"))).join(df, "token").select((-1 - F.col("chunk_id")).alias("query_id"), "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = q.join(norm, "query_id").select("query_id", "token", (F.col("w") / F.col("norm")).alias("w"))
-    return lexical.tfidf_search(lexical.tfidf(post, n), q).where("score > 0")
+def _tfidf(spark, sf, ix=None):
+    ix = ix or _index(spark, sf)
+    post = lexical.postings(ix)
+    idf = lexical.idf_smooth(post, lexical.length_stats(ix).select("N"))
+    return lexical.tfidf(post, idf, _queries(spark, sf)).where("score > 0")
 
 
-def tfidf_topk(spark, sf):
-    return lexical.top_k(_tfidf(spark, sf), 50, ["query_id"], [F.desc("score"), "chunk_id"])
+def tfidf_topk(spark, sf, ix=None):
+    return lexical.top_k(_tfidf(spark, sf, ix), 50, ["query_id"], [F.desc("score"), "chunk_id"])
 
 
 def _dense(spark, sf, k, **kw):
@@ -83,7 +78,8 @@ def dense_by_label(spark, sf):
 
 
 def _lists(spark, sf):
-    return lexical.top_k(_bm25(spark, sf), 50, ["query_id"], [F.desc("score"), "chunk_id"]), tfidf_topk(spark, sf)
+    ix = _index(spark, sf)
+    return lexical.top_k(_bm25(spark, sf, ix), 50, ["query_id"], [F.desc("score"), "chunk_id"]), tfidf_topk(spark, sf, ix)
 
 
 def rrf_fusion(spark, sf):
