@@ -5,6 +5,8 @@ Taxonomies come as small dimensions of rows (topic, kind, value, weight) or (top
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,55 @@ def leading_topics(texts: DataFrame, rules: DataFrame, members: DataFrame, most:
     return named.join(own, "id").select("id", "topics", "members", "confidence")
 
 
-def routes(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, folders): the distinct folders, in order, of the rules (pattern, folder) whose pattern a text has; empty: all."""
-    hit = texts.join(rules, F.regexp_like(F.lower(F.col("text")), F.col("pattern"))).groupBy("id").agg(F.sort_array(F.collect_set("folder")).alias("folders"))
-    return texts.select("id").join(hit, "id", "left").select("id", F.coalesce("folders", F.array().cast("array<string>")).alias("folders"))
+#: Folders that go with every route, and the routes: what a question must match, in lower case, and where to look (fixed values).
+COURTS = ("High Court Case Laws", "Supreme Court Case Laws", "AAR")
+ROUTES = (
+    (r"rule\s*4[23]|common\s+input|revers.*itc|itc.*revers", ("Rules", "Act", "Circulars")),
+    (r"\bitc\b|input\s+tax\s+credit|sec(?:tion)?\.?\s*1[67]", ("Rules", "Act", "Circulars", "CGST", "IGST", "Notification")),
+    (r"refund|igst\s+refund|export.*refund|unutilised\s+credit", ("Act", "Rules", "Circulars", "Notification", "Forms")),
+    (r"hsn|sac|\bgst\s+rate\b|percent|gst\s+on\s+\w", ("Act", "Notification", "IGST", "Forms")),
+    (r"export|zero.?rated|\blut\b|letter\s+of\s+undertaking|sez\b", ("Export", "Act", "Notification", "Circulars")),
+    (r"e.?way\s*bill|eway", ("Rules", "Circulars", "Notification")),
+    (r"appeal|tribunal|gstat|high\s+court|supreme\s+court", ("Act", "Rules")),
+    (r"annual\s+return|gstr.?9\b", ("Rules", "Forms", "Circulars")),
+    (r"registr(?:ation|ed|ing)", ("Act", "Rules", "Circulars")),
+    (r"\baudit\b|gst\s+audit|gstr.?9c", ("Act", "Rules", "Circulars")),
+    (r"penalty|penalt|section\s*12[2-9]|sec\s*12[2-9]", ("Act", "Rules", "Circulars", "Notification")),
+    (r"scn|show\s*cause|notice|drc.?0?1|section\s*7[34]|sec\s*7[34]", ("Act", "Rules", "Circulars", "Notification")),
+    (r"draft|reply|response|representation|appeal\s+letter|submission", ("Act", "Rules", "Circulars", "Notification")),
+    (r"intermediary|commission\s+agent|broker\s+service|facilitator|agent\s+service", ("Act", "IGST", "Circulars", "Notification")),
+    (r"place\s+of\s+supply|pos\b|section\s*1[23]\s*igst|cross.?border\s+service", ("Act", "IGST", "Circulars", "Notification")),
+)
+
+
+def route_folders(q: Column, routes=ROUTES, always=COURTS) -> Column:
+    """The distinct folders, in order, of all routes that a text matches, and those that go with every route; empty, which
+    means no restriction, without a match or a text."""
+    t, none = F.lower(q), F.array().cast("array<string>")
+    of = lambda names: F.array(*map(F.lit, names))
+    found = F.concat(*[F.when(F.coalesce(F.rlike(t, F.lit(f"(?dU){p}")), F.lit(False)), of(names)).otherwise(none) for p, names in routes])
+    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(F.concat(found, of(always))))).otherwise(none)
+
+
+#: Words of a question that needs circulars, and of one that needs notifications (fixed values).
+ADVISORY_WORDS = (
+    "what", "whether", "how", "explain", "clarif", "position", "treatment",
+    "applicab", "eligible", "liable", "charge", "implication", "cross",
+    "isd", "reverse", "works", "import", "export", "exempt", "place",
+    "valuat", "time", "registr", "refund", "distinct", "common", "shared",
+    "branch", "headquarter", "head office", "proviso",
+)
+RATE_WORDS = (
+    "rate", "nil", "hsn", "sac", "12%", "18%", "28%", "5%", "classif",
+    "exemption", "exempt supply",
+)
+
+
+def expected_categories(q: Column) -> Column:
+    """Categories that an answer must draw on: statute always, circular and notification where a word asks for them."""
+    t = F.coalesce(F.lower(q), F.lit(""))
+    held = lambda words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+    return F.array_compact(F.array(F.when(held(ADVISORY_WORDS), F.lit("circular")), F.when(held(RATE_WORDS), F.lit("notification")), F.lit("statute")))
 
 
 #: Words of a question that asks for an analysis, and of one that doesn't (fixed values).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,6 @@ from .text_queries import _ALL_SQL, _all_texts, simple_tokens_sql
 #: (topic, phrase, weight) and (topic, member) of a small taxonomy: words count 2, provisions 10.
 TOPIC_RULES = (("credit", "credit", 2), ("credit", "section 17", 10), ("refund", "refund", 2), ("refund", "rule 89", 10), ("time", "days", 2), ("time", "late", 2), ("prose", " the ", 2), ("prose", " la ", 2))
 TOPIC_MEMBERS = (("credit", "SEC_17"), ("credit", "RUL_42"), ("credit", "SEC_16"), ("refund", "SEC_54"), ("refund", "RUL_89"), ("time", "SEC_50"), ("prose", "SEC_17"), ("prose", "SEC_50"))
-ROUTES = (("section|rule", "cgst acts"), ("circular|cir ", "circulars"), ("notification", "notifications"), ("[0-9]+ ?%|rate", "notifications"), ("appeal|court", "high court"))
 MULTIPLIERS = (("statute", 1.5), ("notification", 1.2), ("circular", 1.1), ("case_law", 0.75))
 
 
@@ -38,8 +39,11 @@ def topic_leaders(spark, sf):
 
 
 def domain_routes(spark, sf):
-    rules = spark.createDataFrame(list(ROUTES), "pattern string, folder string")
-    return routing.routes(_texts(spark, sf), rules).select("id", F.array_join("folders", "|").alias("folders"))
+    return _texts(spark, sf).select("id", F.array_join(routing.route_folders(F.col("text")), "|").alias("folders"))
+
+
+def expected_categories(spark, sf):
+    return _texts(spark, sf).select("id", F.array_join(routing.expected_categories(F.col("text")), "|").alias("categories"))
 
 
 def complexity_bands(spark, sf):
@@ -169,13 +173,15 @@ def graph_stats(spark, sf):
 
 
 _FUNCTIONS = (
-    token_estimates, live_sources, name_search, source_list, graph_stats, topic_argmax, topic_leaders, domain_routes, complexity_bands, follow_ups, authority_bonus, adaptive_domain, topic_clique, intra_topic_edges, trace_tests, suite_summary, compressed_context, mandatory_injection, notification_net, coverage_fill,
+    token_estimates, live_sources, name_search, source_list, graph_stats, topic_argmax, topic_leaders, domain_routes, expected_categories, complexity_bands, follow_ups, authority_bonus, adaptive_domain, topic_clique, intra_topic_edges, trace_tests, suite_summary, compressed_context, mandatory_injection, notification_net, coverage_fill,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _TAX = "k(topic, phrase, weight) AS (VALUES " + ", ".join(f"('{t}', '{p}', {w})" for t, p, w in TOPIC_RULES) + "), mem(topic, member) AS (VALUES " + ", ".join(f"('{t}', '{m}')" for t, m in TOPIC_MEMBERS) + ")"
 _HITS = f"WITH {_ALL_SQL}, {_TAX}, h AS (SELECT id, topic, sum(weight)::BIGINT AS score FROM s JOIN k ON contains(lower(q), phrase) GROUP BY 1, 2)"
-_ROUTES = "r(pattern, folder) AS (VALUES " + ", ".join(f"('{p}', '{f}')" for p, f in ROUTES) + ")"
+_EDGE = r"[^\pL\pN_]"  # DuckDB's \b knows ASCII letters only
+_BOUNDED = lambda p: re.sub(r"\\b(?=$|\|)", lambda _: f"(?:$|{_EDGE})", p).replace(r"\b", f"(?:^|{_EDGE})")
+_ROUTES = ", ".join(f"CASE WHEN regexp_matches(lower(q), '{_BOUNDED(p)}') THEN {list(names)} ELSE [] END" for p, names in routing.ROUTES)
 _MULT = "CASE category " + " ".join(f"WHEN '{c}' THEN {m}" for c, m in MULTIPLIERS) + " ELSE 1.0 END"
 _NEAR = f"WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_DOT}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM d QUALIFY rank <= 20)"
 _HELD = lambda words: "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lower(q), w)))"
@@ -194,7 +200,8 @@ ORACLES = {
     "topic_argmax": f"{_HITS} SELECT s.id, coalesce(topic, 'General') AS topic FROM s LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) = 1) b ON b.id = s.id",
     "topic_leaders": f"""{_HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS n FROM h QUALIFY n <= 2), m AS (SELECT id, string_agg(DISTINCT member, '|' ORDER BY member) AS members FROM t JOIN mem USING (topic) GROUP BY 1)
         SELECT id, string_agg(topic, '|' ORDER BY n) AS topics, any_value(members) AS members, max(score) AS confidence FROM t JOIN m USING (id) GROUP BY 1""",
-    "domain_routes": f"WITH {_ALL_SQL}, {_ROUTES} SELECT s.id, coalesce(string_agg(DISTINCT folder, '|' ORDER BY folder), '') AS folders FROM s LEFT JOIN r ON regexp_matches(lower(q), pattern) GROUP BY 1",
+    "domain_routes": f"WITH {_ALL_SQL}, f AS (SELECT id, flatten([{_ROUTES}]) AS l FROM s) SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(list_sort(list_distinct(l || {list(routing.COURTS)})), '|') ELSE '' END AS folders FROM f",
+    "expected_categories": f"WITH {_ALL_SQL} SELECT id, CASE WHEN {_HELD(routing.ADVISORY_WORDS)} > 0 THEN 'circular|' ELSE '' END || CASE WHEN {_HELD(routing.RATE_WORDS)} > 0 THEN 'notification|' ELSE '' END || 'statute' AS categories FROM s",
     "complexity_bands": f"WITH {_ALL_SQL}, t AS (SELECT id, q, len(list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '')) AS n FROM s), c AS (SELECT id, {_COMPLEX} AS score FROM t) SELECT id, score, CASE WHEN score < 0.25 THEN 'brief' WHEN score < 0.6 THEN 'standard' ELSE 'detailed' END AS mode FROM c",
     "follow_ups": """WITH c AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS reply FROM conversations)
         SELECT conv_id, turn, md5(CASE WHEN len(string_split_regex(trim(text), '\\s+')) < 8 AND reply IS NOT NULL THEN text || ' ' || substr(reply, 1, 100) ELSE text END) AS query_md5 FROM c WHERE role = 'user'""",
