@@ -34,6 +34,47 @@ def leading_topics(texts: DataFrame, rules: DataFrame, members: DataFrame, most:
     return named.join(own, "id").select("id", "topics", "members", "confidence")
 
 
+#: Topics with the phrases that count 2, and the provisions that count 10 with all keys that start like them (fixed values).
+TOPICS = (
+    ("ITC", ("input tax credit", "itc", "blocked credit")),
+    ("RCM", ("reverse charge", "rcm", "9(3)", "9(4)", "reverse charge mechanism")),
+    ("Works_Contract", ("works contract", "immovable property", "construction", "erection", "commissioning")),
+    ("Place_of_Supply", ("place of supply", "inter-state", "intra-state")),
+    ("Exemption", ("exemption", "exempt", "not taxable", "nil rated")),
+    ("Refund", ("refund", "zero rated", "inverted duty")),
+    ("Export", ("export", "sez", "lut", "zero rated", "high seas sale", "bill of lading", "shipping bill")),
+    ("Penalty", ("penalty", "confiscation", "fine", "detention")),
+    ("Registration", ("registration", "gstin", "cancellation")),
+    ("Valuation", ("valuation", "transaction value", "open market value")),
+    ("Composite_Supply", ("composite supply", "mixed supply", "natural bundle")),
+)
+PROVISIONS = (
+    ("CGST_SEC_16", "ITC"), ("CGST_SEC_17", "ITC"), ("CGST_RULE_42", "ITC"), ("CGST_RULE_43", "ITC"),
+    ("CGST_SEC_15", "Valuation"), ("CGST_SEC_9", "RCM"), ("CGST_SEC_8", "Composite_Supply"),
+    ("CGST_SEC_10", "Place_of_Supply"), ("CGST_SEC_12", "Place_of_Supply"), ("CGST_SEC_13", "Place_of_Supply"),
+    ("CGST_SEC_54", "Refund"), ("CGST_SEC_122", "Penalty"), ("CGST_SEC_129", "Penalty"),
+    ("CGST_SEC_22", "Registration"), ("CGST_SEC_24", "Registration"),
+    ("CGST_SCHED_I", "Supply"), ("CGST_SCHED_II", "Supply"),
+)
+
+
+def topic_of(text: Column, keys: Column, topics=TOPICS, provisions=PROVISIONS, default: str = "General") -> Column:
+    """The topic of the highest score, of equal ones the first listed; `default` where nothing of it is in the text or its
+    citation keys. A row's topics are scored in one projection."""
+    t, k = F.coalesce(F.lower(text), F.lit("")), F.coalesce(keys, F.array().cast("array<string>"))
+    names = list(dict.fromkeys([n for n, _ in topics] + [n for _, n in provisions]))
+
+    below = lambda p: F.size(F.filter(k, lambda x: F.startswith(x, F.lit(p))))
+
+    def score(name):
+        parts = [F.contains(t, F.lit(w)).cast("int") * 2 for n, words in topics if n == name for w in words]
+        parts += [below(p) * 10 for p, n in provisions if n == name]
+        return reduce(lambda a, b: a + b, parts)
+
+    best = F.array_max(F.array(*[F.struct(score(n).alias("score"), F.lit(-i).alias("place"), F.lit(n).alias("topic")) for i, n in enumerate(names)]))
+    return F.when(best["score"] > 0, best["topic"]).otherwise(default)
+
+
 #: Folders that go with every route, and the routes: what a question must match, in lower case, and where to look (fixed values).
 COURTS = ("High Court Case Laws", "Supreme Court Case Laws", "AAR")
 ROUTES = (

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import legal, text
 from ..operators import routing
 from ..sources.readers import CHUNKS_SQL, chunks, table
 from .analytics_queries import _EDGES, _places
@@ -33,6 +33,11 @@ def topic_argmax(spark, sf):
     return routing.best_topic(_texts(spark, sf), _taxonomy(spark)[0])
 
 
+def chunk_topics(spark, sf):
+    """By phrases and citation keys."""
+    return _texts(spark, sf).select("id", routing.topic_of(F.col("text"), legal.citation_keys(F.col("text"))).alias("topic"))
+
+
 def topic_leaders(spark, sf):
     t = routing.leading_topics(_texts(spark, sf), *_taxonomy(spark))
     return t.select("id", F.array_join("topics", "|").alias("topics"), F.array_join("members", "|").alias("members"), "confidence")
@@ -173,7 +178,7 @@ def graph_stats(spark, sf):
 
 
 _FUNCTIONS = (
-    token_estimates, live_sources, name_search, source_list, graph_stats, topic_argmax, topic_leaders, domain_routes, expected_categories, complexity_bands, follow_ups, authority_bonus, adaptive_domain, topic_clique, intra_topic_edges, trace_tests, suite_summary, compressed_context, mandatory_injection, notification_net, coverage_fill,
+    token_estimates, live_sources, name_search, source_list, graph_stats, topic_argmax, chunk_topics, topic_leaders, domain_routes, expected_categories, complexity_bands, follow_ups, authority_bonus, adaptive_domain, topic_clique, intra_topic_edges, trace_tests, suite_summary, compressed_context, mandatory_injection, notification_net, coverage_fill,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -188,6 +193,14 @@ _HELD = lambda words: "len(list_filter([" + ", ".join(f"'{w}'" for w in words) +
 _WEIGHT = f"CASE WHEN {_HELD(routing.CREDIT_WORDS)} + {_HELD(routing.DRAFT_WORDS)} > 0 THEN 0.35 WHEN {_HELD(routing.PLACE_WORDS)} > 0 THEN 0.28 ELSE 0.18 END::DOUBLE"
 _COMPLEX = f"""round(greatest(0, least(1, least(1, {_HELD(routing.COMPLEX)} * {_WEIGHT}) - least(0.3::DOUBLE, {_HELD(routing.SIMPLE)} * 0.15::DOUBLE)
     + CASE WHEN n > 40 THEN 0.25 WHEN n > 20 THEN 0.15 WHEN n > 10 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN len(regexp_extract_all(lower(q), '\\bsec(?:tion)?\\s*\\d+')) > 1 THEN 0.3 ELSE 0 END::DOUBLE)), 6)"""
+_NAMES = list(dict.fromkeys([n for n, _ in routing.TOPICS] + [n for _, n in routing.PROVISIONS]))
+_WORTH = ", ".join(
+    "(" + " + ".join(
+        [f"contains(lower(q), '{w}')::INTEGER * 2" for n, words in routing.TOPICS if n == name for w in words]
+        + [f"len(list_filter(c, lambda x: starts_with(x, '{p}'))) * 10" for p, n in routing.PROVISIONS if n == name]
+    ) + ")" for name in _NAMES
+)
+_KEYS = "list_distinct(flatten([" + ", ".join(f"list_transform(regexp_extract_all(q, '{p}', 1), lambda v: 'CGST_{k}_' || upper(translate(trim(v), '/-()', '___')))" for k, p in legal.CITATIONS) + "]))"
 
 ORACLES = {
     "token_estimates": f"WITH {CHUNKS_SQL} SELECT chunk_id, length(text) // 4 AS by_chars, floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.35)::BIGINT AS by_words, md5(substr(text, 1, 150)) AS snippet_md5 FROM chunks",
@@ -198,6 +211,7 @@ ORACLES = {
         SELECT query_id, source, page, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM f QUALIFY place <= 8""",
     "graph_stats": f"WITH {_EDGES} SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e)) AS nodes, count(*) AS edges, 1::BIGINT AS relations FROM e",
     "topic_argmax": f"{_HITS} SELECT s.id, coalesce(topic, 'General') AS topic FROM s LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) = 1) b ON b.id = s.id",
+    "chunk_topics": f"WITH {_ALL_SQL}, k AS (SELECT id, q, {_KEYS} AS c FROM s), w AS (SELECT id, [{_WORTH}] AS l FROM k) SELECT id, CASE WHEN list_max(l) > 0 THEN {_NAMES}[list_position(l, list_max(l))] ELSE 'General' END AS topic FROM w",
     "topic_leaders": f"""{_HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS n FROM h QUALIFY n <= 2), m AS (SELECT id, string_agg(DISTINCT member, '|' ORDER BY member) AS members FROM t JOIN mem USING (topic) GROUP BY 1)
         SELECT id, string_agg(topic, '|' ORDER BY n) AS topics, any_value(members) AS members, max(score) AS confidence FROM t JOIN m USING (id) GROUP BY 1""",
     "domain_routes": f"WITH {_ALL_SQL}, f AS (SELECT id, flatten([{_ROUTES}]) AS l FROM s) SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(list_sort(list_distinct(l || {list(routing.COURTS)})), '|') ELSE '' END AS folders FROM f",
