@@ -31,7 +31,7 @@ class LineDedup:
     and their 64-bit SimHashes (over pairs of adjacent words) differ in at most `distance` bits, a bound so wide that
     it only drops unrelated pairs. Candidates share one of `bands` join keys. A key is made of `minima` words, each
     the least of the line by a hash of its own, drawn by weight: a word's weight is the square of its inverse line
-    frequency, as counted in about `samples` documents of at most `sample_chars` characters that a hash picks.
+    frequency, counted over all lines of all documents in `buckets` buckets of word hashes.
     Lines of fewer than `min_words` normalised words link to equal ones only.
     """
 
@@ -40,8 +40,7 @@ class LineDedup:
     minima: int = 3
     similarity: float = 0.85
     min_words: int = 3
-    samples: int = 1000
-    sample_chars: int = 20_000
+    buckets: int = 2**20
 
 
 def normal_word(word: str) -> str:
@@ -101,34 +100,50 @@ def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_scales(docs: DataFrame, p: LineDedup) -> tuple[np.ndarray, np.ndarray, np.float32]:
-    """Sorted hashes of the words that more than one sampled line has, 1 / weight of each, and 1 / weight of any other.
-    The weights decide which lines are compared, not which are alike."""
-    every = max(1, docs.count() // p.samples)
-    picked = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(every)) == 0).where(F.length("text") > 0)
-    rows = picked.select(F.substring("text", 1, p.sample_chars)).limit(2 * p.samples).collect()
-    lines = pa.array([line for (text,) in rows for line in text.split("\n")], pa.string())
-    h, lengths = text_hashes(lines)
-    line = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((line, h))
-    once = np.concatenate((np.ones(len(order[:1]), bool), (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])))
-    words, n = np.unique(h[order][once], return_counts=True)
-    words, n = words[n > 1], n[n > 1]
-    scale = 1 / np.log((len(lines) + 2) / n) ** 2
-    return words, scale.astype(np.float32), np.float32(1 / np.log(len(lines) + 2) ** 2)
-
-
-def band_keys(words: np.ndarray, lengths: np.ndarray, scales: tuple, p: LineDedup) -> np.ndarray:
+def word_counts(docs: DataFrame, p: LineDedup) -> DataFrame:
+    """Rows (bucket, n, lines): of every line of `docs` (text) the distinct normalised words, counted by bucket of their
+    hash, and the number of lines in a row of its own, of null bucket. A task holds one array of counts."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        total, lines = np.zeros(p.buckets, np.int64), 0
+        for b in batches:
+            for lo, hi in text_slices(b.column("text")):
+                h, lengths = text_hashes(pc.split_pattern(pc.fill_null(b.column("text").slice(lo, hi - lo), ""), "\n").flatten())
+                lines += int((lengths > 0).sum())
+                line = np.repeat(np.arange(len(lengths)).astype(U64), lengths)
+                with np.errstate(over="ignore"):
+                    once = ~pd.Series(mix64(h + line * U64(0xD1B54A32D192ED03))).duplicated().to_numpy()
+                total += np.bincount(word_buckets(h[once], p), minlength=p.buckets)
+        at = np.flatnonzero(total)
+        yield record_batch({"bucket": at.astype(np.int32), "n": total[at]}, schema)
+        yield record_batch({"bucket": [None], "n": [lines]}, schema)
+
+    return docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def word_buckets(h: np.ndarray, p: LineDedup) -> np.ndarray:
+    return (mix64(h) % U64(p.buckets)).astype(np.int64)
+
+
+def word_scales(docs: DataFrame, p: LineDedup) -> np.ndarray:
+    """1 / weight of the words of each bucket, by the lines of all documents that have one of them. The weights decide which lines
+    are compared, not which are alike. The table has `p.buckets` numbers however large the corpus is."""
+    counts = word_counts(docs, p).toArrow()
+    bucket, n = counts.column("bucket"), counts.column("n")
+    lines = pc.sum(n.filter(pc.is_null(bucket))).as_py() or 0
+    held = np.ones(p.buckets, np.int64)
+    held[bucket.drop_null().to_numpy()] = n.filter(pc.is_valid(bucket)).to_numpy()
+    return (1 / np.log((lines + 2) / np.minimum(held, max(lines, 1))) ** 2).astype(np.float32)
+
+
+def band_keys(words: np.ndarray, lengths: np.ndarray, scales: np.ndarray, p: LineDedup) -> np.ndarray:
     """The `p.bands` join keys of each line; `words` are the lines' word hashes, end to end, one at least for each line.
     The least of -log(u) / weight falls on each word with a chance that is its share of the weight."""
     if not len(lengths):
         return np.empty((0, p.bands), U64)
-    known, scale, other = scales
     place, distinct = pd.factorize(words)
-    inverse = np.full(len(distinct), other, np.float32)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-        inverse = np.where(known[at] == distinct, scale[at], other)
+    inverse = scales[word_buckets(distinct, p)]
     starts = np.cumsum(lengths) - lengths
     mult = odd_multipliers(p.bands * p.minima, 41)
     out = np.empty((len(lengths), p.bands), U64)

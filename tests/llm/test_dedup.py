@@ -182,6 +182,28 @@ def test_line_dedup(spark):
     assert sorted(got, key=repr) == sorted(_lines_left(rows), key=repr)
 
 
+def test_word_weights_count_every_line(spark):
+    """3,000 documents of two lines, one of 30,000 characters before its second line: each word's weight follows all lines."""
+    rows = [(i, f"alpha alpha w{i} common\n{'beta' if i % 3 else 'gamma'} common") for i in range(3000)] + [(3000, "x" * 30_000 + "\ngamma\n\n ..")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    p = ld.LineDedup()
+    lines = Counter(ld.normal_line(x) for _, t in rows for x in t.split("\n") if ld.normal_line(x))
+    held = Counter()
+    for x, n in lines.items():
+        for w in set(x.split()):
+            held[w] += n
+    words = sorted(held)
+    bucket = ld.word_buckets(ld.normal_hashes(ld.pa.array(words)), p)
+    own = Counter()
+    for w, b in zip(words, bucket.tolist(), strict=True):
+        own[b] += held[w]
+    scales = ld.word_scales(docs, p)
+    assert len(scales) == p.buckets
+    assert (held["common"], held["alpha"], held["beta"], held["gamma"]) == (6000, 3000, 2000, 1001)
+    want = [1 / np.log((lines.total() + 2) / own[b]) ** 2 for b in bucket.tolist()]
+    assert np.allclose(scales[bucket], want, rtol=1e-5)
+
+
 def test_line_dedup_takes_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d\nx", 8, 9, None)], "doc_id long, text string, `a.b` int, _row int, lines int")
     got = ld.line_dedup(docs)
