@@ -30,12 +30,33 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def width(spark: SparkSession, rows: int, each: int = 2_000_000) -> int:
+    """Partitions for so many rows: those of the session's shuffles, more where a task would have over `each` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, each: int = 250) -> DataFrame:
+    """The inner join on `key` where few keys may have many rows on both sides: a key's rows of `left` are dealt into blocks of about `each`,
+    its rows of `right` copied to each block, and blocks are dealt over more tasks the more rows come out. A copy of `right` serves
+    `each` rows of `left`, so what is shuffled is small beside what is joined."""
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_m")), key)
+    sizes = settled(sizes.select(key, F.ceil(F.col("_n") / each).cast("long").alias("_blocks"), (F.col("_n") * F.col("_m")).alias("_rows")))
+    rows = sizes.agg(F.sum("_rows")).first()[0] or 0
+    n = width(left.sparkSession, rows)
+    a = left.join(sizes.select(key, "_blocks"), key)
+    a = a.withColumn("_block", F.pmod(F.xxhash64(*left.columns), F.col("_blocks"))).drop("_blocks").repartition(n, key, "_block")
+    b = right.join(sizes.select(key, "_blocks"), key)
+    b = b.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks").repartition(n, key, "_block")
+    return a.join(b, [key, "_block"]).drop("_block")
+
+
 def co_citation(pairs: DataFrame, doc: str, key: str) -> DataFrame:
-    """(src, dst, n): keys cited in the same document, both ways, with the number of documents. Pairs of a document with
-    itself are few: a document cites a bounded number of keys."""
+    """(src, dst, n): keys cited in the same document, both ways, with the number of documents. A document cites a bounded number of
+    keys; the pairs of all documents are counted first, so that those a task adds up stay bounded as well."""
     one = pairs.select(doc, key).distinct()
-    other = one.withColumnRenamed(key, "dst")
-    return one.join(other, doc).where(F.col(key) != F.col("dst")).groupBy(F.col(key).alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
+    total = one.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+    both = one.join(one.withColumnRenamed(key, "dst"), doc).where(F.col(key) != F.col("dst")).select(F.col(key).alias("src"), "dst")
+    return both.repartition(width(pairs.sparkSession, total), "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def symmetric(edges: DataFrame, relations: list[str]) -> DataFrame:
@@ -50,15 +71,31 @@ def without_existing(edges: DataFrame, existing: DataFrame) -> DataFrame:
     return edges.join(known, ["src", "dst"], "left_anti")
 
 
+#: Nodes reached by a seed that go with it as a list, so that its next step needs no shuffle.
+LISTED = 16
+
+
 def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, hops): nodes within `depth` steps of each seed, at the fewest. Each step joins the frontier and leaves
-    out what was reached before."""
+    out what was reached before.
+
+    A seed whose frontier is one node can't reach a node twice in a step: with at most `LISTED` nodes reached, its next step is made and
+    held against the list of them within the rows, however many they become. The others' are made distinct and held against what
+    was reached by shuffles.
+    """
     reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops"))
     frontier = reached
     step = edges.select(F.col("src").alias("node"), "dst").distinct()
     for d in range(1, depth + 1):
-        new = frontier.join(step, "node").select("seed", F.col("dst").alias("node")).distinct()
-        frontier = new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(d))
+        fronts = frontier.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
+        lists = reached.groupBy("seed").agg(F.count(F.lit(1)).alias("_r")).join(fronts, "seed").where((F.col("_n") == 1) & (F.col("_r") <= LISTED)).select("seed")
+        lists = settled(reached.join(lists, "seed").groupBy("seed").agg(F.collect_list("node").alias("_known")))
+        alone = frontier.select("seed", "node").join(lists, "seed")
+        ahead = spread_join(alone, step, "node").where(~F.array_contains("_known", F.col("dst"))).select("seed", F.col("dst").alias("node"))
+        rest = frontier.select("seed", "node").join(lists.select("seed"), "seed", "left_anti")
+        new = spread_join(rest, step, "node").select("seed", F.col("dst").alias("node")).distinct()
+        new = ahead.unionByName(new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti")).withColumn("hops", F.lit(d))
+        frontier = new if d == depth else settled(new)
         reached = reached.unionByName(frontier)
     return reached
 

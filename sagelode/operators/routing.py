@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settled, spread_join
+from .lexical import few
+
 
 def topic_hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, topic, score): the weights of a topic's phrases that a text (id, text) holds, whatever the case. `rules` is a
@@ -182,15 +185,24 @@ def adaptive_filter(pool: DataFrame, inside: Column, k: int) -> DataFrame:
 
 
 def cliques(members: DataFrame) -> DataFrame:
-    """(src, dst): all pairs of members (topic, member) that share a topic, both ways. A topic has few members."""
-    m = members.distinct()
-    return m.join(m.select("topic", F.col("member").alias("dst")), "topic").where("member <> dst").select(F.col("member").alias("src"), "dst").distinct()
+    """(src, dst): all pairs of members (topic, member) that share a topic, both ways. A pair is made once, at the least topic that
+    both have, so pairs aren't shuffled; topics of any size are dealt over many tasks. A member has few topics."""
+    m = members.select("topic", "member").where("topic IS NOT NULL AND member IS NOT NULL").distinct()
+    own = m.groupBy("member").agg(F.collect_list("topic").alias("topics"))
+    m = settled(own.select(F.explode("topics").alias("topic"), "member", "topics"))
+    pairs = spread_join(m.withColumnRenamed("member", "src"), m.select("topic", F.col("member").alias("dst"), F.col("topics").alias("_topics")), "topic")
+    least = (F.size("topics") == 1) | (F.col("topic") == F.array_min(F.array_intersect("topics", "_topics")))
+    return pairs.where((F.col("src") != F.col("dst")) & least).select("src", "dst")
 
 
 def ordered_pairs(members: DataFrame, existing: DataFrame, weight: int = 5) -> DataFrame:
-    """(src, dst, weight): pairs of a topic's members, the lesser first, without those that `existing` (src, dst) has either way."""
-    known = existing.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    pairs = cliques(members).where("src < dst").join(known, ["src", "dst"], "left_anti")
+    """(src, dst, weight): pairs of a topic's members, the lesser first, without those that `existing` (src, dst) has either way. Of
+    `existing` only what joins members of one topic counts, which is sent to all tasks where it is small."""
+    known = existing.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst")
+    m = members.select("topic", "member").distinct()
+    known = known.join(m.withColumnRenamed("member", "src"), "src").join(m.withColumnRenamed("member", "dst"), ["topic", "dst"]).select("src", "dst").distinct()
+    known = settled(known)
+    pairs = cliques(members).where("src < dst").join(few(known)(known), ["src", "dst"], "left_anti")
     return pairs.withColumn("weight", F.lit(weight))
 
 
