@@ -99,12 +99,33 @@ ROUTES = (
 )
 
 
-def route_folders(q: Column, routes=ROUTES, always=COURTS) -> Column:
+#: Of each route words of which every match holds one: they are sought first, as the patterns take much longer.
+ROUTE_WORDS = (
+    ("rule", "common", "revers"),
+    ("itc", "input", "sec"),
+    ("refund", "unutilised"),
+    ("hsn", "sac", "gst", "percent"),
+    ("export", "zero", "lut", "letter", "sez"),
+    ("way",),
+    ("appeal", "tribunal", "gstat", "court"),
+    ("annual", "gstr"),
+    ("registr",),
+    ("audit", "gstr"),
+    ("penalt", "sec"),
+    ("scn", "show", "notice", "drc", "sec"),
+    ("draft", "reply", "response", "representation", "appeal", "submission"),
+    ("intermediary", "commission", "broker", "facilitator", "agent"),
+    ("place", "pos", "section", "cross"),
+)
+
+
+def route_folders(q: Column, routes=ROUTES, always=COURTS, words=ROUTE_WORDS) -> Column:
     """The distinct folders, in order, of all routes that a text matches, and those that go with every route; empty, which
-    means no restriction, without a match or a text."""
+    means no restriction, without a match or a text. `words` has for each route what its matches can't be without."""
     t, none = F.lower(q), F.array().cast("array<string>")
     of = lambda names: F.array(*map(F.lit, names))
-    found = F.concat(*[F.when(F.coalesce(F.rlike(t, F.lit(f"(?dU){p}")), F.lit(False)), of(names)).otherwise(none) for p, names in routes])
+    held = lambda own: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in own])
+    found = F.concat(*[F.when(held(own) & F.coalesce(F.rlike(t, F.lit(f"(?dU){p}")), F.lit(False)), of(names)).otherwise(none) for (p, names), own in zip(routes, words, strict=True)])
     return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(F.concat(found, of(always))))).otherwise(none)
 
 

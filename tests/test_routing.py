@@ -81,3 +81,27 @@ def test_dense_tiles_hold_few_products(spark, monkeypatch):
     n = sum(b.num_rows for b in dense._candidates(batch, np.arange(4000), np.ones((4000, 2)) * np.arange(4000)[:, None], 3, None, schema, 100_000))
     assert n >= 12_000 and tracemalloc.get_traced_memory()[1] < 40_000_000  # all products at once are 160 MB
     tracemalloc.stop()
+
+
+def test_words_sought_first_lose_no_route(spark):
+    """Every alternative of every route, in a match of its own: the words before the patterns leave it as it is."""
+    matches = """rule 42|rule43|common  input|reversal of itc|itc is reversed;an itc x|input tax credit|section 17|sec. 16|sec.17;refund|igst refund|export with refund|unutilised credit;
+        hsn|sac|gst rate|ten percent|gst on goods;export|zero rated|zero-rated|zerorated|a lut b|letter of undertaking|sez unit;e-way bill|eway|e way  bill;
+        appeal|tribunal|gstat|high court|supreme  court;annual return|gstr-9|gstr9;registration|registred|registring;audit|gst audit|gstr-9c|gstr9c;
+        penalty|penalties|section 122|sec 129;scn|show cause|showcause|notice|drc-01|drc1|section 73|sec 74;draft|reply|response|representation|appeal letter|submission;
+        intermediary|commission agent|broker service|facilitator|agent service;place of supply|pos|section 13 igst|cross-border service|crossborder service"""
+    texts = [[x.strip() for x in group.split("|")] for group in matches.split(";")]
+    assert len(texts) == len(routing.ROUTES) == len(routing.ROUTE_WORDS)
+    rows = [(k, x) for k, group in enumerate(texts) for x in group]
+    q = F.col("q")
+    own = [F.rlike(F.lower(q), F.lit(f"(?dU){p}")) for p, _ in routing.ROUTES]
+    all_ = [("",)] * len(routing.ROUTES)  # every text holds the empty word
+    df = spark.createDataFrame(rows + [(99, None), (99, "nothing of it")], "k long, q string")
+    for r in df.select("k", "q", F.array(*own).alias("m"), routing.route_folders(q).alias("a"), routing.route_folders(q, words=all_).alias("b")).collect():
+        assert r.a == r.b
+        if r.k == 99:
+            assert r.a == []
+            continue
+        assert r.m[r.k], r.q
+        for k, hit in enumerate(r.m):
+            assert not hit or any(w in r.q for w in routing.ROUTE_WORDS[k]), (r.q, k)
