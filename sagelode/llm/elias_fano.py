@@ -111,8 +111,8 @@ class Trie:
 
     def find(self, context: np.ndarray, successor: np.ndarray, step: int = 1 << 20) -> np.ndarray:
         """Codes of n-grams (sorted by context and successor), 0 where there is none. The pointers of the contexts asked
-        for give where their successors lie; these are taken apart for about `step` successors of asked contexts at a
-        time, others stay packed, and each n-gram is sought among the successors of its context."""
+        for give where their successors lie; these are taken apart for about `step` successors at a time, with what lies
+        between them unless that is more than `step` / 16, and each n-gram is sought among the successors of its context."""
         out = np.zeros(len(context), np.uint16)
         if not len(context) or not self.contexts.n:
             return out
@@ -126,8 +126,8 @@ class Trie:
         asked, first = np.unique(place, return_index=True)
         first = np.append(first, len(place))
         lo, hi = pointer[asked], pointer[asked + 1]
-        stretch = np.cumsum(hi - lo) // step
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(stretch) | (lo[1:] != hi[:-1])) + 1, [len(asked)]))
+        stretch = hi // step
+        cuts = np.concatenate(([0], np.flatnonzero((np.diff(stretch) > 0) | (lo[1:] - hi[:-1] > step // 16)) + 1, [len(asked)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             mine = slice(first[a], first[b])
             own = self.successors.slice(int(lo[a]), int(hi[b - 1]))

@@ -180,21 +180,23 @@ def lm_scores(docs: DataFrame, model: Model = Model(), text: str = "text", root:
     pairs = streams.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send_pairs, "block long, shard long, data binary")
 
     def answer(key, rows):
-        """Builds the shard's trie from the training pairs, writes it, maps it, and looks all pairs up."""
+        """Builds the shard's trie from the training pairs, writes it, maps it, and looks all distinct pairs up in one go: the work
+        grows with the pairs of the shard, not with its blocks times the trie."""
         lists = [_received(x) for x in rows.column("data").to_pylist()]
         v, w, c, n = (np.concatenate(x) for x in zip(*lists, strict=True))
-        seen = n > 0
-        k = v[seen].astype(U64) << U64(32) | w[seen].astype(U64)
-        distinct, first, place = np.unique(k, return_index=True, return_inverse=True)
-        count = np.bincount(place, weights=n[seen], minlength=len(distinct))
-        data = Trie.build((distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.int64), _codes(count / (c[seen][first] + weight)))
+        cuts = np.cumsum([len(x[0]) for x in lists])[:-1]
+        del lists
+        distinct, first, place = np.unique(v.astype(U64) << U64(32) | w.astype(U64), return_index=True, return_inverse=True)
+        del v, w
+        count, c = np.bincount(place, weights=n, minlength=len(distinct)), c[first]
+        v, w, seen = (distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.int64), count > 0
+        data = Trie.build(v[seen], w[seen], _codes(count[seen] / (c[seen] + weight)))
         fs, base = filesystem(root)
         fs.create_dir(base, recursive=True)
         path = f"{base}/shard-{key[0].as_py():06d}-{uuid.uuid4().hex}.trie"
         with fs.open_output_stream(path) as f:
             f.write(data)
-        trie = Trie.open(fs, path)
-        codes = [pack(trie.find(v, w)) for v, w, _, _ in lists]
+        codes = [pack(x) for x in np.split(Trie.open(fs, path).find(v, w)[place], cuts)]
         return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "data": codes}, schema=pair_schema)
 
     answers = materialize(pairs.groupBy("shard").applyInArrow(answer, "block long, shard long, data binary"), "lm-answers")

@@ -146,6 +146,20 @@ def test_pack():
     assert (unpack(pack(x)) == x).all() and len(unpack(pack(x[:0]))) == 0
 
 
+def test_trie_takes_stretches_apart_not_each_context(monkeypatch):
+    n = 20_000
+    v, w = np.repeat(np.arange(n), 3), np.tile([1, 5, 9], n)
+    t = Trie.read(Trie.build(v, w, (np.arange(3 * n) % 65535 + 1).astype(np.uint16)))
+    slices, plain = [], EliasFano.slice
+    monkeypatch.setattr(EliasFano, "slice", lambda self, lo, hi: slices.append(hi - lo) or plain(self, lo, hi))
+    asked = np.repeat(np.arange(0, n, 2), 2)
+    got = t.find(asked, np.tile([5, 6], n // 2), step=16_000)
+    want = np.zeros(n, np.int64)
+    want[::2] = (3 * np.arange(0, n, 2) + 1) % 65535 + 1
+    assert got.tolist() == want.tolist()
+    assert len(slices) <= 2 + 3 * n // 16_000 + 1 and max(slices[2:]) <= 16_003
+
+
 def test_lm_scores(spark):
     import math
     from collections import Counter
