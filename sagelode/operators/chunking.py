@@ -1,10 +1,14 @@
-"""Chunkers as array expressions: separators tried in turn with an overlap, paragraphs folded by section, and provisions.
+"""Chunkers: separators tried in turn with an overlap, paragraphs folded by section, and provisions.
 
-All work on the text of one row, so nothing is shuffled; folds are Spark's own higher-order functions.
+All work on the text of one row, so nothing is shuffled; the fold by section runs in Python on Arrow batches, the others are array
+expressions with Spark's own higher-order functions.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,25 +125,72 @@ def token_estimate(c: Column) -> Column:
     return F.floor(n_words(c) * 1.35).cast("int")
 
 
-def section_label(c: Column) -> Column:
-    """The first label of the first kind that the paragraph names; null without one."""
-    named = [F.when(F.regexp_extract(c, p, 1) != "", F.concat(F.lit(k + " "), F.regexp_extract(c, p, 1))) for k, p in LABELS]
-    return F.coalesce(*named)
+_SPACE = " \t\n\x0b\f\r"
+_SEPARATORS_AT_END = ("\x85", "\u2028", "\u2029")
+_SENTENCE = re.compile(r"(?<=[.;])\s+", re.A)
+_OPENS = re.compile("|".join(SECTION_STARTS), re.A)
+_LABELS = [(k, re.compile(x, re.A)) for k, x in LABELS]
 
 
-def _sentences_up_to(para: Column, most: int) -> Column:
-    """The paragraph, or, where it is too long, its sentences (ended by . or ;) put together up to `most` tokens."""
-    state = "struct<out:array<string>,own:array<string>,n:int>"
-    none = F.array().cast("array<string>")
+def _stripped(s: str) -> str:
+    """`s` without what `^\\s+|\\s+$` matches in Java, whose $ also stands before a line separator at the end."""
+    s = s.lstrip(_SPACE)
+    return s[:-1].rstrip(_SPACE) + s[-1] if s[-1:] in _SEPARATORS_AT_END else s.rstrip(_SPACE)
 
-    def step(acc, s):
-        n = token_estimate(s)
-        full = F.struct(F.concat(acc["out"], F.array(F.array_join(acc["own"], " "))).alias("out"), F.array(s).alias("own"), n.alias("n"))
-        more = F.struct(acc["out"].alias("out"), F.concat(acc["own"], F.array(s)).alias("own"), (acc["n"] + n).alias("n"))
-        return F.when((acc["n"] + n > most) & (F.size(acc["own"]) > 0), full).otherwise(more)
 
-    cut = F.aggregate(F.split(para, r"(?<=[.;])\s+"), F.struct(none.alias("out"), none.alias("own"), F.lit(0).alias("n")).cast(state), step, lambda acc: F.concat(acc["out"], F.array(F.array_join(acc["own"], " "))))
-    return F.when(token_estimate(para) <= most, F.array(para)).otherwise(cut)
+def _estimate(s: str) -> int:
+    """token_estimate of one text; words of bytes end at ASCII white space only, as \\s does."""
+    return int(len(s.encode().split()) * 1.35)
+
+
+def _sentences_up_to(para: str, most: int) -> list[str]:
+    """The paragraph, or, where it is too long, its sentences (ended by . or ;) put together up to `most` tokens."""
+    if _estimate(para) <= most:
+        return [para]
+    out, own, total = [], [], 0
+    for s in _SENTENCE.split(para):
+        n = _estimate(s)
+        if own and total + n > most:
+            out.append(" ".join(own))
+            own, total = [], 0
+        own.append(s)
+        total += n
+    return [*out, " ".join(own)]
+
+
+def _label(s: str) -> str | None:
+    return next((f"{k} {m[1]}" for k, x in _LABELS if (m := x.search(s))), None)
+
+
+def _sections(text: str, most: int, overlap: int, paragraph: re.Pattern):
+    """(chunk, labels) of one text, in one pass over its paragraphs."""
+    own, total, labels, active = [], 0, [], None
+
+    def flush():
+        nonlocal own, total, labels
+        joined = " ".join(own)
+        last = b" ".join(joined.encode().split()[-overlap:]).decode() if overlap > 0 else ""
+        done = (_stripped(joined), labels)
+        own, total, labels = [last] if last else [], _estimate(last), [] if active is None else [active]
+        return [done] if done[0] else []
+
+    for para in filter(None, map(_stripped, paragraph.split(text))):
+        for s in _sentences_up_to(para, most):
+            n, opens = _estimate(s), _OPENS.match(s) is not None
+            if opens:
+                active = _label(s) or active
+                if own:
+                    yield from flush()
+            if own and total + n > most:
+                yield from flush()
+            own.append(s)
+            total += n
+            if opens and active is not None and active not in labels:
+                labels.append(active)
+    yield from flush()
+
+
+_CHUNK = pa.struct([("text", pa.string()), ("labels", pa.list_(pa.string()))])
 
 
 def section_chunks(docs: DataFrame, most: int = 500, overlap: int = 80, paragraph: str = r"\n\s*\n", text: str = "text") -> DataFrame:
@@ -147,50 +198,17 @@ def section_chunks(docs: DataFrame, most: int = 500, overlap: int = 80, paragrap
 
     A chunk ends where a paragraph opens a section, or where it would hold more than `most` tokens; the next one begins with its
     last `overlap` words and the label that is in force. Paragraphs of more than `most` tokens are cut by sentences first.
-    Null and empty texts give no rows.
+    Null and empty texts give no rows. Python folds the paragraphs, a row at a time, on Arrow batches: as nested array expressions the
+    fold is interpreted and copies its state with each paragraph.
     """
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    starts = "(?m)" + "|".join(SECTION_STARTS)
-    paras = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), paragraph), strip), lambda p: p != "")
-    subs = F.flatten(F.transform(paras, lambda p: _sentences_up_to(p, most)))
-    # what a paragraph brings to the fold, without what came before: its size, whether it opens a section, and under which label
-    opens = lambda s: s.rlike(f"\\A(?:{starts})")
-    items = F.transform(subs, lambda s: F.struct(s.alias("s"), token_estimate(s).alias("n"), opens(s).alias("opens"), F.when(opens(s), section_label(s)).alias("label")))
-    chunk = "struct<text:string,labels:array<string>>"
-    none = F.array().cast("array<string>")
-    empty = F.struct(F.array().cast(f"array<{chunk}>").alias("out"), none.alias("own"), F.lit(0).alias("n"), none.alias("labels"), F.lit(None).cast("string").alias("active"))
-
-    def flushed(acc, active):
-        joined = F.array_join(acc["own"], " ")
-        words = F.filter(F.split(joined, r"\s+"), lambda w: w != "")
-        last = F.array_join(F.slice(words, F.greatest(F.size(words) - overlap + 1, F.lit(1)), overlap), " ")
-        own = F.when(last != "", F.array(last)).otherwise(none)
-        out = F.when(strip(joined) != "", F.concat(acc["out"], F.array(F.struct(strip(joined).alias("text"), acc["labels"].alias("labels"))))).otherwise(acc["out"])
-        labels = F.when(active.isNotNull(), F.array(active)).otherwise(none)
-        return F.struct(out.alias("out"), own.alias("own"), F.when(last != "", token_estimate(last)).otherwise(0).alias("n"), labels.alias("labels"), active.alias("active"))
-
-    def opened(acc, x):
-        """The state after the label and the flush at a section's start."""
-        active = F.coalesce(x["label"], acc["active"])
-        kept = F.struct(acc["out"].alias("out"), acc["own"].alias("own"), acc["n"].alias("n"), acc["labels"].alias("labels"), active.alias("active"))
-        return F.when(x["opens"] & (F.size(acc["own"]) > 0), flushed(acc, active)).otherwise(kept)
-
-    def sized(acc, x):
-        return F.when((acc["n"] + x["n"] > most) & (F.size(acc["own"]) > 0), flushed(acc, acc["active"])).otherwise(acc)
-
-    def added(acc, x):
-        labels = F.when(x["opens"] & acc["active"].isNotNull() & ~F.array_contains(acc["labels"], acc["active"]), F.concat(acc["labels"], F.array(acc["active"]))).otherwise(acc["labels"])
-        return F.struct(acc["out"].alias("out"), F.concat(acc["own"], F.array(x["s"])).alias("own"), (acc["n"] + x["n"]).alias("n"), labels.alias("labels"), acc["active"].alias("active"))
-
-    def step(acc, x):
-        # each stage is bound to a name by a fold over one value, so that its expression isn't repeated in the next
-        bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-        return bind(opened(acc, x), lambda a: bind(sized(a, x), lambda b: added(b, x)))
-
-    def end(acc):
-        return F.get(F.transform(F.array(flushed(acc, acc["active"])), lambda a: a["out"]), F.lit(0))
-
-    out = docs.withColumn("_c", F.aggregate(items, empty, step, end))
+    cut = re.compile(paragraph, re.A)
+
+    @F.arrow_udf("array<struct<text:string,labels:array<string>>>")
+    def chunks(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"text": t, "labels": ls} for t, ls in _sections(x.as_py() or "", most, overlap, cut)] for x in texts], pa.list_(_CHUNK))
+
+    chunks = chunks.asNondeterministic()  # else Spark infers a filter on the chunks and cuts each text twice
+    out = docs.withColumn("_c", chunks(F.col(text)))
     out = out.select(*docs.columns, F.posexplode("_c").alias("chunk_no", "_c"))
     return out.select(*docs.columns, "chunk_no", F.col("_c.text").alias("chunk"), F.get("_c.labels", F.lit(0)).alias("section_label"), F.col("_c.labels").alias("section_labels"))
 

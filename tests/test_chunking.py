@@ -132,6 +132,18 @@ def test_section_chunks_of_documents(spark):
     assert got == sorted((r.doc_id, i, c) for r in docs.collect() for i, (c, _) in enumerate(sections((r.text or "").split("\n"), 500, 80)))
 
 
+def test_section_chunks_fold_outside_expressions_and_by_ascii_space(spark):
+    text = "Section 1 a\u00a0b\n\x0b one\u2003two \u2028\nRule 7 c\u0130d\n\x1c x"
+    df = spark.createDataFrame([(1, text, 5), (2, None, 6)], "doc_id long, text string, more int")
+    out = chunking.section_chunks(df, paragraph="\n", overlap=2)
+    assert [(r.doc_id, r.more, r.chunk_no, r.chunk, r.section_labels) for r in out.orderBy("chunk_no").collect()] == [
+        (1, 5, 0, "Section 1 a\u00a0b one\u2003two\u2028", ["Section 1"]),
+        (1, 5, 1, "a\u00a0b one\u2003two\u2028 Rule 7 c\u0130d \x1c x", ["Rule 7"]),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1  # interpreted, the fold took most of the time
+
+
 def test_provisions_keep_the_text_that_follows(spark):
     df = spark.createDataFrame([(1, "Preamble Section 7(1) scope of supply. SEC. 9 levy u/s 73 end"), (2, "no marker"), (3, None), (4, "Section 5")], "id long, text string")
     got = sorted((r.id, r.part_no, r.provision, r.part) for r in chunking.provisions(df).collect())
