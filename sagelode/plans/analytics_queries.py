@@ -257,7 +257,7 @@ def asof_latest(spark, sf):
 
 
 def _runs(spark, sf):
-    a, b = _lists(spark, sf)
+    a, b = (lexical.written(x.select("query_id", "chunk_id", "rank"), "runs") for x in _lists(spark, sf))  # read for each stage, and for gold
     runs = a.select("query_id", "chunk_id", "rank", F.lit("bm25").alias("stage")).unionByName(b.select("query_id", "chunk_id", "rank", F.lit("tfidf").alias("stage")))
     runs = runs.unionByName(a.where("rank <= 3").select("query_id", "chunk_id", "rank", F.lit("final").alias("stage")))
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))

@@ -29,8 +29,14 @@ def _bm25(spark, sf, ix=None):
     return lexical.bm25(post, lexical.idf_okapi(post, stats.select("N")), stats.select("avgdl"), _queries(spark, sf))
 
 
+def _best_bm25(spark, sf, k, ix=None, df=None):
+    ix = ix or _index(spark, sf)
+    stats = lexical.length_stats(ix)
+    return lexical.best_bm25(ix, lexical.idf_okapi(lexical.postings(ix), stats.select("N"), df=df), stats.select("avgdl"), _queries(spark, sf), k)
+
+
 def bm25_topk(spark, sf):
-    return lexical.top_k(_bm25(spark, sf), 10, ["query_id"], [F.desc("score"), "chunk_id"])
+    return _best_bm25(spark, sf, 10)
 
 
 def bm25_prf(spark, sf):
@@ -53,15 +59,10 @@ def bm25_by_category(spark, sf):
     return lexical.top_k(scores, 8, ["query_id", "category"], [F.desc("score"), "chunk_id"])
 
 
-def _tfidf(spark, sf, ix=None):
+def tfidf_topk(spark, sf, ix=None, df=None):
     ix = ix or _index(spark, sf)
-    post = lexical.postings(ix)
-    idf = lexical.idf_smooth(post, lexical.length_stats(ix).select("N"))
-    return lexical.tfidf(post, idf, _queries(spark, sf)).where("score > 0")
-
-
-def tfidf_topk(spark, sf, ix=None):
-    return lexical.top_k(_tfidf(spark, sf, ix), 50, ["query_id"], [F.desc("score"), "chunk_id"])
+    idf = lexical.idf_smooth(lexical.postings(ix), lexical.length_stats(ix).select("N"), df or lexical.frequencies(ix))
+    return lexical.best_tfidf(ix, idf, _queries(spark, sf), 50)
 
 
 def _dense(spark, sf, k, **kw):
@@ -79,7 +80,8 @@ def dense_by_label(spark, sf):
 
 def _lists(spark, sf):
     ix = _index(spark, sf)
-    return lexical.top_k(_bm25(spark, sf, ix), 50, ["query_id"], [F.desc("score"), "chunk_id"]), tfidf_topk(spark, sf, ix)
+    df = lexical.frequencies(ix)
+    return _best_bm25(spark, sf, 50, ix, df), tfidf_topk(spark, sf, ix, df)
 
 
 def rrf_fusion(spark, sf):
@@ -120,7 +122,7 @@ def interleaved(spark, sf):
 
 
 def mmr_select(spark, sf):
-    top = lexical.top_k(_bm25(spark, sf), 80, ["query_id"], [F.desc("score"), "chunk_id"])
+    top = _best_bm25(spark, sf, 80)
     pool = top.join(_corpus(spark, sf).select("chunk_id", F.array_distinct(text.simple_tokens(F.col("text"))).alias("tokens")), "chunk_id")
     return fusion.mmr(pool.select("query_id", "chunk_id", "score", "tokens"), 10)
 

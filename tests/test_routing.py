@@ -2,10 +2,13 @@
 
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sagelode.functions import legal
 from sagelode.operators import lexical, routing
+from sagelode.plans import catalogue
 
 
 def test_topics_routes_and_categories(spark):
@@ -48,6 +51,35 @@ def test_index_leaves_out_chunks_without_tokens(spark):
     assert sorted((r.category, r.N, r.avgdl) for r in lexical.length_stats(ix, ["category"]).collect()) == [("x", 1, 3.0), ("y", 1, 1.0)]
 
 
+@pytest.mark.parametrize(("cells", "block"), [(1_000_000, 1024), (40, 3), (1, 1)])
+def test_best_scores_within_rows_are_those_of_joins(spark, monkeypatch, cells, block):
+    """By whatever stretches and blocks, the best are those of the joined postings; before, each pair of query and chunk was shuffled."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghé")
+    texts = [(i, " ".join(rng.choice(letters, rng.integers(0, 9)))) for i in range(150)] + [(150, None), (151, "a b"), (152, "a b")]
+    df = spark.createDataFrame(texts, "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, t) for q in range(7) for t in rng.choice([*letters, "none"], 3)], "query_id long, token string")
+    ix = lexical.index(df, F.filter(F.split("text", " "), lambda w: w != ""))
+    post, stats = lexical.postings(ix), lexical.length_stats(ix)
+    plain = lexical.best_scores
+    monkeypatch.setattr(lexical, "best_scores", lambda *a: plain(*a, block=block, cells=cells))
+    order = [F.desc("score"), "chunk_id"]
+    rows = lambda x: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in x.collect())
+    freq = lexical.frequencies(ix)
+    best = lexical.best_bm25(ix, lexical.idf_okapi(post, stats.select("N"), df=freq), stats.select("avgdl"), queries, 5)
+    assert rows(best) == rows(lexical.top_k(lexical.bm25(post, lexical.idf_okapi(post, stats.select("N")), stats.select("avgdl"), queries), 5, ["query_id"], order))
+    found = lexical.best_tfidf(ix, lexical.idf_smooth(post, stats.select("N"), freq), queries, 5)
+    assert rows(found) == rows(lexical.top_k(lexical.tfidf(post, lexical.idf_smooth(post, stats.select("N")), queries).where("score > 0"), 5, ["query_id"], order))
+    assert "Aggregate" not in best._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    none = spark.createDataFrame([], "query_id long, token string")
+    assert lexical.best_bm25(ix, lexical.idf_okapi(post, stats.select("N")), stats.select("avgdl"), none, 5).count() == 0
+
+
+def test_evaluation_reads_the_ranked_lists_not_the_postings(spark):
+    for name in ("recall_mrr", "first_failures", "rank_pivot", "hard_negatives", "provenance"):
+        assert not any("/postings-" in f for f in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()), name
+
+
 def test_dense_tiles_hold_few_products(spark, monkeypatch):
     """By whatever tiles the products are made, forgotten or not, the rows are those of a plain search; ties stay."""
     import numpy as np
