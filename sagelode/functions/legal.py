@@ -15,6 +15,8 @@ CITATIONS = (
     ("CIRC", r"(?i)Circular\s+No\.?\s*(\d+[/-]\d+[/-]\d+)"),
     ("SCHED", r"(?i)Schedule\s+(III|II|IV|VI|V|I|[1-6])"),
 )
+#: Of each kind of citation words of which every match holds one, in lower case: they are sought first, as the patterns take much longer.
+CITATION_WORDS = {"SEC": ("section", "sec.", "u/s", "s."), "RULE": ("rule", "u/r"), "NOTIF": ("notification",), "CIRC": ("circular",), "SCHED": ("schedule",)}
 ACT = r"(?i)(?:CGST|IGST|SGST|UTGST|GST)\s+Act"
 #: Numbers that need no source (fixed values).
 SAFE_NUMBERS = ("0", "1", "2", "3", "4", "5", "10", "100")
@@ -31,8 +33,10 @@ def normal_citation(kind: Column | str, value: Column, act: str = "CGST") -> Col
 def citation_keys(text: Column, act: str = "CGST") -> Column:
     """Distinct keys in order of their kind, then of the text, whatever their case; ACT where an act is named."""
     of_kind = lambda k: lambda v: normal_citation(k, v, act)
-    named = F.when(text.rlike(ACT), F.array(F.lit("ACT"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), of_kind(k)) for k, p in CITATIONS], named))
+    none, t = F.array().cast("array<string>"), F.lower(text)
+    named = F.when(t.contains("act") & text.rlike(ACT), F.array(F.lit("ACT"))).otherwise(none)
+    found = [F.when(text.isNull() | any_of(t, CITATION_WORDS[k]), F.transform(F.regexp_extract_all(text, F.lit(p), 1), of_kind(k))).otherwise(none) for k, p in CITATIONS]
+    return F.array_distinct(F.concat(*found, named))
 
 
 def canonical_key(key: Column) -> Column:

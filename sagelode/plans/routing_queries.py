@@ -34,8 +34,9 @@ def topic_argmax(spark, sf):
 
 
 def chunk_topics(spark, sf):
-    """By phrases and citation keys."""
-    return _texts(spark, sf).select("id", routing.topic_of(F.col("text"), legal.citation_keys(F.col("text"))).alias("topic"))
+    """By phrases and citation keys. The keys are a column of their own: each use in a lambda would find them anew."""
+    keyed = _texts(spark, sf).withColumn("keys", legal.citation_keys(F.col("text")))
+    return keyed.select("id", routing.topic_of(F.col("text"), F.col("keys")).alias("topic"))
 
 
 def topic_leaders(spark, sf):

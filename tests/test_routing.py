@@ -37,6 +37,23 @@ def test_topics_routes_and_categories(spark):
     assert got[4].c == got[1].c == ["statute"] and got[2].c == ["circular", "notification", "statute"] and got[6].c == ["notification", "statute"]
 
 
+def test_topics_seek_each_citation_pattern_once(spark):
+    plan = catalogue.QUERIES["chunk_topics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 * len(legal.CITATIONS)  # of the sentences and of the documents
+
+
+def test_citation_keys_are_those_of_the_patterns(spark):
+    """Words are sought before the patterns; that drops no match, whatever its case."""
+    texts = ["SECTION 9(3)(b) Sec.7 U/S 12 cf. S.16 s. 4", "cgst ACT", "RULE 42 U/R 3", "NOTIFICATION NO. 11/2017", "Circular no 1-2-3", "SCHEDULE iv", "sched 3", "ſection 5 İs.8", "", None, "s5 rules act"]
+    q = F.col("q")
+    each = lambda k: lambda v: legal.normal_citation(k, v)
+    plain = [F.transform(F.regexp_extract_all(q, F.lit(p), 1), each(k)) for k, p in legal.CITATIONS]
+    named = F.when(q.rlike(legal.ACT), F.array(F.lit("ACT"))).otherwise(F.array().cast("array<string>"))
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    got = df.select("q", legal.citation_keys(q).alias("got"), F.array_distinct(F.concat(*plain, named)).alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and sum(bool(r.got) for r in got) >= 6
+
+
 def test_counts_within_a_row(spark):
     lists = [[], ["b", "a", "b"], ["x"], None, ["a"] * 5 + ["é", "z", "é"]]
     df = spark.createDataFrame(list(enumerate(lists)), "id long, t array<string>").select("id", lexical.counted(F.col("t")).alias("c"))
