@@ -247,7 +247,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
         both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.mapInArrow(keep_similar, "a long, b long")
 
-    groups = linked_components(nodes.select(F.explode("bands").alias("bucket"), "id"), nodes.select("id", "mark"), near, confirm, "line", rounds=())
+    groups = linked_components(nodes.select(F.explode("bands").alias("bucket"), "id"), nodes.select("id", "mark"), near, confirm, "line", rounds=(4,))
     named = shared_size_join(nodes.drop("bands", "mark"), groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     firsts = materialize(named.groupBy("component").agg(F.min("first").alias("f")), "line-firsts")
     named = materialize(shared_size_join(named.select("id", "component"), firsts, "component").select(F.col("id").alias("key"), "f"), "line-named")

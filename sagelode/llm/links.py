@@ -77,9 +77,9 @@ def linked_components(
     confirm(pairs of a < b) gives the pairs that link. First each id is held against the leaders of its buckets only.
     In each of `rounds`, ids outside the largest component of a bucket are held against that many more ids of it. What
     is still apart is held against each other: pairs of one bucket in different components, by a join on
-    bucket and salt, where a bucket is dealt to one salt per `block` ids.
-    `finer` may give further marks (id, mark) for the rows (id) that are left, and a condition on them besides near; a pair then
-    counts in the least bucket that it shares. So no link is lost, and a group of like ids costs a few pairs for each id, not all its pairs.
+    bucket and salt, where a bucket is dealt to one salt per `block` ids. A pair counts in the least bucket that it shares, and
+    a bucket of two ids not at all, as its one pair was held first.
+    `finer` may give further marks (id, mark) for the rows (id) that are left, and a condition on them besides near. So no link is lost, and a group of like ids costs a few pairs for each id, not all its pairs.
     """
     shared = materialize(bucket_rows(members), f"{label}-buckets")
     ids = materialize(shared.select("id").distinct(), f"{label}-ids")
@@ -99,7 +99,7 @@ def linked_components(
     used = [shared, ids, marks, edges]
     for k, leaders in enumerate(rounds):
         own = _with_component(own, known)
-        apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        apart = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo <> hi").select("bucket")
         own = materialize(own.join(apart, "bucket", "left_semi"), f"{label}-own")
         edges = links(_outsiders(own, leaders, 100 * (k + 1)), f"round-{k}")
         used += [own, edges, known]
@@ -108,22 +108,24 @@ def linked_components(
             known = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges), f"{label}-near")
 
     own = _with_component(own, known)
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts")).where("lo <> hi")
-    own = materialize(own.join(mixed.select("bucket", "salts"), "bucket"), f"{label}-apart")
-    used.append(own)
+    mixed = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo <> hi")
+    own = materialize(own.join(mixed.select("bucket", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("salts")), "bucket"), f"{label}-apart")
+    keys = materialize(own.groupBy("id").agg(F.collect_set("bucket").alias("keys")), f"{label}-keys")  # no more than an id has buckets
+    drop_tables(*{t.written: t for t in used if t is not marks and t is not known}.values())
+    used = [marks, own, keys]
+    marks = marks.join(keys, "id")
     if finer:
-        keys = materialize(own.groupBy("id").agg(F.collect_set("bucket").alias("keys")), f"{label}-keys")  # no more than an id has buckets
         more = materialize(finer[0](keys.select("id")).withColumnRenamed("mark", "more"), f"{label}-finer")
-        marks = marks.join(keys, "id").join(more, "id")
-        used += [keys, more]
+        marks = marks.join(more, "id")
+        used.append(more)
     own = materialize(own.join(marks.select("id", F.struct(*[c for c in marks.columns if c != "id"]).alias("m")), "id"), f"{label}-apart-marks")
     left = own.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("m").alias("p"))
     right = own.select("bucket", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("m").alias("q"))
-    alike = near("p.mark", "q.mark")
+    alike = near("p.mark", "q.mark") & (F.array_min(F.array_intersect("p.keys", "q.keys")) == F.col("bucket"))
     if finer:
-        alike = alike & (F.array_min(F.array_intersect("p.keys", "q.keys")) == F.col("bucket")) & finer[1]("p.more", "q.more")
+        alike = alike & finer[1]("p.more", "q.more")
     cross = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b")
-    cross = materialize(cross if finer else cross.distinct(), f"{label}-cross")
+    cross = materialize(cross, f"{label}-cross")
     edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(cross).select("a", "b"))
     out = connected_components(edges, f"{label}-all")
     drop_tables(*{t.written: t for t in (*used, known, own, cross)}.values())

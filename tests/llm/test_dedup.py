@@ -86,6 +86,26 @@ def test_linked_components_lose_no_link_of_a_bucket(spark, block):
     assert got == {i: root[i] for i in range(700) if i not in alone}
 
 
+def test_pairs_are_held_once(spark, monkeypatch):
+    """Ids that share five buckets, and pairs alone in theirs: the join of what is apart makes a pair once, those of two ids never."""
+    crossed = []
+    plain = links.materialize
+
+    def spied(df, label):
+        if label == "t-cross":
+            assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+            crossed.extend((r.a, r.b) for r in df.collect())
+        return plain(df, label)
+
+    monkeypatch.setattr(links, "materialize", spied)
+    rows = [(b, i) for b in range(5) for i in range(20)] + [(100 + k, 1000 + 2 * k + i) for k in range(30) for i in range(2)]
+    members = spark.createDataFrame(rows, "bucket long, id long")
+    marks = members.select("id", F.col("id").alias("mark")).distinct()
+    got = links.linked_components(members, marks, lambda x, y: F.lit(True), lambda pairs: pairs.where("b - a = 19 AND b = 19"), "t", rounds=())
+    assert sorted((r.node, r.component) for r in got.collect()) == [(0, 0), (19, 0)]
+    assert len(crossed) == len(set(crossed)) and set(crossed) >= {(a, b) for b in range(19) for a in range(1, b)} - {(0, 19)} and all(b < 20 for _, b in crossed)
+
+
 def test_a_bucket_of_many_unlike_ids(spark):
     n = 20_000
     ids = spark.range(n)
