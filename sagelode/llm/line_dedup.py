@@ -100,13 +100,17 @@ def simhash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Counts that travel in one row.
+_PART = 1024
+
+
 def word_counts(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """Rows (bucket, n, lines): of every line of `docs` (text) the distinct normalised words, counted by bucket of their
-    hash, and the number of lines in a row of its own, of null bucket. A task holds one array of counts."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+    """Rows (part, n binary): of every line of `docs` (text) the distinct normalised words, counted by bucket of their hash, as
+    64-bit numbers, `_PART` buckets a row; and in a row of its own, of part -1, the number of lines. A task holds one array of counts."""
+    schema = pa.schema([("part", pa.int32()), ("n", pa.binary())])
 
     def run(batches):
-        total, lines = np.zeros(p.buckets, np.int64), 0
+        total, lines = np.zeros(p.buckets, np.uint32), 0
         for b in batches:
             for lo, hi in text_slices(b.column("text")):
                 h, lengths = text_hashes(pc.split_pattern(pc.fill_null(b.column("text").slice(lo, hi - lo), ""), "\n").flatten())
@@ -114,12 +118,16 @@ def word_counts(docs: DataFrame, p: LineDedup) -> DataFrame:
                 line = np.repeat(np.arange(len(lengths)).astype(U64), lengths)
                 with np.errstate(over="ignore"):
                     once = ~pd.Series(mix64(h + line * U64(0xD1B54A32D192ED03))).duplicated().to_numpy()
-                total += np.bincount(word_buckets(h[once], p), minlength=p.buckets)
-        at = np.flatnonzero(total)
-        yield record_batch({"bucket": at.astype(np.int32), "n": total[at]}, schema)
-        yield record_batch({"bucket": [None], "n": [lines]}, schema)
+                total += np.bincount(word_buckets(h[once], p), minlength=p.buckets).astype(np.uint32)
+        parts = [(k // _PART, own.tobytes()) for k in range(0, p.buckets, _PART) if (own := total[k : k + _PART]).any()]
+        parts.append((-1, np.array([lines], np.uint32).tobytes()))
+        yield record_batch({"part": [k for k, _ in parts], "n": [n for _, n in parts]}, schema)
+
+    def added(own: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(n.as_buffer(), np.uint32) for n in own.column("n")], axis=0, dtype=np.int64)
+        return pa.table({"part": own.column("part")[:1], "n": pa.array([total.tobytes()], pa.binary())}, schema=schema)
 
-    return docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(added, "part int, n binary")
 
 
 def word_buckets(h: np.ndarray, p: LineDedup) -> np.ndarray:
@@ -129,11 +137,13 @@ def word_buckets(h: np.ndarray, p: LineDedup) -> np.ndarray:
 def word_scales(docs: DataFrame, p: LineDedup) -> np.ndarray:
     """1 / weight of the words of each bucket, by the lines of all documents that have one of them. The weights decide which lines
     are compared, not which are alike. The table has `p.buckets` numbers however large the corpus is."""
-    counts = word_counts(docs, p).toArrow()
-    bucket, n = counts.column("bucket"), counts.column("n")
-    lines = pc.sum(n.filter(pc.is_null(bucket))).as_py() or 0
-    held = np.ones(p.buckets, np.int64)
-    held[bucket.drop_null().to_numpy()] = n.filter(pc.is_valid(bucket)).to_numpy()
+    counts, lines, held = word_counts(docs, p).toArrow(), 0, np.ones(p.buckets, np.int64)
+    for part, n in zip(counts.column("part").to_pylist(), counts.column("n"), strict=True):
+        n = np.frombuffer(n.as_buffer(), np.int64)
+        if part < 0:
+            lines = int(n[0])
+        else:
+            held[part * _PART : part * _PART + len(n)] = np.maximum(n, 1)
     return (1 / np.log((lines + 2) / np.minimum(held, max(lines, 1))) ** 2).astype(np.float32)
 
 

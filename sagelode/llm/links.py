@@ -46,7 +46,19 @@ def bucket_rows(members: DataFrame) -> DataFrame:
 
 def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     """`rows` (id, ...) and the component of each id, itself where it has none yet."""
-    return rows.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return shared_size_join(rows, components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def merged_components(known: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """The components (node, component) that `known` and further `edges` (a, b) make: only the components that an edge
+    connects are walked, not their ids again. `known` and `edges` are materialised."""
+    root = lambda t, end: _with_component(t.withColumnRenamed(end, "id"), known).withColumnRenamed("component", end).drop("id")
+    moved = connected_components(root(root(edges.select("a", "b"), "a"), "b"), f"{label}-moved")
+    to = moved.toDF("component", "to")
+    old = shared_size_join(known, to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = materialize(old.unionByName(moved.join(known.select("node"), "node", "left_anti")), label)
+    drop_tables(moved)
+    return out
 
 
 def _outsiders(own: DataFrame, leaders: int, seed: int) -> DataFrame:
@@ -68,6 +80,7 @@ def linked_components(
     label: str,
     block: int = 1024,
     rounds: tuple = (2,),
+    few: int = 8,
     finer: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
 ) -> DataFrame:
     """Rows (node, component) of the ids that are linked: two ids link when they share a bucket, `near` holds for their
@@ -75,8 +88,8 @@ def linked_components(
 
     `members` has distinct (bucket, id), `marks` (id, mark); near(x, y) is a condition on two mark columns, and
     confirm(pairs of a < b) gives the pairs that link. First each id is held against the leaders of its buckets only.
-    In each of `rounds`, ids outside the largest component of a bucket are held against that many more ids of it. What
-    is still apart is held against each other: pairs of one bucket in different components, by a join on
+    In each of `rounds`, ids outside the largest component of a bucket of more than `few` are held against that many more ids of it;
+    smaller buckets have few pairs. What is still apart is held against each other: pairs of one bucket in different components, by a join on
     bucket and salt, where a bucket is dealt to one salt per `block` ids. A pair counts in the least bucket that it shares, and
     a bucket of two ids not at all, as its one pair was held first.
     `finer` may give further marks (id, mark) for the rows (id) that are left, and a condition on them besides near. So no link is lost, and a group of like ids costs a few pairs for each id, not all its pairs.
@@ -99,13 +112,13 @@ def linked_components(
     used = [shared, ids, marks, edges]
     for k, leaders in enumerate(rounds):
         own = _with_component(own, known)
-        apart = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo <> hi").select("bucket")
-        own = materialize(own.join(apart, "bucket", "left_semi"), f"{label}-own")
-        edges = links(_outsiders(own, leaders, 100 * (k + 1)), f"round-{k}")
+        apart = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo <> hi").select("bucket", "n")
+        own = materialize(own.join(apart, "bucket"), f"{label}-own")
+        edges = links(_outsiders(own.where(F.col("n") > few), leaders, 100 * (k + 1)), f"round-{k}")
         used += [own, edges, known]
         own = own.select("bucket", "id")
         if not edges.isEmpty():
-            known = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges), f"{label}-near")
+            known = merged_components(known, edges, f"{label}-near")
 
     own = _with_component(own, known)
     mixed = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo <> hi")
@@ -126,7 +139,7 @@ def linked_components(
         alike = alike & finer[1]("p.more", "q.more")
     cross = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b")
     cross = materialize(cross, f"{label}-cross")
-    edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(cross).select("a", "b"))
-    out = connected_components(edges, f"{label}-all")
-    drop_tables(*{t.written: t for t in (*used, known, own, cross)}.values())
+    edges = materialize(confirm(cross).select("a", "b"), f"{label}-cross-links")
+    out = merged_components(known, edges, f"{label}-all")
+    drop_tables(*{t.written: t for t in (*used, known, own, cross, edges)}.values())
     return out

@@ -106,6 +106,46 @@ def test_pairs_are_held_once(spark, monkeypatch):
     assert len(crossed) == len(set(crossed)) and set(crossed) >= {(a, b) for b in range(19) for a in range(1, b)} - {(0, 19)} and all(b < 20 for _, b in crossed)
 
 
+def test_merged_components_walk_components_not_ids(spark, monkeypatch):
+    """Further edges merge components: only those that they connect are walked again, with the groups of a walk over all edges."""
+    rng = np.random.default_rng(9)
+    first = [(int(a), int(a) + 1) for a in rng.choice(400, 250, replace=False)]
+    more = [(int(a), int(b)) for a, b in rng.integers(0, 500, (40, 2)) if a != b]
+    known = common.connected_components(spark.createDataFrame(first, "a long, b long"), "t")
+    edges = common.materialize(spark.createDataFrame(more, "a long, b long"), "t-edges")
+    walked = []
+    plain = links.connected_components
+    monkeypatch.setattr(links, "connected_components", lambda e, label: walked.append(e.count()) or plain(e, label))
+    got = {r.node: r.component for r in links.merged_components(known, edges, "t").collect()}
+    assert got == {r.node: r.component for r in plain(spark.createDataFrame(first + more, "a long, b long")).collect()}
+    assert walked == [len(more)]
+    none = common.materialize(spark.createDataFrame([], "a long, b long"), "t-none")
+    assert sorted(links.merged_components(known, none, "t").collect()) == sorted(known.select("node", "component").collect())
+    assert {(r.node, r.component) for r in links.merged_components(none.toDF("node", "component"), edges, "t").collect()} == {(r.node, r.component) for r in plain(edges).collect()}
+
+
+def test_rounds_are_for_large_buckets(spark, monkeypatch):
+    """Buckets of up to `few` ids go to the join of what is apart at once."""
+    seen = []
+    plain = links._outsiders
+    monkeypatch.setattr(links, "_outsiders", lambda own, *a: seen.extend(r.bucket for r in own.collect()) or plain(own, *a))
+    rows = [(1, i) for i in range(5)] + [(2, i) for i in range(100, 120)]
+    members = spark.createDataFrame(rows, "bucket long, id long")
+    marks = members.select("id", (F.col("id") % 2).alias("mark"))
+    got = links.linked_components(members, marks, lambda x, y: F.col(x) == F.col(y), lambda pairs: pairs, "t")
+    assert {(r.node, r.component) for r in got.collect()} == {(i, i % 2) for i in range(5)} | {(i, 100 + i % 2) for i in range(100, 120)}
+    assert set(seen) == {2}
+
+
+def test_word_counts_travel_as_few_rows(spark):
+    word = lambda i: str(i).translate(str.maketrans("0123456789", "abcdefghij"))
+    docs = spark.createDataFrame([(f"w{word(i)} x{word(i)}",) for i in range(2000)], "text string").repartition(3)
+    p = ld.LineDedup(buckets=4096)
+    rows = {r.part: np.frombuffer(r.n, np.int64) for r in ld.word_counts(docs, p).collect()}
+    assert sorted(rows) == [-1, 0, 1, 2, 3] and rows.pop(-1).tolist() == [2000]
+    assert sum(int(n.sum()) for n in rows.values()) == 4000
+
+
 def test_a_bucket_of_many_unlike_ids(spark):
     n = 20_000
     ids = spark.range(n)
