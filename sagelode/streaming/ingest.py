@@ -18,9 +18,11 @@ from ..sources.versions import finished
 PARTS = ("documents", "postings", "vectors")
 
 
-def read_stream(spark: SparkSession, folder: str, schema, files: int = 1, name: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, `files` a trigger."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+def read_stream(spark: SparkSession, folder: str, schema, files: int = 1, name: str | None = None, size: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream: `files` a trigger, or, with `size`, as many as have so many bytes, one at least. A
+    batch of one file leaves most of a cluster idle, and batches run one after another."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxBytesPerTrigger", size) if size else reader.option("maxFilesPerTrigger", files)
     return (reader.option("pathGlobFilter", name) if name else reader).parquet(folder)
 
 

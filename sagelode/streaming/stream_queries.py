@@ -37,6 +37,10 @@ def stream_dedup(spark, sf):
     return streams.drain(streams.deduplicated(_events(spark, sf))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bytes of files that an ingested batch has.
+BATCH = 512_000_000
+
+
 def incremental_index(spark, sf):
     """Documents ingested as a stream of files with their vectors; of the index that results, each token's documents and
     occurrences, and the tokens of the documents that have a vector."""
@@ -44,7 +48,7 @@ def incremental_index(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").schema
     # a table may be one file or a folder of part files
     single = spark.read.parquet(f"{sf}/documents.parquet").select("_metadata.file_name").first()
-    stream = ingest.read_stream(spark, sf, schema, name="documents.parquet") if single and single[0] == "documents.parquet" else ingest.read_stream(spark, f"{sf}/documents.parquet", schema)
+    stream = ingest.read_stream(spark, sf, schema, name="documents.parquet", size=BATCH) if single and single[0] == "documents.parquet" else ingest.read_stream(spark, f"{sf}/documents.parquet", schema, size=BATCH)
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     ingest.ingest(stream, f"{root}/index", f"{root}/state", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1), vectors).awaitTermination()
     posts = ingest.read_part(spark, f"{root}/index", "postings", "doc_id long, token string, tf long")

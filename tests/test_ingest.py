@@ -64,6 +64,18 @@ def test_batches_failures_and_one_run_give_one_index(spark, tmp_path):
     assert stands(spark, f"{tmp_path}/nowhere") == ([], [], [])
 
 
+@pytest.mark.parametrize(("size", "batches"), [(10**9, 1), (1, 3)])
+def test_batches_by_bytes(spark, tmp_path, size, batches):
+    """Files share a batch up to a number of bytes; one is taken at least."""
+    for k in range(3):
+        add(spark, tmp_path / "in", [(k, f"alpha w{k}")], DOCS)
+    stream = ingest.read_stream(spark, f"{tmp_path}/in", DOCS, size=size)
+    ingest.ingest(stream, f"{tmp_path}/index", f"{tmp_path}/state", TOKENS()).awaitTermination()
+    assert len(ingest.finished(spark, f"{tmp_path}/index/documents", "batch")) == batches
+    posts = ingest.read_part(spark, f"{tmp_path}/index", "postings", "doc_id long, token string, tf long")
+    assert sorted(map(tuple, posts.collect())) == [x for k in range(3) for x in ((k, "alpha", 1), (k, f"w{k}", 1))]
+
+
 CHANGES = "doc_id long, status string, ts timestamp"
 
 
